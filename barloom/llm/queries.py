@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import language_id, media_mpeg, mixing, quality_rules, secrets
+from barloom.llm import language_id, media_mpeg, mixing, packing, quality_knn, quality_rules, secrets, simhash_gph, substring_chain, token_files
 from barloom.llm.shared import small_batches, table
+from barloom.llm.tokens import vocabulary
 
 
 def fold(modulus: int, column: str = "doc_id") -> F.Column:
@@ -32,21 +33,53 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality_knn.predict(docs, quality_knn.fit(docs, labels.where(fold(4) != 2)))
+    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 200)
     return media_mpeg.digest(media_mpeg.encode(table(spark, sf_dir, "documents")))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return substring_chain.passages(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return simhash_gph.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_source_mix": op2_source_mix,
     "op3_secret_scan": op3_secret_scan,
+    "op4_pack": op4_pack,
     "op5_quality_rules": op5_quality_rules,
+    "op6_quality_knn": op6_quality_knn,
+    "op7_token_files": op7_token_files,
     "op8_mpeg_audio": op8_mpeg_audio,
+    "op9_passages": op9_passages,
+    "op10_simhash": op10_simhash,
 }
 
 MIX_SQL = r"""
