@@ -103,5 +103,5 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     return lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(
         F.col("l_suppkey").alias("account"), F.col("p_brand").alias("symbol"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity").alias("seq"),
-        F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), F.col("l_quantity").alias("quantity"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"),
+        F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
     )

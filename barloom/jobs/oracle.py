@@ -205,7 +205,7 @@ UNION ALL SELECT {KEY}, 'true_range', round({TR}, 6), 'VALID', CASE WHEN i = 0 T
     "position_average_cost": """
 WITH RECURSIVE f AS MATERIALIZED (
   SELECT l_suppkey AS account, p_brand AS symbol, row_number() OVER (PARTITION BY l_suppkey, p_brand ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount, l_tax, l_quantity) AS n,
-         CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, round(l_extendedprice / l_quantity, 2) AS price
+         CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, l_extendedprice / l_quantity AS price
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 s AS (
   SELECT account, symbol, n, greatest(q, 0)::DOUBLE AS quantity, CASE WHEN q > 0 THEN price ELSE 0 END::DOUBLE AS average_price FROM f WHERE n = 1
