@@ -50,6 +50,14 @@ def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["lang", "k", "gram", "n"])
 
 
+def most_frequent(counts: DataFrame, per: list[str], most: int) -> DataFrame:
+    """The rows of each ``per`` group down to the least ``n`` at which no more than ``most`` remain; only the few levels of ``n`` are sorted."""
+    levels = counts.groupBy(*per, "n").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*per).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    least = levels.withColumn("_upto", F.sum("_c").over(upto)).where(F.col("_upto") <= most).groupBy(*per).agg(F.min("n").alias("_least"))
+    return counts.join(least, per).where("n >= _least").drop("_least")
+
+
 def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 80_000, max_grams: int = 120_000) -> dict:
     """The model from ``doc_id, text, lang``: languages, and one table of log-probability vectors for words and for each n-gram length."""
     docs = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
@@ -60,10 +68,9 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 80_000, max
     share = min(1.0, sample_rows / total)
     sample = docs.where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20) + 1))
     words = sample.select("lang", "text").mapInPandas(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
-    top = lambda df, per, item, most: df.withColumn("_r", F.row_number().over(Window.partitionBy(*per).orderBy(F.desc("n"), item))).where(F.col("_r") <= most)
     grams = words.mapInPandas(count_grams, "lang string, k int, gram string, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    kept = top(words, ["lang"], "word", max_words // len(langs)).select("lang", F.lit(0).alias("k"), F.col("word").alias("item"), "n")
-    kept = kept.unionByName(top(grams, ["lang", "k"], "gram", max_grams // len(langs) // LONGEST).select("lang", "k", F.col("gram").alias("item"), "n"))
+    kept = most_frequent(words, ["lang"], max_words // len(langs)).select("lang", F.lit(0).alias("k"), F.col("word").alias("item"), "n")
+    kept = kept.unionByName(most_frequent(grams, ["lang", "k"], max_grams // len(langs) // LONGEST).select("lang", "k", F.col("gram").alias("item"), "n"))
     found = kept.toPandas()
     words.unpersist()
     tables = []
@@ -120,10 +127,10 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row; other columns aren't carried."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
-        for b in batches:
-            got = [scorer.label(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
+        for texts in batches:
+            yield pd.DataFrame([scorer.label(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, lang_pred string, score double")
+    made = docs.select("doc_id", F.pandas_udf(score, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)("text").alias("_p"))
+    return made.select("doc_id", "_p.lang_pred", "_p.score")

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -176,18 +175,16 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 6000
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, the packed ``ids`` of every document's pieces."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, width = encoder(path).encode, 4 * capacity
-        for b in batches:
-            rows = []
-            for doc_id, data in zip(b["doc_id"], encode(b["text"])):
-                data += END
-                for i, at in enumerate(range(0, len(data), width)):
-                    part = data[at : at + width]
-                    rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part), part if ids else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-
-    made = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    def run(texts: pd.Series) -> pd.Series:
+        width, out = 4 * capacity, []
+        for data in encoder(path).encode(texts):
+            data += END
+            cut = [(i, at // 4, data[at : at + width]) for i, at in enumerate(range(0, len(data), width))]
+            out.append([{"piece": i, "start": start, "length": len(p) // 4, "ids_crc32": zlib.crc32(p), "ids": p if ids else None} for i, start, p in cut])
+        return pd.Series(out)
+
+    cut = F.pandas_udf(run, "array<struct<piece: int, start: long, length: long, ids_crc32: long, ids: binary>>")
+    made = docs.select("doc_id", F.explode(cut("text")).alias("_p")).select("doc_id", "_p.*")
     return made if ids else made.drop("ids")
 
 

@@ -149,17 +149,16 @@ def redacted(text: str | None) -> str | None:
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id``, span counts by base kind, the digest of the base spans, and all spans as text, for every row of ``doc_id, text``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for found in map(spans, b["text"]):
-                kinds = Counter(k for _, k, _ in found)
-                digest = hashlib.sha256(joined([f for f in found if f[1] < 3]).encode()).hexdigest()
-                rows.append((kinds[0], kinds[1], kinds[2], digest, joined(found)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), out], axis=1)
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for found in map(spans, texts):
+            kinds = Counter(k for _, k, _ in found)
+            digest = hashlib.sha256(joined([f for f in found if f[1] < 3]).encode()).hexdigest()
+            rows.append((kinds[0], kinds[1], kinds[2], digest, joined(found)))
+        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    found = F.pandas_udf(run, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", found("text").alias("_s")).select("doc_id", "_s.*")
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def hash_key(*cols) -> F.Column:
     """A uniform key of 60 bits from the MD5 of the columns as text (nulls count as empty)."""
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string") for c in cols])
+    text = F.concat_ws("\x1f", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 

@@ -56,12 +56,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed long) for every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": made.view(np.int64)})
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.pandas_udf(run, "long")("text").alias("fp"))
 
 
 def grouped_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
@@ -154,7 +152,7 @@ def links(distinct: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFra
     """``u, v``: verified links of the distinct fingerprints ``fp``, enough of them to join every component."""
     n = distinct.count()
     some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20) + 1)).select("fp").limit(2 * SAMPLE)
-    probes = masks(plan(np.array([r["fp"] for r in some.collect()], dtype=np.int64), n, distance))
+    probes = masks(plan(np.array([r["fp"] for r in some.collect()], dtype=np.int64), max(n, SAMPLE), distance))
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(probes)]))
     keyed = distinct.select("fp", keys.alias("p")).select("fp", "p.i", "p.k")
     sizes = keyed.groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
