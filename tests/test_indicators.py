@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import trend_bars
+from tests.conftest import trend_bars
 from pyspark.sql import functions as F
 
 from barloom.functions.candles import KEY

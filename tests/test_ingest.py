@@ -1,7 +1,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import DAY0, UTC, bar, datetime, trend_bars
+from tests.conftest import DAY0, UTC, bar, datetime, trend_bars
 from pyspark.sql import functions as F
 
 from barloom.functions.candles import SCHEMA

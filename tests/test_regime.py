@@ -1,5 +1,5 @@
 import pytest
-from conftest import trend_bars
+from tests.conftest import trend_bars
 from pyspark.sql import functions as F
 
 from barloom.operators import indicators, regime
