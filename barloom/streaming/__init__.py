@@ -1 +1,29 @@
+"""Incremental ingestion: candle files that arrive in a folder, ingested batch by batch."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from barloom.functions.candles import NUMBERS, SERIES
+from barloom.operators.ingest import ingest
+from barloom.sources.files import norm_keys, parsed
+
+#: Files of a stream have fixed columns, all read as text.
+TEXT = T.StructType([T.StructField(c, T.StringType()) for c in [*SERIES, "timestamp", *NUMBERS]])
+
+
+def ingest_stream(spark: SparkSession, folder: str, store: str, checkpoint: str, zone: str | None = None, scope: str = "series") -> StreamingQuery:
+    """Ingests the CSV files of ``folder`` and ends when all that is there is done.
+
+    Each micro-batch goes through the one gate of ``ingest``.  A batch that is run again after a failure is written
+    under the same name and its candles are known by then, so nothing is stored twice.
+    """
+    rows = spark.readStream.schema(TEXT).option("header", True).csv(folder)
+
+    def one(batch: DataFrame, number: int) -> None:
+        ingest(parsed(norm_keys(batch.withColumn("seq", F.monotonically_increasing_id())), zone), store, scope=scope, batch_id=f"stream-{number}")
+
+    return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
