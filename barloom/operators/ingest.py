@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.candles import KEY, NUMBERS, SERIES
+from barloom.functions.scratch import scratch
 from barloom.sources import store as stores
 from barloom.sources.files import candle_errors, filter_range
 
@@ -111,7 +112,9 @@ def ingest(rows: DataFrame, store: str, start=None, end=None, scope: str = "batc
         stored = stored.join(rows.select(*SERIES).distinct(), SERIES, "left_semi")
     labels = labelled(rows, stored, start, end).persist()
     try:
-        summary = spark.createDataFrame(summarised(labels, scope).collect(), summarised(labels, scope).schema)  # one row per series of the batch
+        path = scratch(spark, "summary")  # written, since the store that it was made from changes below
+        summarised(labels, scope).write.parquet(path)
+        summary = spark.read.parquet(path)
         ok = summary.where("status = 'SUCCESS'").select(*SERIES)
         totals = summary.agg(F.coalesce(F.sum("records_written"), F.lit(0)).alias("w"), F.count_if(F.col("status") == "FAILED").alias("f")).first()
         if totals["w"]:
