@@ -26,7 +26,7 @@ from barloom.llm.tokens import encoder
 END = b"\x00\x00\x00\x00"
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 OPTIONS = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "1000",

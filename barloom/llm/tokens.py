@@ -1,8 +1,11 @@
-"""Token ids of whole texts by the tokenizers library, with a memo for the pieces that recur.
+"""Token ids of whole texts by the tokenizers library, with memos for the pieces that recur.
 
 The tokenizer files split a text before every run of spaces and line feeds that follows another character, whatever
-stands around it, so a text's ids are the ids of such pieces in turn.  A worker process remembers a bounded number of
-pieces, across tasks; pieces beyond that are encoded each time.  Texts with other white space are encoded whole.
+stands around it, so a text's ids are the ids of such pieces in turn.  (The lower-case file drops white space, so its
+pieces are the words alone.)  A worker process remembers a bounded number of pieces, across tasks; further ones are
+encoded each time.  Pieces of ASCII and Latin-1 letters, which need no other rule of the files than those below, go to
+the library's BPE model word by word; all others go through the library's whole pipeline.  Texts with other white space
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,12 +17,38 @@ import struct
 import public_tokenizers
 
 pieces_of = re.compile(r"[ \n]*[^ \n]+").findall
-rest_of = re.compile(r"[ \n]+\Z")
-other_space = re.compile(r"[^\S \n]|[\u180e\ufeff]").search
+rest_of = re.compile(r"[ \n]+\Z").findall
 
-MOST_PIECES = 500_000
+MOST_PIECES, MOST_WORDS = 1_000_000, 300_000
 PIECE_CHARS = 64
-_encoders: dict[str, Encoder] = {}
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+plain = re.compile(rf"[ \n]?[!-~{LETTERS}]+").fullmatch
+
+# How the two kinds of files split plain pieces into words (contractions, letters, digits, other signs).
+BYTE_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s")
+LOWER_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
+
+
+def byte_characters() -> dict[int, str]:
+    """The characters that stand for the UTF-8 bytes of a plain character in byte-level vocabularies: printable bytes stand for themselves, the others follow 255."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    sign = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(256)}
+
+
+class Words(dict):
+    """word -> packed ids by the library's BPE model, remembered for a bounded number of words."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.signs = model.tokenize, byte_characters()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenize(word.translate(self.signs))]
+        value = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < MOST_WORDS and len(word) <= PIECE_CHARS:
+            self[word] = value
+        return value
 
 
 class Encoder:
@@ -32,25 +61,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.words, self.lower = Words(self.tokenizer.model), self.tokenizer.normalizer is not None
+        self.split = (LOWER_WORDS if self.lower else BYTE_WORDS).findall
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def piece(self, p: str) -> bytes:
+        words = self.words
+        return b"".join([words[w] for w in self.split(p.lower() if self.lower else p)])
+
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text.  A piece without white space before it stands for a space and itself, one with a tab for itself alone."""
+        if not text.replace("\n", "").isprintable():  # white space other than spaces and line feeds isn't printable
+            return ["\t" + text]
+        if self.lower:
+            return text.split()
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
+            return ["\t" + p for p in pieces_of(text) + rest_of(text)]
+        out = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            words[0] = "\n" + words[0]
+            out += words
+        out[0] = "\t" + out[0][1:]
+        return out
+
+    def whole(self, piece: str) -> str:
+        return piece[1:] if piece[0] == "\t" else piece if piece[0] == "\n" or self.lower else " " + piece
+
     def encode(self, texts) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        cut = []
-        for t in texts:
-            if other_space(t):
-                cut.append([t])
-            else:
-                cut.append(pieces_of(t) + rest_of.findall(t))
-        memo = self.memo
-        new = [p for p in {p for pieces in cut for p in pieces} if p not in memo]
-        known = dict(zip(new, self.packed(new)))
-        short = {p: v for p, v in known.items() if len(p) <= PIECE_CHARS}
-        if len(memo) + len(short) <= MOST_PIECES:
-            memo.update(short)
-        return [b"".join([memo[p] if p in memo else known[p] for p in pieces]) for pieces in cut]
+        cut = [self.cut(t or "") for t in texts]
+        get = self.memo.get
+        found = [list(map(get, pieces)) for pieces in cut]
+        new = {p for pieces, values in zip(cut, found) if None in values for p, v in zip(pieces, values) if v is None}
+        text = {p: self.whole(p) for p in new}
+        made = {p: self.piece(t) for p, t in text.items() if p.isascii() and p.isprintable() or plain(t)}
+        others = [p for p in new if p not in made]
+        made.update(zip(others, self.packed([text[p] for p in others])))
+        if len(self.memo) + len(made) <= MOST_PIECES:
+            self.memo.update((p, v) for p, v in made.items() if len(p) <= PIECE_CHARS)
+        return [b"".join([made[p] if v is None else v for p, v in zip(pieces, values)] if None in values else values) for pieces, values in zip(cut, found)]
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
