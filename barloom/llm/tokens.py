@@ -51,57 +51,56 @@ class Words(dict):
         return value
 
 
-class Encoder:
-    """Packed ids: little-endian unsigned 32-bit numbers."""
+class Encoder(dict):
+    """piece -> packed ids (little-endian unsigned 32-bit numbers), remembered for a bounded number of pieces.
+
+    A piece without white space before it stands for a space and itself, one with a tab for what follows the tab.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
         self.words, self.lower = Words(self.tokenizer.model), self.tokenizer.normalizer is not None
         self.split = (LOWER_WORDS if self.lower else BYTE_WORDS).findall
 
     def packed(self, texts: list[str]) -> list[bytes]:
+        """By the library's whole pipeline."""
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def piece(self, p: str) -> bytes:
-        words = self.words
-        return b"".join([words[w] for w in self.split(p.lower() if self.lower else p)])
+    def __missing__(self, piece: str) -> bytes:
+        text = piece[1:] if piece[0] == "\t" else piece if piece[0] == "\n" or self.lower else " " + piece
+        if plain(text):
+            words = self.words
+            value = b"".join([words[w] for w in self.split(text.lower() if self.lower else text)])
+        else:
+            value = self.packed([text])[0]
+        if len(self) < MOST_PIECES and len(piece) <= PIECE_CHARS:
+            self[piece] = value
+        return value
 
     def cut(self, text: str) -> list[str]:
-        """The pieces of a text.  A piece without white space before it stands for a space and itself, one with a tab for itself alone."""
+        """The pieces of a text."""
         if not text.replace("\n", "").isprintable():  # white space other than spaces and line feeds isn't printable
             return ["\t" + text]
         if self.lower:
             return text.split()
         if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
             return ["\t" + p for p in pieces_of(text) + rest_of(text)]
-        out = []
-        for line in text.split("\n"):
+        first, *lines = text.split("\n")
+        out = first.split(" ")
+        out[0] = "\t" + out[0]
+        for line in lines:
             words = line.split(" ")
             words[0] = "\n" + words[0]
             out += words
-        out[0] = "\t" + out[0][1:]
         return out
 
-    def whole(self, piece: str) -> str:
-        return piece[1:] if piece[0] == "\t" else piece if piece[0] == "\n" or self.lower else " " + piece
-
     def encode(self, texts) -> list[bytes]:
-        cut = [self.cut(t or "") for t in texts]
-        get = self.memo.get
-        found = [list(map(get, pieces)) for pieces in cut]
-        new = {p for pieces, values in zip(cut, found) if None in values for p, v in zip(pieces, values) if v is None}
-        text = {p: self.whole(p) for p in new}
-        made = {p: self.piece(t) for p, t in text.items() if p.isascii() and p.isprintable() or plain(t)}
-        others = [p for p in new if p not in made]
-        made.update(zip(others, self.packed([text[p] for p in others])))
-        if len(self.memo) + len(made) <= MOST_PIECES:
-            self.memo.update((p, v) for p, v in made.items() if len(p) <= PIECE_CHARS)
-        return [b"".join([made[p] if v is None else v for p, v in zip(pieces, values)] if None in values else values) for pieces, values in zip(cut, found)]
+        return [b"".join(map(self.__getitem__, self.cut(t or ""))) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
