@@ -37,6 +37,8 @@ TERM = re.compile(r"""[ \t]*(?:[furbFURB]{0,2}(?:"((?:[^"\\\n]|\\.){0,4096})"|'(
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 THRESHOLD = 0.5
+#: An expression of more terms has no value (a key isn't pieced together from so many).
+MOST_TERMS = 64
 
 
 def sensitivity(name: str) -> float:
@@ -69,7 +71,7 @@ def pairs(text: str) -> Iterator[tuple[str, list]]:
             continue
         at = p + (2 if text[p : p + 2] in (":=", "=>") else 1)
         terms = []
-        while term := TERM.match(text, at):
+        while len(terms) <= MOST_TERMS and (term := TERM.match(text, at)):
             kind = next(i for i in range(1, 6) if term.group(i) is not None)
             terms.append(("literal" if kind <= 3 else "name" if kind == 4 else "bare", term.group(kind), term.start(kind), term.end(kind)))
             plus = PLUS.match(text, term.end()) if kind <= 4 else None
@@ -96,7 +98,7 @@ def resolved(terms: list, constants: dict[str, list], depth: int = 0) -> list |
             return None
         else:
             found.append((kind, value, start, end))
-        if len(found) > 64:
+        if len(found) > MOST_TERMS:
             return None
     return found
 

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -143,6 +144,13 @@ def test_secrets_lexed(text, found):
     assert [text[a:b] for a, b in secrets.lexed(text)] == found
 
 
+def test_secrets_long_chain_takes_linear_time():
+    began = time.monotonic()
+    assert secrets.spans("a=b + " * 50_000) == []
+    assert time.monotonic() - began < 20
+    assert [k for _, k, _ in secrets.spans('p = "Zk3x9QxLm2"\nsecret_key = ' + " + ".join(["p"] * 80))] == []
+
+
 def test_redact_keeps_columns(clashing):
     out = secrets.redact(clashing.withColumn("text", F.concat("text", F.lit(" token=abcdef123"))))
     assert out.columns == clashing.columns and out.count() == clashing.count()
