@@ -452,6 +452,28 @@ def test_passages(spark, none, clashing):
     assert substring_chain.passages(clashing).count() == 0  # copies of under fifty words
 
 
+def test_passages_behind_gaps(spark):
+    """Two documents share passages with other text between; all of them come out, also behind one of under fifty words."""
+    first, second, third = (prose(200 + i, n) for i, n in enumerate((60, 60, 42)))
+    texts = {}
+    for g, gap in enumerate((30, 60, 100)):
+        for side in (0, 1):
+            texts[10 * g + side] = " ".join(f"<{g}> " + prose(1000 + 10 * g + side + 500 * k, gap) + " " + " ".join(w + str(g) for w in p.split()) for k, p in enumerate((third, first, second)))
+    got = substring_chain.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    for g in range(3):
+        parts = [texts[10 * g + 1][r["start"] : r["end"]] for r in got if r["doc_id"] == 10 * g + 1 and r["other_id"] == 10 * g]
+        for p in (first, second):
+            assert any(" ".join(w + str(g) for w in p.split()) in part for part in parts), g
+
+
+def test_a_passage_between_unlike_words_is_cut_out():
+    shared = prose(300, 60).split()
+    a, d = ([w for k in range(6) for w in [*(f"{side}{k}{x}" for x in range(11)), "so", "it", f"is{k}"]] for side in "xy")
+    one, other = " ".join(shared + a), " ".join(shared + d)
+    (got,) = substring_chain.align(one, other, [0], [0])
+    assert one[got[0] : got[1]].startswith(" ".join(shared)) and got[5] >= substring_chain.IDENTITY
+
+
 def test_chains_against_quadratic_search():
     rng = np.random.default_rng(8)
     for _ in range(30):
