@@ -466,6 +466,29 @@ def test_passages_behind_gaps(spark):
             assert any(" ".join(w + str(g) for w in p.split()) in part for part in parts), g
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(spark):
+    """Smaller ids hold parts of what 5 and 6 share, each under fifty words; repeated lines inside a passage don't hide it."""
+    shared = prose(400, 60).split()
+    parts = [prose(410 + i, 20) + " " + " ".join(shared[a:b]) + " " + prose(420 + i, 20) for i, (a, b) in enumerate(((0, 25), (17, 43), (35, 60)))]
+    line = "one line of this text stands here over and over\n"
+    again = prose(450, 12) + "\n" + line * 4 + prose(451, 9)
+    texts = {i: t for i, t in enumerate(parts)} | {i: prose(430 + i, 30) + " " + " ".join(shared) + " " + prose(440 + i, 30) for i in (5, 6)}
+    texts |= {20 + i: (line + prose(460 + i, 9) + "\n") * (3 + i) + again + "\n" + prose(470 + i, 30) + "\n" + line for i in (0, 1)}
+    got = substring_chain.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert any((r["doc_id"], r["other_id"]) == (6, 5) and " ".join(shared) in texts[6][r["start"] : r["end"]] for r in got)
+    assert any((r["doc_id"], r["other_id"]) == (21, 20) and again in texts[21][r["start"] : r["end"]] for r in got)
+    assert {r["doc_id"] for r in got} == {6, 21}
+
+
+def test_seeds_of_many_documents(spark, monkeypatch):
+    """Groups of a seed's documents stay joined, whatever their size."""
+    shared = prose(500, 60)
+    texts = [(i, prose(510 + i, 15) + " " + shared + " " + prose(560 + i, 15)) for i in range(40)]
+    monkeypatch.setattr(substring_chain, "GROUP", 6)
+    got = {(r["other_id"], r["doc_id"]) for r in substring_chain.passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {d for _, d in got} == set(range(1, 40)) and len(got) < 40 * 12
+
+
 def test_a_passage_between_unlike_words_is_cut_out():
     shared = prose(300, 60).split()
     a, d = ([w for k in range(6) for w in [*(f"{side}{k}{x}" for x in range(11)), "so", "it", f"is{k}"]] for side in "xy")
