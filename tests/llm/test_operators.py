@@ -489,6 +489,23 @@ def test_seeds_of_many_documents(spark, monkeypatch):
     assert {d for _, d in got} == set(range(1, 40)) and len(got) < 40 * 12
 
 
+@pytest.mark.parametrize("every,least", [(10, 20), (6, 19), (5, 17)])
+def test_passages_with_changed_words(every, least):
+    """Of 20 passages of 100 words with a change at every so many words on average, so many are found at least."""
+    rng, found = np.random.default_rng(3), 0
+    for t in range(20):
+        shared = prose(600 + t, 100).split()
+        other = list(shared)
+        for i in rng.choice(np.arange(1, 99), 100 // every - 1, replace=False):
+            other[int(i)] = f"changed{i}"
+        one, other = prose(700 + t, 60) + " " + " ".join(shared), " ".join(other) + " " + prose(800 + t, 60)
+        at, to = (dict(zip(*map(np.ndarray.tolist, substring_chain.seeds(x)))) for x in (one, other))
+        met = sorted((at[h], to[h]) for h in at.keys() & to.keys())
+        got = substring_chain.align(one, other, [a for a, _ in met], [d for _, d in met])
+        found += any(len(one[g[0] : g[1]].split()) >= 80 for g in got)
+    assert found >= least
+
+
 def test_a_passage_between_unlike_words_is_cut_out():
     shared = prose(300, 60).split()
     a, d = ([w for k in range(6) for w in [*(f"{side}{k}{x}" for x in range(11)), "so", "it", f"is{k}"]] for side in "xy")
