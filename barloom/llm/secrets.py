@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,11 +34,13 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "sec
 PLACEHOLDER = re.compile(r"(?i)^(x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|none|null|true|false|changeme|change_me|example.*|your.*|todo.*|redacted.*|placeholder.*|dummy.*|test)$")
 OPERATOR = re.compile(r"[:=]")
 NAME_BEFORE = re.compile(r"""([A-Za-z_$][\w$.\-]{0,127})["'\])]{0,2}[ \t]{0,8}:?$""", re.ASCII)
-TERM = re.compile(r"""[ \t]*(?:[furbFURB]{0,2}(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`)|([A-Za-z_$][\w$.]{0,127}(?![\w+/=-]))|([^\s"'`,;(){}\[\]]{1,4096}))""")
+TERM = re.compile(r"""[ \t]*(?:[furbFURB]{0,2}(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`)|([A-Za-z_$][\w$.]{0,127}(?![\w+/=-]))|([^\s"'`,;(){}\[\]]{1,4096}))""")
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 THRESHOLD = 0.5
-#: An expression of more terms has no value (a key isn't pieced together from so many).
+#: Of longer values the first code points tell whether they are placeholders.
+HEAD = 8192
+#: An expression that names constants more often has no value (a key isn't pieced together from so many); literals have no such bound.
 MOST_TERMS = 64
 
 
@@ -51,9 +54,12 @@ def look(value: str, quoted: bool) -> float:
     """0 to 1: how much a literal looks like key material, by length, entropy and character classes."""
     if len(value) < 6 or PLACEHOLDER.match(value) or re.search(r"\s", value):
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
+    return graded(len(value), Counter(value), quoted)
+
+
+def graded(n: float, counts: Counter, quoted: bool) -> float:
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    classes = sum(bool(re.search(p, "".join(counts))) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
     if not quoted and classes < 2:
         return 0.0
     return min(1.0, 0.25 + 0.1 * entropy + 0.1 * classes + min(n, 32) / 160)
@@ -61,7 +67,7 @@ def look(value: str, quoted: bool) -> float:
 
 def pairs(text: str) -> Iterator[tuple[str, list]]:
     """Name and terms of every assignment; a term is (kind, value, start, end), kind one of literal, name and bare."""
-    end = 0
+    end, chained = 0, set()  # places of terms of long chains, which no assignment inside their literals reads again
     for op in OPERATOR.finditer(text):
         p = op.start()
         if p < end or text[p - 1 : p] in "=!<>:" and p or text[p : p + 2] == "==":
@@ -70,53 +76,108 @@ def pairs(text: str) -> Iterator[tuple[str, list]]:
         if not name:
             continue
         at = p + (2 if text[p : p + 2] in (":=", "=>") else 1)
-        terms = []
-        while len(terms) <= MOST_TERMS and (term := TERM.match(text, at)):
+        terms, starts = [], []
+        while at not in chained and (term := TERM.match(text, at)):
+            starts.append(at)
             kind = next(i for i in range(1, 6) if term.group(i) is not None)
             terms.append(("literal" if kind <= 3 else "name" if kind == 4 else "bare", term.group(kind), term.start(kind), term.end(kind)))
             plus = PLUS.match(text, term.end()) if kind <= 4 else None
             if not plus:
                 break
             at = plus.end()
+        if len(terms) > MOST_TERMS:
+            chained.update(starts)
         if terms:
             end = terms[-1][3] if terms[-1][0] == "literal" else p
             yield name.group(1), terms
 
 
-def resolved(terms: list, constants: dict[str, list], depth: int = 0) -> list | None:
-    """The literals that make up an expression's value; None if a name in it has no value here."""
-    found = []
-    for kind, value, start, end in terms:
-        if kind == "name" and value in constants and depth < 8:
-            inner = resolved(constants[value], constants, depth + 1)
-            if inner is None:
-                return None
-            found += inner
-        elif kind == "name" and len(terms) == 1 and re.search(r"\d", value):
-            found.append(("bare", value, start, end))
-        elif kind == "name":
-            return None
-        else:
-            found.append((kind, value, start, end))
-        if len(found) > MOST_TERMS:
-            return None
-    return found
+class Value:
+    """What an expression comes to: the literals and values that make it up, and the look of it, in bounded space."""
+
+    def __init__(self, parts: list):
+        self.parts = parts  # literals (kind, value, start, end) and values
+        first = parts[0]
+        self.quoted = first.quoted if isinstance(first, Value) else first[0] == "literal"
+        self.head, self.n, self.counts = "", 0.0, Counter()
+        for x in parts:
+            head, n, counts = (x.head, x.n, x.counts) if isinstance(x, Value) else (x[1], len(x[1]), Counter(x[1]))
+            self.head = (self.head + head[: HEAD - len(self.head)]) if len(self.head) < HEAD else self.head
+            self.n += n
+            self.counts.update(counts)
+        if self.n > 1e12:  # values may double with each name; only shares count then
+            self.counts = Counter({c: k / self.n * 1e12 for c, k in self.counts.items()})
+            self.n = 1e12
+
+    def look(self) -> float:
+        if self.n <= len(self.head):
+            return look(self.head, self.quoted)
+        if PLACEHOLDER.match(self.head) or any(c.isspace() for c in self.counts):
+            return 0.0
+        return graded(self.n, self.counts, self.quoted)
+
+
+def valued(assigned: list[tuple[str, list]]) -> list[Value | None]:
+    """The value of each assignment; None if a name in it has none.
+
+    A name stands for its last assignment before that has a value, or else for a later one.  Every assignment is read
+    once, and again only as names that it waits for get their values, so the time is linear.
+    """
+    names = {name for name, _ in assigned}
+    out: list[Value | None] = [None] * len(assigned)
+    known: dict[str, list[int]] = {}  # assignments with a value, ascending
+    waiting: dict[str, list[tuple[int, int]]] = {}  # name -> assignments and the term that they are at
+    for k in range(len(assigned)):
+        work = [(k, 0)]
+        while work:
+            i, at = work.pop()
+            name, terms = assigned[i]
+            if sum(t[0] == "name" for t in terms) > MOST_TERMS:
+                continue
+            missing = next((j for j in range(at, len(terms)) if terms[j][0] == "name" and terms[j][1] not in known), None)
+            if missing is not None:
+                wanted = terms[missing][1]
+                if wanted in names:
+                    waiting.setdefault(wanted, []).append((i, missing))
+                    continue
+                if len(terms) > 1 or not re.search(r"\d", wanted):
+                    continue
+                out[i] = Value([("bare", *terms[0][1:])])
+            else:
+                parts = []
+                for t in terms:
+                    if t[0] == "name":
+                        places = known[t[1]]
+                        parts.append(out[places[max(0, bisect_left(places, i) - 1)]])
+                    else:
+                        parts.append(t)
+                out[i] = Value(parts)
+            insort(known.setdefault(name, []), i)
+            work += waiting.pop(name, [])
+    return out
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
     if "=" not in text and ":" not in text:
         return []
     assigned = list(pairs(text))
-    constants: dict[str, list] = {}
-    for name, terms in assigned:
-        constants.setdefault(name, terms)
-    out = set()
-    for name, terms in assigned:
-        weight = sensitivity(name)
-        if weight and (found := resolved(terms, constants)):
-            value = "".join(x[1] for x in found)
-            if weight * look(value, found[0][0] == "literal") >= THRESHOLD:
-                out.update((x[2], x[3]) for x in found if x[3] > x[2])
+    weights = [sensitivity(name) for name, _ in assigned]
+    if not any(weights):
+        return []
+    out, seen, work = set(), set(), []
+    for weight, value in zip(weights, valued(assigned)):
+        if weight and value and weight * value.look() >= THRESHOLD:
+            work.append(value)
+    while work:
+        value = work.pop()
+        if id(value) in seen:
+            continue
+        seen.add(id(value))
+        for x in value.parts:
+            if isinstance(x, Value):
+                work.append(x)
+            elif x[3] > x[2]:
+                out.add((x[2], x[3]))
     return sorted(out)
 
 

@@ -151,6 +151,28 @@ def test_secrets_long_chain_takes_linear_time():
     assert [k for _, k, _ in secrets.spans('p = "Zk3x9QxLm2"\nsecret_key = ' + " + ".join(["p"] * 80))] == []
 
 
+def test_names_stand_for_their_last_assignment():
+    found = lambda text: [text[a:b] for a, b in secrets.lexed(text)]
+    assert found('v = ""; v = "Zk3x9QxLm2"; secret_key = v') == ["Zk3x9QxLm2"]
+    assert found('v = "Aa1bB2cC3d"\nv = "Zk3x9QxLm2"\nsecret_key = v\nv = "Dd4eE5fF6g"') == ["Zk3x9QxLm2"]
+    assert found('secret_key = w\nw = v\nv = "Zk3x9QxLm2"') == ["Zk3x9QxLm2"]
+
+
+def test_long_secrets_are_marked():
+    deep = 'n0 = "Zk3x9QxLm2"\n' + "".join(f"n{i + 1} = n{i}\n" for i in range(3000)) + "secret_key = n3000"
+    assert [deep[a:b] for a, b in secrets.lexed(deep)] == ["Zk3x9QxLm2"]
+    doubled = 'm0 = "Zk3x9QxLm2"\n' + "".join(f"m{i + 1} = m{i} + m{i}\n" for i in range(3000)) + "secret_key = m3000"
+    assert len(secrets.lexed(doubled)) == 1
+    many = "secret_key = " + " + ".join(f'"Zk{i}x"' for i in range(200))
+    assert len(secrets.lexed(many)) == 200
+    text = 'secret_key = "' + "Zk3x9QxLm2" * 1000 + '"'
+    assert [b - a for a, b in secrets.lexed(text)] == [10_000]
+    began = time.monotonic()
+    secrets.lexed("x = " + "\"a='\" + \"'\" + " * 20_000 + "y")
+    secrets.lexed('secret = "' + "a=" * 100_000)
+    assert time.monotonic() - began < 20
+
+
 def test_redact_keeps_columns(clashing):
     out = secrets.redact(clashing.withColumn("text", F.concat("text", F.lit(" token=abcdef123"))))
     assert out.columns == clashing.columns and out.count() == clashing.count()
