@@ -47,6 +47,13 @@ def hash_key(*cols) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def row_key(df: DataFrame) -> list[F.Column]:
+    """``k1, k2``: 128 bits of hashes of a row's whole content; only rows that are equal in all columns share them."""
+    cols = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    parts = [*cols, *[c.isNull() for c in cols]]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(7), *reversed(parts)).alias("k2")]
+
+
 def same(left: DataFrame, right: DataFrame, *cols: str) -> F.Column:
     """Null-safe equality on the columns of those names."""
     on = None

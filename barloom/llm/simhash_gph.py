@@ -1,20 +1,28 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-Fingerprints of 64 bits are linked when they differ in at most ``distance`` bits.  Copies share a fingerprint, so the
-search runs over distinct fingerprints only.  The bits are grouped into partitions, correlated bits together; each
-partition i gets a threshold t_i >= -1 with sum(t_i + 1) = distance + 1, so every linked pair agrees up to t_i bits in
-some partition.  Dynamic programming picks the thresholds of least cost from candidate counts estimated on a bounded
-sample (it steers the cost only, never the result).  Fingerprints probe by their partition bits with t_i of them
-masked; those that meet are verified.  Of a bucket only a spanning forest of its links is kept, which joins the same
-components as all its pairs; a bucket beyond ``BLOCK`` fingerprints is compared block by block in tasks of their own.
+Fingerprints are linked when they differ in at most ``distance`` bits.  Copies share a fingerprint, so the search runs
+over distinct fingerprints only.  The bits are grouped into partitions, correlated bits together; each partition i gets
+a threshold t_i >= -1 with sum(t_i + 1) = distance + 1, so every linked pair agrees up to t_i bits in some partition.
+Dynamic programming picks the thresholds of least cost from candidate counts estimated on a bounded sample (it steers
+the cost only, never the result).  Fingerprints probe by their partition bits with t_i of them masked; those that meet
+are verified.  A bucket beyond ``BLOCK`` fingerprints is compared block by block in tasks of their own.
+
+``near_duplicates`` links by the distance of 64-bit fingerprints alone.  Of a bucket it keeps a spanning forest of the
+links, which joins the same components as all its pairs.
+
+``deduplicated`` takes texts for near copies whose sets of five-word shingles have a cosine of ``SIMILARITY`` or more.
+It probes with wider fingerprints (``WIDE`` bits, of the set of words, which small changes move least), of which all
+within ``PROBE_DISTANCE`` bits meet; what meets is verified on the shingles of the whole texts.  Of a bucket every
+fingerprint keeps its nearest one and its neighbour of most neighbours, so candidates grow with the texts, not with
+the square of a group.
 
 Null, empty and wordless texts have fingerprint zero and are linked like any other.  ``component_id`` is null only if
 no document of the component has an id.  Repeated rows share a fingerprint and a component.
 """
-
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -25,15 +33,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.shared import staged
+from barloom.llm.shared import row_key, staged
 
 BITS = 64
+WIDE = 128
 SEED = 42
 #: Most fingerprints that one task row compares with each other (a pair of blocks holds twice as many).
 BLOCK = 4096
 SAMPLE = 2048
 #: Relative cost of an emitted key and of a compared pair.
 KEY_COST, PAIR_COST = 1.0, 0.01
+#: Most bits that a probe of one partition hides (their choices are emitted as keys).
+MOST_HIDDEN = 4
+#: Near copies: least cosine of the sets of shingles; words of a shingle; wide fingerprints within the first distance
+#: surely meet, those that meet are candidates up to the second.
+SIMILARITY, SHINGLE = 0.8, 5
+PROBE_DISTANCE, CANDIDATE_DISTANCE = 15, 24
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -64,10 +79,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def grouped_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
     """The bit numbers in ``parts`` groups of equal size, each grown from the most correlated pair that is left."""
+    width = bits.shape[1]
     with np.errstate(invalid="ignore", divide="ignore"):
-        near = np.abs(np.nan_to_num(np.corrcoef(bits, rowvar=False))) if len(bits) > 1 else np.zeros((BITS, BITS))
+        near = np.abs(np.nan_to_num(np.corrcoef(bits, rowvar=False))) if len(bits) > 1 else np.zeros((width, width))
     np.fill_diagonal(near, 0.0)
-    left, out = list(range(BITS)), []
+    left, out = list(range(width)), []
     for p in range(parts):
         size = len(left) // (parts - p)
         sub = near[np.ix_(left, left)]
@@ -80,33 +96,39 @@ def grouped_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def cost(bits: np.ndarray, group: list[int], t: int, n: int) -> float:
-    """Estimated cost of a partition with threshold ``t``: the keys that ``n`` fingerprints emit and the pairs that meet."""
-    if t < 0:
-        return 0.0
-    b, own = len(group), bits[:, group].astype(np.float32)
+def costs(bits: np.ndarray, group: list[int], most: int, n: int) -> list[float]:
+    """Estimated cost of a partition by its threshold, -1 to ``most``: the keys that ``n`` fingerprints emit and the pairs that meet."""
+    b, own = len(group), bits[: SAMPLE // 2, group].astype(np.float32)
     apart = own @ (1 - own).T
     apart = apart + apart.T
     pairs = max(1, len(own) * (len(own) - 1))
-    met = 0.0
-    for d in range(t + 1):
-        seen = (np.count_nonzero(apart == d) - (len(own) if d == 0 else 0)) / pairs
-        met += max(seen, comb(b, d) / 2.0**b) * comb(b - d, t - d)
-    return n * comb(b, t) * KEY_COST + n * n / 2 * met * PAIR_COST
+    seen = [(np.count_nonzero(apart == d) - (len(own) if d == 0 else 0)) / pairs for d in range(most + 1)]
+    out = [0.0]
+    for t in range(most + 1):
+        met = sum(max(seen[d], comb(b, d) / 2.0**b) * comb(b - d, t - d) for d in range(t + 1))
+        out.append(n * comb(b, t) * KEY_COST + n * n / 2 * met * PAIR_COST)
+    return out
 
 
 def plan(sample: np.ndarray, n: int, distance: int) -> list[tuple[list[int], int]]:
-    """Partitions with their thresholds, least in estimated cost over 2 to ``distance + 1`` partitions."""
-    bits = np.unpackbits(sample.astype(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Partitions with their thresholds, least in estimated cost over 2 to ``distance + 1`` partitions.
+
+    ``sample`` has a row of one or more 64-bit words for each fingerprint.
+    """
+    words = np.ascontiguousarray(sample.astype(np.int64)).reshape(len(sample), *(sample.shape[1:] or (1,)))
+    bits = np.unpackbits(words.view(np.uint8).reshape(len(words), 8 * words.shape[1]), axis=1, bitorder="little")
     best = (float("inf"), [])
     for parts in range(2, distance + 2):
+        most = min(distance, MOST_HIDDEN)
+        if parts * (most + 1) < distance + 1:
+            continue
         groups = grouped_bits(bits, parts)
-        price = [[cost(bits, g, t, n) for t in range(-1, distance + 1)] for g in groups]
+        price = [costs(bits, g, most, n) for g in groups]
         table = {0: (0.0, [])}
         for i in range(parts):
             step: dict[int, tuple[float, list[int]]] = {}
             for used, (paid, chosen) in table.items():
-                for t in range(-1, distance + 1 - used):
+                for t in range(-1, min(most, distance - used) + 1):
                     total = paid + price[i][t + 1]
                     if used + t + 1 not in step or total < step[used + t + 1][0]:
                         step[used + t + 1] = (total, [*chosen, t])
@@ -117,13 +139,18 @@ def plan(sample: np.ndarray, n: int, distance: int) -> list[tuple[list[int], int
     return best[1]
 
 
-def masks(partitions: list[tuple[list[int], int]]) -> list[int]:
-    """The bits that each probe keeps, as signed longs: a partition's bits without every choice of t of them."""
+def signed(word: int) -> int:
+    return word - (1 << 64) if word >> 63 else word
+
+
+def masks(partitions: list[tuple[list[int], int]], words: int = 1) -> list:
+    """The bits that each probe keeps, as signed longs (tuples of them for several words): a partition's bits without every choice of t of them."""
     out = []
     for group, t in partitions:
         for hidden in combinations(group, t):
             mask = sum(1 << b for b in group if b not in hidden)
-            out.append(mask - (1 << 64) if mask >> 63 else mask)
+            split = tuple(signed(mask >> 64 * w & (1 << 64) - 1) for w in range(words))
+            out.append(split if words > 1 else split[0])
     return out
 
 
@@ -148,26 +175,32 @@ def small_forest(fps: list[int], distance: int) -> Iterator[tuple[int, int]]:
                 yield a, b
 
 
-def links(distinct: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
-    """``u, v``: verified links of the distinct fingerprints ``fp``, enough of them to join every component."""
+def blocks(distinct: DataFrame, words: list[str], distance: int, carried: list[str], block: int) -> DataFrame:
+    """Lists of the ``carried`` columns, side by side: the rows of ``distinct`` that meet in a probe of the fingerprint in ``words``."""
     n = distinct.count()
-    some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20) + 1)).select("fp").limit(2 * SAMPLE)
-    probes = masks(plan(np.array([r["fp"] for r in some.collect()], dtype=np.int64), max(n, SAMPLE), distance))
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(probes)]))
-    keyed = distinct.select("fp", keys.alias("p")).select("fp", "p.i", "p.k")
+    some = distinct.where(F.pmod(F.xxhash64(*words), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20) + 1)).select(*words).limit(2 * SAMPLE)
+    sample = np.array([tuple(r) for r in some.collect()], dtype=np.int64).reshape(-1, len(words))
+    probes = [m if len(words) > 1 else (m,) for m in masks(plan(sample, max(n, SAMPLE), distance), len(words))]
+    kept = lambda m: [F.col(w).bitwiseAND(F.lit(x).cast("long")) for w, x in zip(words, m) if x or len(words) == 1]
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.xxhash64(*kept(m)) if len(kept(m)) > 1 else kept(m)[0]).alias("k")) for i, m in enumerate(probes)]))
+    keyed = distinct.select(*carried, keys.alias("p")).select(*carried, "p.i", "p.k")
     sizes = keyed.groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = keyed.join(sizes, ["i", "k"]).withColumn("c", F.ceil(F.col("n") / F.lit(block)).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    blocks = met.groupBy("i", "k", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi")).agg(F.collect_list("fp").alias("fps")).select("fps")
+    met = met.withColumn("own", F.pmod(F.xxhash64(*carried), F.col("c")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    return met.groupBy("i", "k", F.least("own", "o").alias("lo_"), F.greatest("own", "o").alias("hi_")).agg(*[F.collect_list(c).alias(c) for c in carried]).select(*carried)
+
+
+def links(distinct: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
+    """``u, v``: verified links of the distinct fingerprints ``fp``, enough of them to join every component."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = []
-            for fps in b["fps"]:
+            for fps in b["fp"]:
                 found += small_forest(fps.tolist(), distance) if len(fps) <= 8 else forest(fps, distance)
             yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return blocks.mapInPandas(verify, "u long, v long").distinct()
+    return blocks(distinct, ["fp"], distance, ["fp"], block).mapInPandas(verify, "u long, v long").distinct()
 
 
 def clustered(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
@@ -186,10 +219,128 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     return clustered(docs, distance, shingle).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document of the least id, once.  Documents without an id stay."""
-    found = clustered(docs, distance, shingle)
-    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("doc_id_")).distinct(), "gone")
-    stay = docs.join(gone, F.col("doc_id") == F.col("doc_id_"), "left_anti")
-    once = stay.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return once.unionByName(stay.where("doc_id is null"))
+def lowered(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+class Digests(dict):
+    """word -> 16 bytes of its hash, remembered for a bounded number of words."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        value = xxhash.xxh3_128_digest(word, SEED)
+        if len(self) < 400_000:
+            self[word] = value
+        return value
+
+
+digests = Digests()
+
+
+def wide(words: list[bytes]) -> tuple[int, int]:
+    """The fingerprint of the set of words, as two signed words of 64 bits."""
+    once = set(words)
+    if not once:
+        return 0, 0
+    bits = np.unpackbits(np.frombuffer(b"".join([digests[w] for w in once]), dtype=np.uint8).reshape(-1, WIDE // 8), axis=1)
+    low, high = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(once)).view(np.int64).tolist()
+    return low, high
+
+
+def content(words: list[bytes]) -> int:
+    """A hash of the sequence of words; texts that differ in case or white space alone are one node of the links."""
+    return signed(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+
+
+def apart(low: np.ndarray, high: np.ndarray, rows: slice) -> np.ndarray:
+    """The distances of some fingerprints to all of them."""
+    count = lambda x: np.bitwise_count((x[rows, None] ^ x[None, :]).view(np.uint64))
+    return count(low) + count(high)
+
+
+def neighbours(node: np.ndarray, low: np.ndarray, high: np.ndarray, distance: int, rows: int = 256) -> list[tuple[int, int]]:
+    """Of each fingerprint that has others within ``distance`` bits: the nearest of them, and the one of them that has most."""
+    n = len(node)
+    degree = np.concatenate([np.count_nonzero(apart(low, high, slice(i, i + rows)) <= distance, axis=1) for i in range(0, n, rows)]) - 1
+    some = np.flatnonzero(degree)
+    node, low, high, degree, out = node[some], low[some], high[some], degree[some], []
+    for i in range(0, len(some), rows):
+        far = apart(low, high, slice(i, i + rows)).astype(np.int64)
+        own = np.arange(len(far))
+        far[own, own + i] = 2 * WIDE
+        for to in (far.argmin(axis=1), np.where(far <= distance, degree[None, :], -1).argmax(axis=1)):
+            out += zip(node[i : i + rows].tolist(), node[to].tolist())
+    return out
+
+
+@lru_cache(64)
+def shingles(text: str | None, width: int) -> frozenset[int]:
+    words = lowered(text)
+    n = max(1, len(words) - width + 1) if words else 0
+    return frozenset(xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n))
+
+
+def cosine(one: str | None, other: str | None, width: int = SHINGLE) -> float:
+    """Cosine of the texts' sets of shingles; wordless texts are alike."""
+    a, b = shingles(one, width), shingles(other, width)
+    if not a or not b:
+        return float(not a and not b)
+    return len(a & b) / (len(a) * len(b)) ** 0.5
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, distance: int = PROBE_DISTANCE, block: int = BLOCK) -> DataFrame:
+    """``k1, k2`` (the key of the row's whole content), ``doc_id`` and ``label``, equal for rows of one group of near copies, for every row of ``docs``."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        made = [(content(w), *wide(w)) for w in map(lowered, texts)]
+        return pd.DataFrame(made, columns=["node", "low", "high"])
+
+    keyed = docs.select(*row_key(docs), "doc_id", "text")
+    made = staged(keyed.select("k1", "k2", "doc_id", F.pandas_udf(run, "node long, low long, high long")("text").alias("_f")).select("k1", "k2", "doc_id", "_f.*"), "fingerprints")
+    nodes = staged(made.groupBy("node", "low", "high").agg(F.min(F.struct("k1", "k2")).alias("row")).select("node", "low", "high", "row.*"), "nodes")
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [pair for x in b.itertuples(index=False) for pair in neighbours(x.node, x.low, x.high, CANDIDATE_DISTANCE)]
+            yield pd.DataFrame([p for p in found if p[0] != p[1]], columns=["u", "v"], dtype="int64")
+
+    met = blocks(nodes, ["low", "high"], distance, ["node", "low", "high"], block).mapInPandas(candidates, "u long, v long")
+    met = staged(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    asked = staged(nodes.join(met.select("u").union(met.select("v")).distinct(), F.col("node") == F.col("u"), "left_semi").select("node", F.col("k1").alias("k1_"), F.col("k2").alias("k2_")), "asked")
+    texts = keyed.select("k1", "k2", "text").join(within(asked.select("k1_", "k2_")), (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")), "left_semi")
+    held = staged(asked.join(texts, (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_"))).select("node", "text").dropDuplicates(["node"]), "texts")
+    alike = F.pandas_udf(lambda a, b: pd.Series([cosine(x, y, shingle) for x, y in zip(a, b)]), "double")
+    first = met.join(held.withColumnsRenamed({"node": "a", "text": "one"}), F.col("u") == F.col("a"))
+    both = first.join(held.withColumnsRenamed({"node": "b", "text": "other"}), F.col("v") == F.col("b"))
+    label = components(both.where(alike("one", "other") >= similarity).select("u", "v"))
+    return made.join(label.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("k1", "k2", "doc_id", F.coalesce("label", "node").alias("label"))
+
+
+#: Names that no column of a table of documents is expected to have.
+KEY, GONE = ["_row_key_1", "_row_key_2"], ["_gone_key_1", "_gone_key_2"]
+#: Row keys are broadcast up to so many (some 80 bytes each as a hash relation, so 40 MB); beyond that joins shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def within(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, distance: int = PROBE_DISTANCE, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of near copies, that of the least id (null ids last).
+
+    Rows are told apart by their whole content, so rows of one id with other texts are decided one by one, as are rows
+    without an id; of rows that are equal in all columns one stays.
+    """
+    rows = staged(near_copies(docs, similarity, shingle, distance, block), "labelled")
+    rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "k1", "k2")
+    stay = rows.groupBy("label").agg(F.min(rank).alias("s")).select(F.col("label").alias("label_"), F.col("s.k1").alias("k1_"), F.col("s.k2").alias("k2_"))
+    judged = rows.join(stay, F.col("label") == F.col("label_")).withColumn("stays", (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")))
+    judged = staged(judged.groupBy("k1", "k2").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"), "judged")
+    keyed = docs.select("*", *[k.alias(c) for k, c in zip(row_key(docs), KEY)])
+    same_row = [F.col(c) == F.col(g) for c, g in zip(KEY, GONE)]
+    named = lambda which: within(judged.where(which).select(*[F.col(k).alias(g) for k, g in zip(("k1", "k2"), GONE)]))
+    left = keyed.join(named("not stays"), same_row, "left_anti")
+    if not judged.where("stays").isEmpty():  # rows that are equal in all columns
+        often = named("stays")
+        left = left.join(often, same_row, "left_anti").unionByName(left.join(often, same_row, "left_semi").dropDuplicates(KEY))
+    return left.select(*docs.columns)
