@@ -33,15 +33,16 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "sec
 #: Literals that stand for a value to be filled in.
 PLACEHOLDER = re.compile(r"(?i)^(x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|none|null|true|false|changeme|change_me|example.*|your.*|todo.*|redacted.*|placeholder.*|dummy.*|test)$")
 OPERATOR = re.compile(r"[:=]")
-NAME_BEFORE = re.compile(r"""([A-Za-z_$][\w$.\-]{0,127})["'\])]{0,2}[ \t]{0,8}:?$""", re.ASCII)
-TERM = re.compile(r"""[ \t]*(?:[furbFURB]{0,2}(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`)|([A-Za-z_$][\w$.]{0,127}(?![\w+/=-]))|([^\s"'`,;(){}\[\]]{1,4096}))""")
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
+TERM = re.compile(r"""[ \t]*(?:[furbFURB]{0,2}(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`)|([A-Za-z_$][\w$.]*+(?![\w+/=-])))""")
+BLANK, BARE = re.compile(r"[ \t]*"), re.compile(r"""[^\s"'`,;(){}\[\]]+""")
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 THRESHOLD = 0.5
 #: Of longer values the first code points tell whether they are placeholders.
 HEAD = 8192
-#: An expression that names constants more often has no value (a key isn't pieced together from so many); literals have no such bound.
-MOST_TERMS = 64
+#: Chains of more terms are read once; an assignment inside one of their literals doesn't read them again.
+LONG_CHAIN = 64
 
 
 def sensitivity(name: str) -> float:
@@ -65,43 +66,74 @@ def graded(n: float, counts: Counter, quoted: bool) -> float:
     return min(1.0, 0.25 + 0.1 * entropy + 0.1 * classes + min(n, 32) / 160)
 
 
+def name_before(text: str, p: int) -> str | None:
+    """The name that ends before the operator at ``p``, perhaps behind a closing quote or bracket and blanks."""
+    at = p - (text[p - 1 : p] == ":")
+    least = at - 8
+    while at > 0 and at > least and text[at - 1] in " \t":
+        at -= 1
+    least = at - 2
+    while at > 0 and at > least and text[at - 1] in "\"'])":
+        at -= 1
+    start = at
+    while start > 0 and text[start - 1] in NAME_CHARS:
+        start -= 1
+    while start < at and text[start] in "0123456789.-":
+        start += 1
+    return text[start:at] or None
+
+
 def pairs(text: str) -> Iterator[tuple[str, list]]:
-    """Name and terms of every assignment; a term is (kind, value, start, end), kind one of literal, name and bare."""
+    """Name and terms of every assignment; a term is (kind, name, start, end), kind one of literal, name and bare."""
     end, chained = 0, set()  # places of terms of long chains, which no assignment inside their literals reads again
+    bare_end = 0  # of the bare text that was read last; one that begins inside it ends there too
     for op in OPERATOR.finditer(text):
         p = op.start()
         if p < end or text[p - 1 : p] in "=!<>:" and p or text[p : p + 2] == "==":
             continue
-        name = NAME_BEFORE.search(text, max(0, p - 140), p)
+        name = name_before(text, p)
         if not name:
             continue
         at = p + (2 if text[p : p + 2] in (":=", "=>") else 1)
         terms, starts = [], []
-        while at not in chained and (term := TERM.match(text, at)):
+        while at not in chained:
+            term = TERM.match(text, at)
+            if not term:
+                begin = BLANK.match(text, at).end()
+                if begin >= bare_end:
+                    bare = BARE.match(text, begin)
+                    bare_end = bare.end() if bare else bare_end
+                if begin < bare_end:
+                    terms.append(("bare", None, begin, bare_end))
+                break
             starts.append(at)
-            kind = next(i for i in range(1, 6) if term.group(i) is not None)
-            terms.append(("literal" if kind <= 3 else "name" if kind == 4 else "bare", term.group(kind), term.start(kind), term.end(kind)))
-            plus = PLUS.match(text, term.end()) if kind <= 4 else None
+            kind = next(i for i in range(1, 5) if term.group(i) is not None)
+            terms.append(("literal" if kind <= 3 else "name", term.group(kind), term.start(kind), term.end(kind)))
+            plus = PLUS.match(text, term.end())
             if not plus:
                 break
             at = plus.end()
-        if len(terms) > MOST_TERMS:
+        if len(terms) > LONG_CHAIN:
             chained.update(starts)
         if terms:
             end = terms[-1][3] if terms[-1][0] == "literal" else p
-            yield name.group(1), terms
+            yield name, terms
 
 
 class Value:
-    """What an expression comes to: the literals and values that make it up, and the look of it, in bounded space."""
+    """What an expression comes to: the places and values that make it up, and the look of it, in bounded space."""
 
-    def __init__(self, parts: list):
-        self.parts = parts  # literals (kind, value, start, end) and values
+    def __init__(self, text: str, parts: list):
+        self.text, self.parts = text, parts  # places (kind, start, end) in the text, and values
         first = parts[0]
         self.quoted = first.quoted if isinstance(first, Value) else first[0] == "literal"
-        self.head, self.n, self.counts = "", 0.0, Counter()
-        for x in parts:
-            head, n, counts = (x.head, x.n, x.counts) if isinstance(x, Value) else (x[1], len(x[1]), Counter(x[1]))
+        self.head, self.n, self.counts = "", 0.0, None
+
+    def _measure(self) -> None:
+        self.counts = Counter()
+        for x in self.parts:
+            own = None if isinstance(x, Value) else self.text[x[1] : x[2]]
+            head, n, counts = (x.head, x.n, x.counts) if own is None else (own, len(own), Counter(own))
             self.head = (self.head + head[: HEAD - len(self.head)]) if len(self.head) < HEAD else self.head
             self.n += n
             self.counts.update(counts)
@@ -110,6 +142,16 @@ class Value:
             self.n = 1e12
 
     def look(self) -> float:
+        stack = [self]
+        while stack:  # values of names first; without recursion, since chains of names may be long
+            value = stack[-1]
+            missing = {id(x): x for x in value.parts if isinstance(x, Value) and x.counts is None}
+            if value.counts is None and missing:
+                stack += missing.values()
+                continue
+            if value.counts is None:
+                value._measure()
+            stack.pop()
         if self.n <= len(self.head):
             return look(self.head, self.quoted)
         if PLACEHOLDER.match(self.head) or any(c.isspace() for c in self.counts):
@@ -117,44 +159,59 @@ class Value:
         return graded(self.n, self.counts, self.quoted)
 
 
-def valued(assigned: list[tuple[str, list]]) -> list[Value | None]:
-    """The value of each assignment; None if a name in it has none.
+def needed(assigned: list[tuple[str, list]], weights: list[float]) -> list[bool]:
+    """Which assignments a sensitive name may get its value from, itself included."""
+    by: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(assigned):
+        by.setdefault(name, []).append(i)
+    out = [w > 0 for w in weights]
+    work = [i for i, w in enumerate(out) if w]
+    while work:
+        for kind, value, *_ in assigned[work.pop()][1]:
+            if kind == "name":
+                for i in by.pop(value, ()):
+                    if not out[i]:
+                        out[i] = True
+                        work.append(i)
+    return out
+
+
+def valued(assigned: list[tuple[str, list]], wanted: list[bool], text: str) -> Iterator[tuple[int, Value]]:
+    """The wanted assignments that have a value, with it; one with a name that has none has none.
 
     A name stands for its last assignment before that has a value, or else for a later one.  Every assignment is read
     once, and again only as names that it waits for get their values, so the time is linear.
     """
-    names = {name for name, _ in assigned}
-    out: list[Value | None] = [None] * len(assigned)
+    names = {name for (name, _), w in zip(assigned, wanted) if w}
+    out: dict[int, Value] = {}
     known: dict[str, list[int]] = {}  # assignments with a value, ascending
     waiting: dict[str, list[tuple[int, int]]] = {}  # name -> assignments and the term that they are at
-    for k in range(len(assigned)):
-        work = [(k, 0)]
+    for k, w in enumerate(wanted):
+        work = [(k, 0)] if w else []
         while work:
             i, at = work.pop()
             name, terms = assigned[i]
-            if sum(t[0] == "name" for t in terms) > MOST_TERMS:
-                continue
             missing = next((j for j in range(at, len(terms)) if terms[j][0] == "name" and terms[j][1] not in known), None)
             if missing is not None:
-                wanted = terms[missing][1]
-                if wanted in names:
-                    waiting.setdefault(wanted, []).append((i, missing))
+                own = terms[missing][1]
+                if own in names:
+                    waiting.setdefault(own, []).append((i, missing))
                     continue
-                if len(terms) > 1 or not re.search(r"\d", wanted):
+                if len(terms) > 1 or not re.search(r"\d", own):
                     continue
-                out[i] = Value([("bare", *terms[0][1:])])
+                out[i] = Value(text, [("bare", *terms[0][2:])])
             else:
                 parts = []
-                for t in terms:
-                    if t[0] == "name":
-                        places = known[t[1]]
+                for kind, value, start, end in terms:
+                    if kind == "name":
+                        places = known[value]
                         parts.append(out[places[max(0, bisect_left(places, i) - 1)]])
                     else:
-                        parts.append(t)
-                out[i] = Value(parts)
+                        parts.append((kind, start, end))
+                out[i] = Value(text, parts)
+            yield i, out[i]
             insort(known.setdefault(name, []), i)
             work += waiting.pop(name, [])
-    return out
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
@@ -164,9 +221,19 @@ def lexed(text: str) -> list[tuple[int, int]]:
     weights = [sensitivity(name) for name, _ in assigned]
     if not any(weights):
         return []
+    wanted, covered = needed(assigned, weights), 0
+    used = {t[1] for (_, terms), w in zip(assigned, wanted) if w for t in terms if t[0] == "name"}
     out, seen, work = set(), set(), []
-    for weight, value in zip(weights, valued(assigned)):
-        if weight and value and weight * value.look() >= THRESHOLD:
+    for i, (name, terms) in enumerate(assigned):
+        if wanted[i] and name not in used and terms[-1][0] == "bare" and len(terms) == 1:
+            # such a value is settled at once, and what begins inside one that is marked is marked with it
+            wanted[i] = False
+            _, _, start, end = terms[0]
+            if start >= covered and weights[i] * Value(text, [("bare", start, end)]).look() >= THRESHOLD:
+                out.add((start, end))
+                covered = end
+    for i, value in valued(assigned, wanted, text):
+        if weights[i] and weights[i] * value.look() >= THRESHOLD:
             work.append(value)
     while work:
         value = work.pop()
@@ -176,8 +243,8 @@ def lexed(text: str) -> list[tuple[int, int]]:
         for x in value.parts:
             if isinstance(x, Value):
                 work.append(x)
-            elif x[3] > x[2]:
-                out.add((x[2], x[3]))
+            elif x[2] > x[1]:
+                out.add((x[1], x[2]))
     return sorted(out)
 
 

@@ -148,7 +148,13 @@ def test_secrets_long_chain_takes_linear_time():
     began = time.monotonic()
     assert secrets.spans("a=b + " * 50_000) == []
     assert time.monotonic() - began < 20
-    assert [k for _, k, _ in secrets.spans('p = "Zk3x9QxLm2"\nsecret_key = ' + " + ".join(["p"] * 80))] == []
+    assert [k for _, k, _ in secrets.spans('p = "Zk3x9QxLm2"\nsecret_key = ' + " + ".join(["p"] * 80))] == [3]
+    began = time.monotonic()
+    assert len(secrets.lexed("".join(f'k{i} = "Zk{i}x"\n' for i in range(3000)) + "secret_key = " + " + ".join(f"k{i}" for i in range(3000)))) == 3000
+    secrets.lexed("secret_key = " + " + ".join(f"k{i}" for i in range(3000)) + "\n" + "".join(f'k{i} = "Zk{i}x"\n' for i in range(3000)))
+    secrets.lexed("secret_key = a\n" + "a=" * 100_000)
+    secrets.lexed("auth=" * 40_000 + "\n" + "pwd_" * 40_000 + "x" + "= 1;" * 40_000)
+    assert time.monotonic() - began < 20
 
 
 def test_names_stand_for_their_last_assignment():
@@ -173,6 +179,76 @@ def test_long_secrets_are_marked():
     assert time.monotonic() - began < 20
 
 
+def test_whole_values_are_read():
+    found = lambda text: [text[a:b] for a, b in secrets.lexed(text)]
+    body = "".join("Zk3x9Q+Lm2/"[i % 11] for i in range(6000))
+    assert found(f'private_key = "{body}"') == found(f"auth_key = {body}") == [body]
+    assert body[-20:] not in secrets.redacted(f"see auth_key = {body} end") and secrets.redacted(f"see auth_key = {body} end").endswith(" end")
+    assert found("n" * 400 + '_pwd = "Zk3x9QxLm2"') == ["Zk3x9QxLm2"]
+    assert found('x = "hello world"\nx = "Zk3x9QxLm2"\ndb_pwd = x') == ["Zk3x9QxLm2"]
+    chain = 'c0 = "Zk3x9QxLm2"\n' + "".join(f"c{i + 1} = c{i}\n" for i in range(11)) + "pwd = c11"
+    assert found(chain) == ["Zk3x9QxLm2"]
+
+
+def plain_lexer(text):
+    """A second reading of ``name <op> expression`` lines: split by hand, names resolved by looking back through the lines."""
+    lines, at = [], 0
+    for raw in text.split("\n"):
+        name, _, right = raw.partition(" = ")
+        terms, p = [], at + len(name) + 3
+        for part in right.split(" + "):
+            lead = len(part) - len(part.lstrip())
+            body = part.strip()
+            kind = "literal" if body[:1] == '"' else "name" if re.fullmatch(r"[A-Za-z_]\w*", body) else "bare"
+            cut = 1 if kind == "literal" else 0
+            terms.append((kind, body.strip('"'), p + lead + cut, p + lead + len(body) - cut))
+            p += len(part) + 3
+        lines.append((name, terms))
+        at += len(raw) + 1
+
+    def value(i, above):
+        """Text and places of line i; None without a value."""
+        out, places = "", []
+        for kind, body, start, end in lines[i][1]:
+            if kind == "name":
+                known = [j for j in range(i) if lines[j][0] == body and value(j, above) is not None]
+                if not known:
+                    return (body, [(start, end)], False) if not any(n == body for n, _ in lines) and len(lines[i][1]) == 1 and re.search(r"\d", body) else None
+                more = value(known[-1], above)
+                out, places = out + more[0], places + more[1]
+            else:
+                out, places = out + body, places + [(start, end)]
+        first = lines[i][1][0]
+        return out, places, first[0] == "literal" or first[0] == "name" and value([j for j in range(i) if lines[j][0] == first[1] and value(j, above)][-1], above)[2]
+
+    found = set()
+    for i, (name, _) in enumerate(lines):
+        got = value(i, i)
+        if got and secrets.sensitivity(name) * secrets.look(got[0], got[2]) >= secrets.THRESHOLD:
+            found.update(p for p in got[1] if p[1] > p[0])
+    return sorted(found)
+
+
+def test_lexer_against_a_plain_one():
+    rng = np.random.default_rng(11)
+    names = ["a", "b", "count", "db_pwd", "secretKey", "auth_header", "color", "private_key", "note1"]
+    values = ["Zk3x9QxLm2", "changeme", "hello", "a8F!kq02Lz", "MIIEow9aQ", "xx", "", "0123456", "Qp92", "The Quick"]
+    for _ in range(400):
+        made = []
+        for _ in range(int(rng.integers(1, 9))):
+            terms = []
+            for _ in range(int(rng.integers(1, 4))):
+                terms.append(f'"{rng.choice(values)}"' if rng.random() < 0.6 else str(rng.choice(names)))
+            made.append(f"{rng.choice(names)} = " + " + ".join(terms))
+        defined: set = set()
+        for k, line in enumerate(made):  # names are used after some assignment only, or never assigned
+            left, _, right = line.partition(" = ")
+            made[k] = left + " = " + " + ".join(t if t[0] == '"' or t in defined else '"Zk3x"' for t in right.split(" + "))
+            defined.add(left)
+        text = "\n".join(made)
+        assert secrets.lexed(text) == plain_lexer(text), text
+
+
 def test_redact_keeps_columns(clashing):
     out = secrets.redact(clashing.withColumn("text", F.concat("text", F.lit(" token=abcdef123"))))
     assert out.columns == clashing.columns and out.count() == clashing.count()
