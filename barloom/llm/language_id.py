@@ -1,18 +1,21 @@
 """Language identification: word-first backoff.
 
 A known word scores by its log frequency in each language.  An unseen word falls back to the longest character
-n-grams of it that the model knows, then to shorter ones.  The word and n-gram tables are counted by Spark over a
-bounded sample of labelled rows (``sample_rows``), and cut to ``max_words`` and ``max_grams`` entries over all
-languages, so the broadcast model has a fixed size whatever the corpus is.
+n-grams of it that the model knows, then to shorter ones.  Words are runs of letters (Unicode category L).  The word and
+n-gram tables are counted by Spark over a bounded sample of labelled rows (``sample_rows``, dealt equally to the
+languages), and cut to ``max_words`` and ``max_grams`` entries over all languages, so the broadcast model has a fixed
+size whatever the corpus is.
 
 Null or letterless text gives ``und`` with score 0.  No labelled row at all gives ``und`` everywhere.
-Rows whose ``lang`` is null or whose ``doc_id`` is null train nothing.  Repeated rows are scored one by one;
-ties between languages go to the one first by code point.
+Rows whose ``lang`` is null or whose ``doc_id`` is null train nothing; rows of equal id, text and language train once.
+Of more than ``most_langs`` languages those of most distinct rows are learned.  Repeated rows are scored one by one; ties between
+languages go to the one first by code point.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LONGEST = 5
-words_of = re.compile(r"[^\W\d_]+").findall
+#: Word characters that are numbers but no decimal digits, such as fractions and Roman numerals; they are no letters.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+words_of = re.compile(rf"[^\W\d_{NUMERALS}]+").findall
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -55,18 +60,28 @@ def most_frequent(counts: DataFrame, per: list[str], most: int) -> DataFrame:
     levels = counts.groupBy(*per, "n").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*per).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     least = levels.withColumn("_upto", F.sum("_c").over(upto)).where(F.col("_upto") <= most).groupBy(*per).agg(F.min("n").alias("_least"))
-    return counts.join(least, per).where("n >= _least").drop("_least")
+    # one row per language and n-gram length, a few hundred at most: without it all words of a language would meet in one task
+    return counts.join(F.broadcast(least), per).where("n >= _least").drop("_least")
 
 
-def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 80_000, max_grams: int = 120_000) -> dict:
+def sampled(docs: DataFrame, langs: dict[str, int], sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` rows ``lang, text`` by hash, the same number for each language (all of a rarer one).
+
+    ``langs`` has the number of distinct rows of each language.  Equal rows are one row, so the bound holds whatever repeats.
+    """
+    each = sample_rows / len(langs)
+    share = F.create_map(*[F.lit(x) for lang, n in langs.items() for x in (lang, int(min(1.0, each / max(n, 1)) * (1 << 30)))])
+    return docs.where(F.pmod("_h", F.lit(1 << 30)) <= share[F.col("lang")]).dropDuplicates(["lang", "_h"]).select("lang", "text")
+
+
+def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 80_000, max_grams: int = 120_000, most_langs: int = 256) -> dict:
     """The model from ``doc_id, text, lang``: languages, and one table of log-probability vectors for words and for each n-gram length."""
-    docs = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    n_langs_rows = docs.groupBy("lang").count().collect()
-    langs, total = sorted(r["lang"] for r in n_langs_rows), sum(r["count"] for r in n_langs_rows)
+    docs = docs.select("text", "lang", F.xxhash64("doc_id", "text").alias("_h")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    per = docs.groupBy("lang").agg(F.approx_count_distinct("_h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    langs = sorted(r["lang"] for r in per)
     if not langs:
         return {"langs": [], "tables": []}
-    share = min(1.0, sample_rows / total)
-    sample = docs.where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20) + 1))
+    sample = sampled(docs.where(F.col("lang").isin(langs)), {r["lang"]: r["n"] for r in per}, sample_rows)
     words = sample.select("lang", "text").mapInPandas(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     grams = words.mapInPandas(count_grams, "lang string, k int, gram string, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     kept = most_frequent(words, ["lang"], max_words // len(langs)).select("lang", F.lit(0).alias("k"), F.col("word").alias("item"), "n")

@@ -6,16 +6,17 @@ epochs of its documents and then the rows before its remaining budget; the docum
 are left of the budget (``taken``), so each source meets its target to the word.
 
 Null text has size 0; a null source is a source of its own and comes last; sources of size 0 get target 0.
-Repeated rows are separate documents.  An empty table gives an empty result.
+Repeated rows are separate documents; rows of one id are taken by size, and those of one size by a hash of their text.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.shared import WORD, hash_key, running_total, staged
+from barloom.llm.shared import WORD, hash_key, row_key, running_total, staged
 
 #: A source is read at most so many times.
 MOST_EPOCHS = 3
@@ -45,11 +46,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     return df.select("source", "source_size", share.alias("target"))
 
 
-def _planned(rows: DataFrame) -> DataFrame:
-    """``rows`` (``doc_id, source, _size`` and any ``_doc``) with ``source_size, target, _epochs, _rest, _before``: the words that a source still wants after whole epochs, and those that come before the row."""
-    rows = staged(rows.withColumn("_key", hash_key("doc_id")), "mix")
+def _planned(docs: DataFrame, *more: Column) -> DataFrame:
+    """Narrow rows ``doc_id, source, _size`` and ``more`` with ``source_size, target, _epochs, _rest, _before``: the words that a source still wants after whole epochs, and those that come before the row."""
+    rows = docs.select("doc_id", "source", word_count("text").alias("_size"), F.xxhash64("text").alias("_text"), hash_key("doc_id").alias("_key"), *more)
+    rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "mix")
     per = targets(rows.groupBy("source").agg(F.sum("_size").alias("source_size"))).withColumnRenamed("source", "_source")
-    placed = running_total(rows, "source", "_key", "_size", "_before", ["doc_id", "_size"])
+    placed = running_total(rows, "source", "_size", "_before", ["_key", "doc_id", "_size", "_text", "_row"])
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as long) div source_size")).otherwise(F.lit(0))
     rest = F.floor(F.col("target") + 0.5).cast("long") - F.col("_epochs") * F.col("source_size")
     return placed.join(per, placed["source"].eqNullSafe(per["_source"])).withColumn("_epochs", epochs).withColumn("_rest", rest)
@@ -57,7 +59,7 @@ def _planned(rows: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row of ``doc_id, text, source``; other columns aren't carried."""
-    planned = _planned(docs.select("doc_id", "source", word_count("text").alias("_size")))
+    planned = _planned(docs)
     cut = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_before")))
     return planned.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_epochs") * F.col("_size") + cut).cast("long").alias("taken"))
 
@@ -66,9 +68,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with all their columns.
 
     Texts stay whole, so the document at a source's cut comes once more if at least half of it fits; a document
-    without words comes once.
+    without words comes once.  Only narrow rows are ranked; the texts are joined to their counts once.
     """
-    planned = _planned(docs.select("doc_id", "source", word_count("text").alias("_size"), F.struct(*docs.columns).alias("_doc")))
+    planned = _planned(docs, *row_key(docs))
     again = F.when(2 * F.col("_before") + F.col("_size") <= 2 * F.col("_rest"), 1).otherwise(0)
     copies = F.when(F.col("_size") > 0, F.col("_epochs") + again).otherwise(F.lit(1))
-    return planned.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select("_doc.*")
+    per = staged(planned.groupBy("k1", "k2").agg(F.sum(copies).cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0").select(F.col("k1").alias("_taken_1"), F.col("k2").alias("_taken_2"), "_copies", "_rows"), "copies")
+    keyed = docs.select("*", *[k.alias(c) for k, c in zip(row_key(docs), ("_row_key_1", "_row_key_2"))])
+    held = keyed.join(per, (F.col("_row_key_1") == F.col("_taken_1")) & (F.col("_row_key_2") == F.col("_taken_2")))
+    if not per.where("_rows > 1").isEmpty():  # rows that are equal in all columns: one of them stands for all
+        held = held.where("_rows = 1").unionByName(held.where("_rows > 1").dropDuplicates(["_row_key_1", "_row_key_2"]))
+    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -84,15 +84,16 @@ def dominates(one: Filling, other: Filling) -> bool:
     return True
 
 
-def fillings(counts: np.ndarray, room: int, most: int = 3, steps: int = 3000) -> list[Filling]:
-    """Up to ``most`` undominated fillings of ``room``, least waste first.  A single piece that fits exactly dominates all."""
+def fillings(counts: np.ndarray, room: int, most: int | None = 3, steps: int | None = 3000) -> list[Filling]:
+    """Undominated fillings of ``room``, least waste first: up to ``most`` of them, found in ``steps`` steps, or all if both are None.  A single piece that fits exactly dominates all."""
     if room and counts[room]:
         return [(room,)]
     lengths = np.flatnonzero(counts[: room + 1])
     lengths = lengths[lengths > 0][::-1].tolist()
     if not lengths:
         return [()]
-    shortest, found, budget = lengths[-1], [], [steps]
+    shortest, found, budget = lengths[-1], [], [float("inf") if steps is None else steps]
+    enough = float("inf") if most is None else most
 
     def grow(chosen: Filling, left: int, at: int) -> None:
         full = True
@@ -102,7 +103,7 @@ def fillings(counts: np.ndarray, room: int, most: int = 3, steps: int = 3000) ->
                 continue
             full = False
             budget[0] -= 1
-            if budget[0] < 0 or found and found[0][0] == 0 and len(found) >= most:
+            if budget[0] < 0 or found and found[0][0] == 0 and len(found) >= enough:
                 return
             rest = left - length
             if rest >= shortest and counts[rest] and rest <= length and (rest != length or counts[length] > chosen.count(length) + 1):
@@ -113,18 +114,23 @@ def fillings(counts: np.ndarray, room: int, most: int = 3, steps: int = 3000) ->
         if full or left < shortest:
             found.append((left, chosen))
             found.sort(key=lambda x: (x[0], len(x[1])))
-            del found[4 * most :]
+            if most is not None:
+                del found[4 * most :]
 
     grow((), room, 0)
     out: list[Filling] = []
     for _, f in sorted(set(found), key=lambda x: (x[0], len(x[1]), tuple(-a for a in x[1]))):
-        if len(out) < most and not any(dominates(o, f) for o in out):
+        if len(out) < enough and not any(dominates(o, f) for o in out):
             out.append(f)
     return out or [()]
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 6000) -> Plan:
-    """Few sequences for the pieces: fillings with how often each is used."""
+def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = 6000, most: int | None = 3, steps: int | None = 3000) -> Plan:
+    """Few sequences for the pieces: fillings with how often each is used.
+
+    With ``nodes``, ``most`` and ``steps`` of None the search is whole: every undominated filling is tried, each used once
+    before the next choice, so the plan is a shortest one; that is for few pieces.
+    """
     counts = {length: n for length, n in counts.items() if n}
     if not counts:
         return []
@@ -143,21 +149,22 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 6000
     def frame(now: np.ndarray, made: int, waste: int) -> tuple:
         longest = int(np.flatnonzero(now)[-1])
         now[longest] -= 1
-        options = [(longest, *f) for f in fillings(now, capacity - longest)]
+        options = [(longest, *f) for f in fillings(now, capacity - longest, most, steps)]
         now[longest] += 1
         return now, len(plan), made, waste, options[::-1]
 
     stack.append(frame(start, 0, 0))
-    while stack and nodes and best > bound:
+    left = float("inf") if nodes is None else nodes
+    while stack and left and best > bound:
         now, depth, made, waste, options = stack[-1]
         del plan[depth:]
         if not options:
             stack.pop()
             continue
-        nodes -= 1
+        left -= 1
         chosen = options.pop()
         need = Counter(chosen)
-        times = min(int(now[length]) // n for length, n in need.items())
+        times = 1 if nodes is None else min(int(now[length]) // n for length, n in need.items())
         lost = waste + times * (capacity - sum(chosen))
         if total + lost > capacity * (best - 1):
             continue  # the waste so far already costs what the incumbent takes
@@ -207,10 +214,10 @@ def places(plan: Plan) -> dict[int, tuple[np.ndarray, ...]]:
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """The pieces of ``doc_id, text`` with ``sequence_id`` and ``offset``; other columns aren't carried."""
-    cut = staged(pieces(docs, path, capacity, ids).withColumn("_key", hash_key("doc_id", "piece")).withColumn("_one", F.lit(1)), "pieces")
+    key = hash_key("doc_id", "piece", "ids_crc32")
+    cut = staged(pieces(docs, path, capacity, ids).withColumns({"_key": key, "_one": F.lit(1), "_row": F.monotonically_increasing_id()}), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
     shared = docs.sparkSession.sparkContext.broadcast(places(complete(counts, capacity)))
-    ranked = running_total(cut, "length", "_key", "_one", "_rank", ["doc_id", "piece"]).drop("_key", "_one")
 
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         n, k = length.to_numpy(), rank.to_numpy()
@@ -224,5 +231,10 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False
             at[mine] = offset[run] + inside % per[run] * one
         return pd.DataFrame({"sequence_id": seq, "offset": at})
 
+    narrow = [c for c in cut.columns if c != "ids"]
+    ranked = running_total(cut.select(*narrow), "length", "_one", "_rank", ["_key", "_row"])
     placed = ranked.withColumn("_at", F.pandas_udf(place, "sequence_id long, offset long")("length", "_rank"))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset", *(["ids"] if ids else []))
+    out = placed.select("doc_id", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset", "_row")
+    if ids:  # only narrow rows are ranked; the ids are joined once
+        out = out.join(cut.select(F.col("_row").alias("_of"), "ids"), F.col("_row") == F.col("_of")).drop("_of")
+    return out.drop("_row")

@@ -7,6 +7,8 @@ computed in blocks, and the nearest ``neighbours`` vote with their labels, weigh
 
 Null, empty and featureless texts get the mean label of the sample.  Without any labelled row every score is 1:
 nothing speaks against a text.  Labels that disagree on one id count as their mean.  Repeated rows get equal scores.
+Neighbours as near as the last one that votes (to six places) vote too, so their order doesn't matter.  Of labelled ids with
+more than ``sample_rows`` rows in all, the rows least by a hash of id and text are taken.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NEIGHBOURS = 21
+#: Cosines that differ by no more count as equal.
+TIED = 1e-6
 THRESHOLD = 0.7
 split = re.compile(r"[^\x20\x09-\x0D]+").findall
 SHAPES = ((re.compile(r"[a-zß-öø-ÿ]+"), "x"), (re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "XX"), (re.compile(r"\d+"), "9"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
@@ -106,8 +110,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, vocabulary:
                 seen.update(features(t).keys())
             yield pd.DataFrame(seen.items(), columns=["name", "n"])
 
-    often = sample.select("text").mapInPandas(names, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(vocabulary).collect()
     total = sample.count()
+    if total > sample_rows:  # ids that repeat: labels bound the ids, not the rows
+        fewer = sample.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample_rows).repartition(8).persist()
+        total = fewer.count()
+        sample.unpersist()
+        sample = fewer
+
+    often = sample.select("text").mapInPandas(names, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(vocabulary).collect()
     if not often:
         sample.unpersist()
         return None
@@ -134,10 +144,11 @@ def votes(model: dict, texts, block: int = 256) -> np.ndarray:
     out, k = np.full(len(texts), float(y.mean())), min(NEIGHBOURS, len(y))
     for at in range(0, len(texts), block):
         cosines = vectors[at : at + block] @ near.T
-        best = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(cosines, best, axis=1), 0, 1).astype(np.float64) ** 4
-        total = weight.sum(axis=1)
-        out[at : at + block] = np.where(total > 0, (weight * y[best]).sum(axis=1) / np.where(total > 0, total, 1), y.mean())
+        last = np.partition(cosines, len(y) - k, axis=1)[:, len(y) - k]
+        row, best = np.nonzero(cosines >= last[:, None] - TIED)
+        weight = np.clip(cosines[row, best], 0, 1).astype(np.float64) ** 4
+        total = np.bincount(row, weight, len(cosines))
+        out[at : at + block] = np.where(total > 0, np.bincount(row, weight * y[best], len(cosines)) / np.where(total > 0, total, 1), y.mean())
     return np.clip(out, 0.0, 1.0)
 
 

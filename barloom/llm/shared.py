@@ -54,28 +54,21 @@ def row_key(df: DataFrame) -> list[F.Column]:
     return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(7), *reversed(parts)).alias("k2")]
 
 
-def same(left: DataFrame, right: DataFrame, *cols: str) -> F.Column:
-    """Null-safe equality on the columns of those names."""
-    on = None
-    for c in cols:
-        eq = left[c].eqNullSafe(right[c])
-        on = eq if on is None else on & eq
-    return on
+def running_total(df: DataFrame, group: str, size: str, out: str, order: list[str]) -> DataFrame:
+    """``df`` (narrow columns) with ``out``: the sum of ``size`` over the rows of the same ``group`` that come before in ``order``.
 
-
-def running_total(df: DataFrame, group: str, key: str, size: str, out: str, ties: list[str], bits: int = 10) -> DataFrame:
-    """Adds ``out``: the sum of ``size`` over the rows of the same ``group`` that come before in the order of ``key``.
-
-    A group may hold a third of all rows, so no window spans a group.  The 60-bit ``key`` is cut into 2**bits
-    ranges; their sums are added up over the few range rows, and only the rows of one range are sorted together.
+    A group may hold a third of all rows, so no window spans a group: the rows are dealt by ranges of group and order,
+    as many as the data needs; the ranges' sums are added up over one row per group and range, and only the rows of one
+    range are sorted together.  Give ``order`` a last column that tells all rows apart, so that ties can be split.
     """
-    df = df.withColumn("_range", F.shiftrightunsigned(F.col(key), 60 - bits))
-    sums = df.groupBy(group, "_range").agg(F.sum(size).alias("_sum"))
+    dealt = staged(df.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(group, "_range").agg(F.sum(size).alias("_sum"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(group, "_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.join(sums, df[group].eqNullSafe(sums["_g"]) & (df["_range"] == sums["_r"]))
-        .withColumn(out, F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+        dealt.withColumn(out, F.coalesce(F.sum(size).over(inside), F.lit(0)))
+        .join(sums, dealt[group].eqNullSafe(sums["_g"]) & (dealt["_range"] == sums["_r"]))
+        .withColumn(out, F.col("_base") + F.col(out))
         .drop("_range", "_g", "_r", "_base")
     )

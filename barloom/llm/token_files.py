@@ -51,7 +51,9 @@ def write(docs: DataFrame, path: str, vocabulary: str) -> None:
             done += int(ends[-1]) if len(ends) else 0
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "at", "n_tokens", "ids"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # the place in the input splits an id that very many rows have
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("n"))
+    ordered = placed.repartitionByRange("doc_id", "n").sortWithinPartitions("doc_id", "n").drop("n")
     ordered.mapInArrow(run, SCHEMA).write.options(**OPTIONS).parquet(path)
 
 

@@ -5,7 +5,7 @@ stands around it, so a text's ids are the ids of such pieces in turn.  (The lowe
 pieces are the words alone.)  A worker process remembers a bounded number of pieces, across tasks; further ones are
 encoded each time.  Pieces of ASCII and Latin-1 letters, which need no other rule of the files than those below, go to
 the library's BPE model word by word; all others go through the library's whole pipeline.  Texts with other white space
-are encoded whole.
+and those that hold one of the file's added tokens (such as its end mark) are encoded whole, as the plain call does.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ class Words(dict):
 class Encoder(dict):
     """piece -> packed ids (little-endian unsigned 32-bit numbers), remembered for a bounded number of pieces.
 
-    A piece without white space before it stands for a space and itself, one with a tab for what follows the tab.
+    A piece without white space before it stands for a space and itself, one with a tab for what follows the tab, one
+    with a zero character for what follows that, by the whole pipeline.
     """
 
     def __init__(self, path: str):
@@ -63,7 +64,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.lower = Words(self.tokenizer.model), self.tokenizer.normalizer is not None
         self.split = (LOWER_WORDS if self.lower else BYTE_WORDS).findall
 
@@ -72,8 +73,8 @@ class Encoder(dict):
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def __missing__(self, piece: str) -> bytes:
-        text = piece[1:] if piece[0] == "\t" else piece if piece[0] == "\n" or self.lower else " " + piece
-        if plain(text):
+        text = piece[1:] if piece[0] in "\t\0" else piece if piece[0] == "\n" or self.lower else " " + piece
+        if piece[0] != "\0" and plain(text):
             words = self.words
             value = b"".join([words[w] for w in self.split(text.lower() if self.lower else text)])
         else:
@@ -84,8 +85,8 @@ class Encoder(dict):
 
     def cut(self, text: str) -> list[str]:
         """The pieces of a text."""
-        if not text.replace("\n", "").isprintable():  # white space other than spaces and line feeds isn't printable
-            return ["\t" + text]
+        if not text.replace("\n", "").isprintable() or any(t in text for t in self.added):  # white space other than spaces and line feeds isn't printable
+            return ["\0" + text]
         if self.lower:
             return text.split()
         if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):

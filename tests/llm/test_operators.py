@@ -54,6 +54,68 @@ def test_unseen_words_fall_back(docs):
     assert tuple(s.vector("the")) == known
 
 
+def brute_language(model, text):
+    """The method in plain loops over the model's tables."""
+    tables, langs = model["tables"], model["langs"]
+    words, run = [], ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            run += c
+        elif run:
+            words.append(run)
+            run = ""
+    if not words:
+        return "und", 0.0
+    total = [0.0] * len(langs)
+    for w in words:
+        found = [tables[0][w]] if w in tables[0] else []
+        for k in range(5, 0, -1):
+            if not found:
+                padded = "^" + w + "$"
+                found = [tables[k][padded[i : i + k]] for i in range(len(padded) - k + 1) if padded[i : i + k] in tables[k]]
+        for j in range(len(langs)):
+            total[j] += sum(f[j] for f in found) / len(found) if found else 0.0
+    odds = [t * min(len(words), 20) / len(words) for t in total]
+    odds = [np.exp(o - max(odds)) for o in odds]
+    return langs[odds.index(max(odds))], max(odds) / sum(odds)
+
+
+def test_language_against_plain_loops(docs):
+    """Tables by counting, scores by loops."""
+    model = language_id.fit(docs)
+    counts: dict = {}
+    for r in {(r["doc_id"], r["text"], r["lang"]) for r in docs.collect() if r["doc_id"] is not None and r["text"] and r["lang"]}:
+        for w in "".join(c if c.isalpha() else " " for c in r[1].lower()).split():
+            counts.setdefault(w, Counter())[r[2]] += 1
+    assert set(model["tables"][0]) == set(counts) and model["langs"] == ["de", "en"]
+    freq = {w: [c[lang] + 0.2 for lang in model["langs"]] for w, c in counts.items()}
+    sums = [sum(f[j] for f in freq.values()) for j in range(2)]
+    for w, f in freq.items():
+        logs = [np.log(f[j] / sums[j]) for j in range(2)]
+        assert model["tables"][0][w] == pytest.approx([x - sum(logs) / 2 for x in logs])
+    scorer = language_id.Scorer(model)
+    for r in docs.collect() + [{"text": t} for t in ("brückenstein gartenfenster", "zzqx ½ x²y", "a1b2 ẞtein")]:
+        if r["text"]:
+            want, got = brute_language(model, r["text"]), scorer.label(r["text"])
+            assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-4)
+
+
+def test_only_letters_are_words(docs):
+    model = language_id.fit(docs)
+    assert [language_id.Scorer(model).label(t) for t in ("½ ² ①", "Ⅷ ⅷ", "12 _ 34", "٣ ๓")] == [("und", 0.0)] * 4
+    assert language_id.words_of("x²y ½z Ⅷa b_c d4e") == ["x", "y", "z", "a", "b", "c", "d", "e"]
+
+
+def test_language_sample_is_bounded(spark):
+    """Rows that repeat count once, and every language gets its part."""
+    df = spark.createDataFrame([(1, "der Fluss und das Haus", "de")] * 3000 + [(i, f"the river number w{i}", "en") for i in range(2, 2002)], "doc_id long, text string, lang string")
+    hashed = df.withColumn("_h", F.xxhash64("doc_id", "text"))
+    got = {r["lang"]: r["count"] for r in language_id.sampled(hashed, {"de": 1, "en": 2000}, 200).groupBy("lang").count().collect()}
+    assert got["de"] == 1 and 60 <= got["en"] <= 150
+    assert language_id.fit(df, sample_rows=200)["langs"] == ["de", "en"]
+    assert language_id.fit(df, most_langs=1)["langs"] == ["en"]
+
+
 # mixing
 
 
@@ -103,6 +165,18 @@ def test_mix_repeats_a_small_source(spark):
     assert copies[50] == copies[51] == 3 and sum(copies.values()) == 46 + 6 and mixing.mixed_documents(df).columns == df.columns
 
 
+def test_mix_of_one_id(spark):
+    """Rows of one id, of no id, and rows equal in all columns are separate documents; a hot id is split."""
+    rows_ = [(None, "w " * (1 + i % 7), "a") for i in range(200)] + [(7, f"x{i} y z", "a") for i in range(200)] + [(i, "q r", "b") for i in range(1000, 1100)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    got = [(*r[:3], round(r[3], 6), r[4]) for r in rows(mixing.mix(df), "doc_id", "size", "source_size", "target", "taken")]
+    assert same(got, brute_mix(rows_))
+    once, again = (sorted(map(str, mixing.mixed_documents(d).collect())) for d in (df, df.repartition(5)))
+    assert once == again and len(once) > 400
+    equal = spark.createDataFrame([(1, "one two", "a")] * 50 + [(2, "three four", "b")] * 10, "doc_id long, text string, source string")
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(equal).collect()) == {1: 30, 2: 30} and mixing.mix(equal).agg(F.sum("taken")).first()[0] == 120
+
+
 def test_mixed_documents_keep_columns(clashing):
     out = mixing.mixed_documents(clashing)
     assert out.columns == clashing.columns and out.where("target <> 'clash'").count() == 0
@@ -262,15 +336,25 @@ def test_tokens_equal_the_library(docs):
     texts = [r["text"] or "" for r in docs.collect()] + ["a\n\n b  c \n", "\n", "it's we're  ", "x\x1cy z", "a b c"]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         t = Tokenizer.from_file(public_tokenizers.path(name))
-        t.encode_special_tokens = True
         want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
         assert tokens.Encoder(public_tokenizers.path(name)).encode(texts) == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_of_random_texts(name):
+    """Odd characters, white space, contractions and the files' own marks, against the plain call."""
+    rng = np.random.default_rng(9)
+    parts = ["a", "the", "it's", "WE'RE", "don't", "x1y22", "½", "²", "é", "é", "ß", "İ", "ﬁ", "中文", "😀", "\u200b", "\xa0", "\t", "\n", " ", "  ", "\n\n", "\r\n", "!!", "...", "_", "<|endoftext|>", "<|startoftext|>", "<|end", "\x1c", "\0", "ſ", "'", "'s", "Ⅷ", "٣", "\u0301"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 14)))) for _ in range(4000)] + ["ab <|endoftext|> cd", "<|endoftext|>", "ab<|startoftext|>cd", ""]
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in plain.encode_batch(texts, add_special_tokens=False)]
+    got = tokens.Encoder(public_tokenizers.path(name)).encode(texts)
+    assert [(t, g) for t, g, w in zip(texts, got, want) if g != w] == []
+
+
 def test_pack(docs, none, clashing):
     path = tokens.vocabulary("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = packing.pack(docs, path, ids=True).collect()
     want = []
     for r in docs.collect():
@@ -322,6 +406,31 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert sum(n for _, n in plan) == least_bins(lengths, capacity)
 
 
+def test_whole_search_is_optimal():
+    """Without any bound every undominated filling is tried."""
+    rng = np.random.default_rng(6)
+    for _ in range(25):
+        capacity = int(rng.integers(12, 60))
+        lengths = rng.integers(max(1, capacity // 6), capacity // 2 + 2, size=int(rng.integers(6, 11))).tolist()
+        plan = packing.complete(dict(Counter(lengths)), capacity, nodes=None, most=None, steps=None)
+        assert Counter(x for f, n in plan for x in f for _ in range(n)) == Counter(lengths)
+        assert sum(n for _, n in plan) == least_bins(lengths, capacity)
+
+
+def test_completion_wins_on_hard_lengths():
+    """Lengths of a fifth to a half of a sequence: best-fit leaves gaps that completion closes."""
+    rng = np.random.default_rng(3)
+    won = 0
+    for _ in range(6):
+        counts = dict(Counter(rng.integers(200, 500, 300).tolist()))
+        plan = packing.complete(counts, 1000)
+        assert Counter({x: sum(f.count(x) * n for f, n in plan) for x in counts}) == Counter(counts)
+        made, first = sum(n for _, n in plan), sum(n for _, n in packing.best_fit(counts, 1000))
+        assert packing.least_sequences(counts, 1000) <= made <= first
+        won += made < first
+    assert won
+
+
 def test_completion_beats_best_fit():
     counts = {6: 10, 5: 10, 4: 20, 3: 20, 2: 5}
     capacity = 13
@@ -332,7 +441,6 @@ def test_completion_beats_best_fit():
 def test_token_files(spark, docs, none, clashing, tmp_path):
     path = tokens.vocabulary("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = token_files.round_trip(docs, path, f"file://{tmp_path}/a").collect()
     start, want = 0, []
     for g in sorted(got, key=lambda g: g["start"]):
@@ -421,6 +529,42 @@ def test_votes_are_exact():
         assert got[i] == pytest.approx((w * y[best]).sum() / w.sum(), abs=1e-5)
 
 
+def test_quality_against_plain_loops(spark):
+    """Features, weights, projection and vote of the model by loops."""
+    df, labels = quality_table(spark)
+    model = quality_knn.fit(df, labels.where("doc_id % 4 <> 2"), dimensions=12)
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] is not None and r["doc_id"] % 4 != 2 and r["quality"] is not None}
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    train = sorted(i for i in texts if i in known)
+    seen = Counter(f for i in train for f in quality_knn.features(texts[i]))
+    names = sorted(seen, key=lambda f: (-seen[f], f))[:4096]
+    assert list(model["space"].at) == names
+
+    def sparse(text):
+        x = np.array([0.0 if not quality_knn.features(text)[f] else (1 + np.log(quality_knn.features(text)[f])) * (np.log((len(train) + 1) / (seen[f] + 0.5)) + 0.1) for f in names])
+        return x / np.linalg.norm(x)
+
+    sample = np.array([sparse(texts[i]) for i in train])
+    full = np.linalg.svd(sample, full_matrices=False)[1]
+    assert np.linalg.norm(sample @ model["space"].axes) ** 2 >= 0.97 * (full[:12] ** 2).sum()
+    near = sample @ model["space"].axes
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    got = {r["doc_id"]: r["score"] for r in quality_knn.predict(df, model).collect()}
+    for i in list(texts)[::7]:
+        v = sparse(texts[i]) @ model["space"].axes
+        c = near @ (v / np.linalg.norm(v))
+        votes = [j for j in range(len(c)) if c[j] >= sorted(c)[-21] - 1e-6]
+        w = [max(0.0, c[j]) ** 4 for j in votes]
+        assert got[i] == pytest.approx(sum(x * known[train[j]] for x, j in zip(w, votes)) / sum(w), abs=2e-3)
+
+
+def test_quality_sample_is_bounded(spark):
+    df = spark.createDataFrame([(1, f"good words stand here {i}") for i in range(900)] + [(2, "### $$$ |||")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert len(quality_knn.fit(df, labels, sample_rows=100)["labels"]) == 100
+    assert len(quality_knn.fit(df, labels)["labels"]) == 901
+
+
 # media
 
 
@@ -489,6 +633,56 @@ def test_simhash(docs, none, clashing):
     assert sorted(i for i in ids if i is not None) == sorted({i for i, _, c in want if i is not None and i == c}) and simhash_gph.deduplicated(none).count() == 0
 
 
+def brute_groups(texts, similarity=0.8, width=5):
+    """Groups of near copies by comparing all pairs of shingle sets."""
+    made = []
+    for t in texts:
+        w = [x.lower() for x in WORD.findall(t or "")]
+        made.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = made[i], made[j]
+            if label[i] != label[j] and (not a and not b or a and b and len(a & b) >= similarity * (len(a) * len(b)) ** 0.5):
+                x, y = label[i], label[j]
+                label = [y if k == x else k for k in label]
+    return label
+
+
+def changed(text, seed, share):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"new{seed}{i}" if rng.random() < share else w for i, w in enumerate(text.split()))
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_deduplicated_loses_no_group(spark, block):
+    """Of every group of near copies one row stays: equal ids with other texts, no ids, ties, equal rows."""
+    base = [prose(2000 + i, 120) for i in range(30)]
+    rows_ = [(i, t, "s") for i, t in enumerate(base)]
+    rows_ += [(100 + i, changed(t, i, 0.012), "s") for i, t in enumerate(base[:15])] + [(200 + i, changed(t, 50 + i, 0.012), "s") for i, t in enumerate(base[:10])]
+    rows_ += [(5, base[5], "s"), (5, base[0], "s"), (5, prose(2100, 90), "s"), (5, prose(2101, 90), "s")]  # one id, a copy of its own, of another, and two texts of its own
+    rows_ += [(None, prose(2102, 90), "s")] * 3 + [(None, base[7], "s"), (None, None, "s"), (None, "", "s"), (9000, " \n", "s")]  # no ids
+    rows_ += [(9001, prose(2103, 50), s) for s in ("s", "t", None)] + [(9002, "Two Words", "s"), (9003, "two  words", "s"), (9004, "two wards", "s")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    kept = simhash_gph.deduplicated(df, block=block).collect()
+    label = brute_groups([t for _, t, _ in rows_])
+    group = {(i, t, s): k for (i, t, s), k in zip(rows_, label)}
+    assert sorted(group[tuple(r)] for r in kept) == sorted(set(label))
+    for r in kept:
+        ids = [i for (i, _, _), k in zip(rows_, label) if k == group[tuple(r)] and i is not None]
+        assert r["doc_id"] == min(ids, default=None)
+
+
+def test_near_copies_found(spark):
+    """Recall over all pairs of texts of 40 to 400 words with a cosine of 0.8 or more, planted with spread single changes."""
+    texts = [prose(3000 + i, 40 + 12 * i, "de" if i % 2 else "en") for i in range(30)]
+    made = [(100 * i, t) for i, t in enumerate(texts)] + [(100 * i + k, changed(t, 97 * i + k, 0.01 * (1 + k % 4))) for i, t in enumerate(texts) for k in range(1, 8)]
+    got = {r["doc_id"]: r["label"] for r in simhash_gph.near_copies(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    pairs = [(i, j) for i, t in made for j, u in made if i < j and i // 100 == j // 100 and simhash_gph.cosine(t, u) >= 0.8]
+    assert len(pairs) > 150 and sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+    assert all(a // 100 == b // 100 for a in got for b in got if got[a] == got[b])
+
+
 @pytest.mark.parametrize("block", [4, 4096])
 def test_links_join_what_brute_force_joins(spark, block):
     """Planted chains and balls of near fingerprints, in blocks of any size."""
@@ -604,6 +798,44 @@ def test_passages_with_changed_words(every, least):
     assert found >= least
 
 
+@pytest.mark.parametrize("words,share,least", [(60, 0.05, 39), (60, 0.1, 38), (60, 0.15, 36), (100, 0.1, 39), (100, 0.15, 38), (200, 0.15, 39)])
+def test_planted_passages_through_spark(spark, words, share, least):
+    """Of 40 passages with random changed words, so many are found by the whole operator; nothing else is."""
+    texts, span = {}, {}
+    for t in range(40):
+        shared = prose(5000 + t, words)
+        rng = np.random.default_rng(t)
+        other = " ".join(f"c{t}x{i}" if 0 < i < words - 1 and rng.random() < share else w for i, w in enumerate(shared.split()))
+        for side, body in ((0, shared), (1, other)):
+            before = prose(6000 + 2 * t + side, 80) + " "
+            texts[10 * t + side], span[10 * t + side] = before + body + " " + prose(7000 + 2 * t + side, 60), (len(before), len(before) + len(body))
+    got = substring_chain.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert all(r["other_id"] // 10 == r["doc_id"] // 10 for r in got)
+    found = {r["doc_id"] for r in got if min(r["end"], span[r["doc_id"]][1]) - max(r["start"], span[r["doc_id"]][0]) >= 0.8 * (span[r["doc_id"]][1] - span[r["doc_id"]][0])}
+    assert len(found) >= least
+
+
+def test_long_passages_come_out_whole(spark):
+    """Nothing bounds how far a passage reaches beyond its seeds."""
+    shared = prose(8000, 3000).split()
+    rare = [w if i % 40 < 3 or 1400 < i < 1500 else f"z{i}" for i, w in enumerate(shared)]
+    same_ = [f"y{i}" if i % 4 == 1 and not 1400 < i < 1500 else w for i, w in enumerate(shared)]  # no run of five words but in the middle
+    texts = {1: " ".join(shared), 2: " ".join(same_), 3: " ".join(rare)}
+    got = [r for r in substring_chain.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect() if (r["doc_id"], r["other_id"]) == (2, 1)]
+    assert max((r["n_words"] for r in got), default=0) >= 95
+    longer = {1: "a1 " + " ".join(shared) + " b1", 2: "a2 " + " ".join(w if i % 50 else "changed" for i, w in enumerate(shared)) + " b2"}
+    (r,) = substring_chain.passages(spark.createDataFrame(list(longer.items()), "doc_id long, text string")).collect()
+    assert r["n_words"] >= 2990
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text of an id is a document; n rows of one id don't meet n times."""
+    one, two = prose(8100, 70), prose(8101, 70)
+    df = spark.createDataFrame([(5, one + " " + prose(8102, 40)), (5, two + " " + prose(8103, 40)), (5, two + " " + prose(8103, 40)), (8, prose(8104, 40) + " " + one), (9, prose(8105, 40) + " " + two)], "doc_id long, text string")
+    got = substring_chain.passages(df).collect()
+    assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in got} == {(5, 8), (5, 9)} and len(got) == 2
+
+
 def test_a_passage_between_unlike_words_is_cut_out():
     shared = prose(300, 60).split()
     a, d = ([w for k in range(6) for w in [*(f"{side}{k}{x}" for x in range(11)), "so", "it", f"is{k}"]] for side in "xy")
