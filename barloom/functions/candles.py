@@ -34,9 +34,9 @@ def micros(column: str | Column) -> Column:
     return F.unix_micros(F.col(column) if isinstance(column, str) else column)
 
 
-def messages(*checks: tuple[Column, str]) -> Column:
+def messages(*checks: tuple[Column, str | Column]) -> Column:
     """The messages whose condition holds, as an array (a null condition doesn't hold)."""
-    return F.array_compact(F.array(*[F.when(cond, F.lit(text)) for cond, text in checks]))
+    return F.array_compact(F.array(*[F.when(cond, F.lit(text) if isinstance(text, str) else text) for cond, text in checks]))
 
 
 def finite(column: str) -> Column:

@@ -146,7 +146,20 @@ def regime(*columns: str) -> str:
     return f"{REGIMES} SELECT {KEY}, {', '.join(columns)} FROM regimes"
 
 
-CHECKED = f"WITH {RAW}, e AS (SELECT *, {RAW_ERRORS} AS n_errors FROM raw)"
+EVIDENCE = (
+    "concat('trend=', trend, ';momentum=', momentum, ';volatility=', volatility, ';volume=', volume_regime, ';structure=', structure, ';composite=', composite_regime) AS evidence_states",
+    "'bollinger_bands_bandwidth,ema_slope,sma,sma_slope,structure_breakout_distance_dist_high,structure_breakout_distance_dist_low' AS structure_metrics",
+    "'price_vs_sma,sma_slope,ema_slope,sma,rsi,roc,macd,bollinger_bands,rvol,obv,structure_breakout_distance' AS indicators_used",
+    f'first_value("timestamp") OVER ({BY}) AS window_start',
+    '"timestamp" AS window_end',
+    "i + 1 AS candles_evaluated",
+)
+#: The texts of a raw row's errors.
+RAW_TEXTS = """list_filter([
+  CASE WHEN open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 THEN 'All OHLC prices must be strictly positive' END, CASE WHEN volume < 0 THEN 'Volume cannot be negative' END,
+  CASE WHEN high < open OR high < close OR high < low THEN 'High price must be >= Open, Close, and Low' END, CASE WHEN low > open OR low > close OR low > high THEN 'Low price must be <= Open, Close, and High' END], lambda x: x IS NOT NULL)"""
+KINDS = "array_to_string(list_sort(list_distinct(flatten(list(texts))))[1:5], '; ')"
+CHECKED = f"WITH {RAW}, e AS (SELECT *, {RAW_ERRORS} AS n_errors, {RAW_TEXTS} AS texts FROM raw)"
 LABELLED = f"""
 WITH {RAW}, f AS (SELECT *, row_number() OVER k AS rn, first_value((open, high, low, close, volume)) OVER k AS f FROM raw WINDOW k AS (PARTITION BY {KEY} ORDER BY {SEQ})),
 l AS (SELECT *, CASE WHEN rn = 1 THEN 'FIRST' WHEN (open, high, low, close, volume) = f THEN 'DUPLICATE' ELSE 'CONFLICT' END AS label FROM f)
@@ -158,7 +171,7 @@ ORACLE: dict[str, str] = {
     **{name: recursive(name) for name in ("ema", "ema_slope", "rsi", "macd", "atr", "natr")},
     "relative_strength": STRENGTH,
     **{f"regime_{d}": regime(c) for d, c in (("trend", "trend"), ("momentum", "momentum"), ("volatility", "volatility"), ("volume", "volume_regime"), ("structure", "structure"), ("composite", "composite_regime"))},
-    "regime_context": regime("trend", "momentum", "volatility", "volume_regime", "structure", "composite_regime"),
+    "regime_context": regime("trend", "momentum", "volatility", "volume_regime", "structure", "composite_regime", *EVIDENCE),
     "regime_inputs_check": f"WITH {WALK}, {INDEXED} SELECT n AS indicator_name, count(*) FILTER (i % 10 = 0) AS missing_points, 0::BIGINT AS extra_points FROM x, (SELECT unnest(['price_vs_sma', 'sma_slope', 'ema_slope', 'sma', 'rsi', 'roc', 'macd', 'bollinger_bands', 'rvol', 'obv', 'structure_breakout_distance']) AS n) GROUP BY n",
     "src_csv": f"WITH {WALK} SELECT {BARS}, 0::BIGINT AS n_errors FROM bars",
     "src_parquet": f"WITH {WALK} SELECT {BARS}, 0::BIGINT AS n_errors FROM bars",
@@ -166,13 +179,13 @@ ORACLE: dict[str, str] = {
     "sink_atomic": f"WITH {WALK} SELECT {BARS} FROM bars WHERE \"timestamp\" < {CUT0}",
     "read_candles": f"WITH {WALK} SELECT {BARS} FROM bars WHERE symbol IN ('S1', 'S7', 'S42') AND \"timestamp\" BETWEEN {CUT0} AND {CUT1}",
     "has_data": f"WITH {WALK} SELECT 'S' || s_suppkey AS symbol, 'WALK' AS exchange, '1d' AS timeframe, EXISTS (SELECT 1 FROM bars b WHERE b.symbol = 'S' || s_suppkey AND b.\"timestamp\" < TIMESTAMP '1995-01-05') AS has_data FROM supplier",
-    "dataset_catalog": f"WITH {WALK} SELECT symbol, exchange, timeframe, min(\"timestamp\") AS earliest, max(\"timestamp\") AS latest, count(*) AS record_count FROM bars GROUP BY ALL",
+    "dataset_catalog": f"WITH {WALK} SELECT symbol, exchange, timeframe, min(\"timestamp\") AS earliest, max(\"timestamp\") AS latest, count(*) AS record_count, CASE WHEN bool_or(\"timestamp\" - p > INTERVAL 1 DAY) THEN 'WARNING' ELSE 'VALID' END AS validation_status, true AS ingested FROM (SELECT *, lag(\"timestamp\") OVER ({BY}) AS p FROM bars) GROUP BY symbol, exchange, timeframe",
     "list_datasets": f"WITH {WALK} SELECT DISTINCT symbol, exchange, timeframe FROM bars",
     "drop_series": f"WITH {WALK} SELECT symbol, exchange, timeframe, count(*) AS record_count FROM bars WHERE symbol NOT LIKE '%3' GROUP BY ALL",
     "norm_keys": "SELECT event_id, upper(trim(event_type)) AS symbol, 'EVT' AS exchange, '1h' AS timeframe, true AS known FROM events",
     "norm_timestamp": "SELECT event_id, ts AS aware, ts - INTERVAL 330 MINUTE AS localized, CAST(NULL AS TIMESTAMP) AS naive FROM events",
     "norm_number": "SELECT event_id, value AS parsed, CAST(NULL AS DOUBLE) AS not_finite, CAST(NULL AS DOUBLE) AS not_numeric FROM events",
-    "row_errors": f"{CHECKED} SELECT symbol, exchange, timeframe, count(*) AS records_read, count(*) FILTER (n_errors > 0) AS bad_rows, sum(n_errors)::BIGINT AS error_texts FROM e GROUP BY ALL",
+    "row_errors": f"{CHECKED} SELECT symbol, exchange, timeframe, count(*) AS records_read, count(*) FILTER (n_errors > 0) AS bad_rows, sum(n_errors)::BIGINT AS error_texts, {KINDS} AS kinds FROM e GROUP BY symbol, exchange, timeframe",
     "filter_range": f"WITH {RAW} SELECT symbol, exchange, timeframe, count(*) AS n FROM raw WHERE \"timestamp\" BETWEEN {CUT0} AND {CUT1} GROUP BY ALL",
     "validate_candle": f"{CHECKED} SELECT {KEY}, l_orderkey, l_linenumber, l_partkey, n_errors::BIGINT AS n_errors, n_errors = 0 AS is_valid FROM e",
     "validate_series_strict": f"WITH {RAW}, v AS (SELECT *, ((coalesce(lag(\"timestamp\") OVER (PARTITION BY symbol ORDER BY {SEQ}) >= \"timestamp\", false))::INT + (high < low)::INT + (high < open OR high < close)::INT + (low > open OR low > close)::INT + (volume < 0)::INT) AS n FROM raw) SELECT {KEY}, l_orderkey, l_linenumber, l_partkey, n::BIGINT AS n_violations FROM v WHERE n > 0",
@@ -186,9 +199,16 @@ ORACLE: dict[str, str] = {
     "quality_report": f"""{CHECKED},
 n AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY {SEQ}) > 1 AS again, lag("timestamp") OVER (PARTITION BY symbol ORDER BY {SEQ}) AS previous FROM e)
 SELECT symbol, exchange, timeframe, count(*) AS record_count, sum(n_errors)::BIGINT AS candle_errors, count(*) FILTER (previous > "timestamp") AS ordering_errors, count(*) FILTER (again) AS duplicates, 0::BIGINT AS gaps,
-       CASE WHEN sum(n_errors) > 0 OR count(*) FILTER (previous > "timestamp") > 0 OR count(*) FILTER (again) > 0 THEN 'INVALID' ELSE 'VALID' END AS status
-FROM n GROUP BY ALL""",
-    "coverage_report": f"WITH {EVENT}, g AS (SELECT *, \"timestamp\" - lag(\"timestamp\") OVER ({BY}) > INTERVAL 90 MINUTE AS gap FROM bars) SELECT symbol, exchange, timeframe, count(*) AS record_count, min(\"timestamp\") AS earliest, max(\"timestamp\") AS latest, count(*) FILTER (gap) AS potential_gap_count, count(*) FILTER (gap) > 0 AS has_potential_gaps FROM g GROUP BY ALL",
+       CASE WHEN sum(n_errors) > 0 OR count(*) FILTER (previous > "timestamp") > 0 OR count(*) FILTER (again) > 0 THEN 'INVALID' ELSE 'VALID' END AS status,
+       {KINDS} AS errors, 'data_sufficiency; candle_integrity; chronological_ordering; duplicate_detection; gap_detection' AS checks_run
+FROM n GROUP BY symbol, exchange, timeframe""",
+    "coverage_report": f"""WITH {EVENT},
+p AS (SELECT *, lag("timestamp") OVER ({BY}) AS before FROM bars),
+g AS (SELECT *, coalesce("timestamp" - before > INTERVAL 90 MINUTE, false) AS gap, sum(coalesce("timestamp" - before > INTERVAL 90 MINUTE, false)::INT) OVER ({BY}) AS k,
+             strftime(before, '%Y-%m-%d %H:%M:%S') || ' -> ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS told FROM p)
+SELECT symbol, exchange, timeframe, count(*) AS record_count, min("timestamp") AS earliest, max("timestamp") AS latest, count(*) FILTER (gap) AS potential_gap_count, count(*) FILTER (gap) > 0 AS has_potential_gaps,
+       coalesce(string_agg(told, '; ' ORDER BY told) FILTER (gap AND k <= 20), '') AS gap_details
+FROM g GROUP BY symbol, exchange, timeframe""",
     "batch_dedup": f"{LABELLED} SELECT {KEY}, l_orderkey, l_linenumber, l_partkey, label FROM l",
     "store_dedup": f"WITH {WALK} SELECT {KEY}, CASE WHEN \"timestamp\" >= {CUT1} THEN 'NEW' WHEN volume > 30 THEN 'CONFLICT' ELSE 'DUPLICATE' END AS store_label FROM bars WHERE \"timestamp\" >= {CUT0}",
     "merge_candles": f"WITH {WALK} SELECT {BARS} FROM bars",
@@ -197,9 +217,12 @@ FROM n GROUP BY ALL""",
     "compute_indicators": f"WITH {WALK}, {INDEXED}, y AS (SELECT *, {frame('avg(close)', -9)} AS m, {STD} AS s, lag(close, 5) OVER ({BY}) AS c0 FROM x) SELECT {KEY}, CASE WHEN i >= 9 THEN round(m, 6) END AS sma, CASE WHEN i >= 19 THEN round(s, 6) END AS rolling_std, CASE WHEN i >= 5 THEN round((close - c0) / c0 * 100, 6) + 0.0::DOUBLE END AS roc FROM y",
     "compute_from_store": f"WITH {WALK}, w AS (SELECT * FROM bars WHERE \"timestamp\" BETWEEN {CUT0} AND {CUT1}), y AS (SELECT *, row_number() OVER ({BY}) - 1 AS i, {SMA} AS m FROM w) SELECT {KEY}, CASE WHEN i >= 19 THEN round(m, 6) END AS sma, CASE WHEN i >= 19 THEN 'VALID' ELSE 'INSUFFICIENT_DATA' END AS sma_status FROM y",
     "latest_point": f"WITH {WALK}, {INDEXED}, y AS (SELECT *, {SMA} AS m, row_number() OVER (PARTITION BY symbol ORDER BY \"timestamp\" DESC) AS back FROM x) SELECT {KEY}, CASE WHEN i >= 19 THEN round(m, 6) END AS sma FROM y WHERE back = 1",
-    "to_long": f"""WITH {WALK}, {INDEXED}, y AS (SELECT *, {SMA} AS m, lag("timestamp", 19) OVER ({BY}) AS s19, lag("timestamp", 1) OVER ({BY}) AS s1, first_value("timestamp") OVER ({BY}) AS s0 FROM x)
-SELECT {KEY}, 'sma' AS indicator_name, CASE WHEN i >= 19 THEN round(m, 6) END AS value, CASE WHEN i >= 19 THEN 'VALID' ELSE 'INSUFFICIENT_DATA' END AS status, 20 AS lookback_period, coalesce(s19, s0) AS source_window_start, i + 1 AS candles_analyzed FROM y
-UNION ALL SELECT {KEY}, 'true_range', round({TR}, 6), 'VALID', CASE WHEN i = 0 THEN 1 ELSE 2 END, coalesce(s1, s0), i + 1 FROM y""",
+    "to_long": f"""WITH {WALK}, {INDEXED}, y AS (SELECT *, {SMA} AS m, {STD} AS sd, lag("timestamp", 19) OVER ({BY}) AS s19, lag("timestamp", 1) OVER ({BY}) AS s1, first_value("timestamp") OVER ({BY}) AS s0 FROM x)
+SELECT {KEY}, 'sma' AS indicator_name, CASE WHEN i >= 19 THEN round(m, 6) END AS value, NULL::DOUBLE AS middle, NULL::DOUBLE AS upper, CASE WHEN i >= 19 THEN 'VALID' ELSE 'INSUFFICIENT_DATA' END AS status,
+       '1.0.0' AS version, 'period=20' AS parameters, 20 AS lookback_period, coalesce(s19, s0) AS source_window_start, i + 1 AS candles_analyzed FROM y
+UNION ALL SELECT {KEY}, 'true_range', round({TR}, 6), NULL, NULL, 'VALID', '1.0.0', '', CASE WHEN i = 0 THEN 1 ELSE 2 END, coalesce(s1, s0), i + 1 FROM y
+UNION ALL SELECT {KEY}, 'bollinger_bands', NULL, CASE WHEN i >= 19 AND m > 0 THEN round(m, 6) END, CASE WHEN i >= 19 AND m > 0 THEN round(m + sd * 2.0::DOUBLE, 6) END,
+       CASE WHEN i < 19 THEN 'INSUFFICIENT_DATA' WHEN m <= 0 THEN 'INVALID' ELSE 'VALID' END, '1.0.0', 'period=20,std_multiplier=2.0', 20, coalesce(s19, s0), i + 1 FROM y""",
     "register_indicator": f"WITH {WALK}, {INDEXED}, y AS (SELECT *, {frame('max(high)', -4)} - {frame('min(low)', -4)} AS m FROM x) {shown('channel_width', 4, 'false', {'channel_width': 'm'}, 'y')}",
     "position_valuation": f"WITH {WALK}, c AS (SELECT symbol, arg_max(close, \"timestamp\") AS price FROM bars GROUP BY symbol), h AS (SELECT 'S' || s_suppkey AS symbol, floor(s_acctbal / 100) AS quantity, 60.0::DOUBLE AS average_price FROM supplier) SELECT symbol, quantity, average_price, coalesce(price, 0) AS current_price, round(quantity * CASE WHEN price > 0 THEN price ELSE average_price END, 6) AS market_value, round(CASE WHEN price > 0 THEN (price - average_price) * quantity ELSE 0 END, 6) + 0.0::DOUBLE AS unrealized_pnl FROM h LEFT JOIN c USING (symbol) WHERE quantity > 0",
     "position_average_cost": """
@@ -214,8 +237,9 @@ s AS (
          CASE WHEN f.q > 0 THEN (s.average_price * s.quantity + f.price * f.q) / (s.quantity + f.q) WHEN s.quantity + f.q > 0 THEN s.average_price ELSE 0 END
   FROM s JOIN f ON f.account = s.account AND f.symbol = s.symbol AND f.n = s.n + 1)
 SELECT account, symbol, arg_max(quantity, n) AS quantity, round(arg_max(average_price, n), 4) AS average_price FROM s GROUP BY account, symbol""",
-    "redact_text": "SELECT conv_id, turn, 'password=***REDACTED***' AS key_value, 'Authorization: Bearer ***REDACTED***' AS header, 'postgresql://app:***REDACTED***@db:5432/x' AS url, replace(text, 'the', '***REDACTED***') IS NULL AS missing FROM conversations",
-    "redact_json": """SELECT event_id, '{"inner": {"access_token": "***REDACTED***", "kind": "' || event_type || '"}, "note": "password=***REDACTED***"}' AS redacted FROM events""",
-    "redact_map": "SELECT event_id, '***REDACTED***' AS api_key, event_type AS symbol, 'Bearer ***REDACTED***' AS note FROM events",
+    "redact_text": """SELECT conv_id, turn, replace(text, 'that', '***REDACTED***') AS redacted,
+       'Authorization: Bearer ***REDACTED***, x-api-key: ***REDACTED***, ' || text || ' password=''***REDACTED***'' postgresql://app:***REDACTED***@db:5432/x bearer ***REDACTED*** end' AS around FROM conversations""",
+    "redact_json": r"""SELECT event_id, '{"inner": {"access_token": "***REDACTED***", "kind": "' || event_type || '", "body": "' || replace(props, '"', '\"') || '"}, "note": "password=***REDACTED*** of ' || event_type || '"}' AS redacted FROM events""",
+    "redact_map": "SELECT event_id, '***REDACTED***' AS api_key, event_type AS symbol, 'Bearer ***REDACTED*** for ' || props AS note, '***REDACTED***' AS auth_code, props AS body FROM events",
     "indicator_catalog": f"WITH {WALK}, n AS (SELECT symbol, count(*) AS c FROM bars GROUP BY symbol), k AS (SELECT * FROM (VALUES ('atr', 14), ('bollinger_bands', 20), ('ema', 20), ('ema_slope', 21), ('macd', 34), ('natr', 14), ('obv', 1), ('price_vs_sma', 20), ('relative_strength', 21), ('roc', 15), ('rolling_high', 20), ('rolling_low', 20), ('rolling_std', 20), ('rsi', 15), ('rvol', 20), ('sma', 20), ('sma_slope', 21), ('structure_breakout_distance', 21), ('true_range', 1), ('volume_change', 2), ('volume_sma', 20)) t(name, need)) SELECT name, need AS minimum_observations, sum(greatest(c - need + 1, 0))::BIGINT AS candles_with_value FROM k, n GROUP BY ALL",
 }

@@ -63,7 +63,19 @@ def _regime(name: str, *columns: str) -> None:
 
 for _name, _column in (("trend", "trend"), ("momentum", "momentum"), ("volatility", "volatility"), ("volume", "volume_regime"), ("structure", "structure"), ("composite", "composite_regime")):
     _regime(f"regime_{_name}", _column)
-_regime("regime_context", "trend", "momentum", "volatility", "volume_regime", "structure", "composite_regime")
+
+
+def _regime_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All states with what the evidence says of each dimension, and the provenance."""
+    out = regime.regime_context(bars(spark, sf_dir), with_evidence=True)
+    told = F.array_join(F.transform(F.array(*[F.lit(d) for d in (*regime.DIMENSIONS, "composite")]), lambda d: F.concat(F.col("evidence")[d]["dimension"], F.lit("="), F.col("evidence")[d]["state"])), ";")
+    metrics = F.array_join(F.array_sort(F.map_keys(F.col("evidence")["structure"]["contributing_metrics"])), ",")
+    provenance = [F.col(f"provenance.{c}").alias(c) for c in ("window_start", "window_end", "candles_evaluated")]
+    states = ("trend", "momentum", "volatility", "volume_regime", "structure", "composite_regime")
+    return shown(out.select(*KEY, *states, told.alias("evidence_states"), metrics.alias("structure_metrics"), F.array_join("provenance.indicators_used", ",").alias("indicators_used"), *provenance))
+
+
+QUERIES["regime_context"] = _regime_context
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,12 +153,16 @@ def has_data(spark, sf_dir):
 
 @query
 def dataset_catalog(spark, sf_dir):
-    return shown(store.dataset_catalog(bars(spark, sf_dir)))
+    """Of a real store, in two batches; ``ingested`` says whether a series has a time of ingestion."""
+    candles = bars(spark, sf_dir)
+    path = _stored(spark, candles.where(F.col("timestamp") < F.lit(CUT1)))
+    store.write(candles.where(F.col("timestamp") >= F.lit(CUT0)), path)
+    return shown(store.store_catalog(spark, path).withColumn("ingested", F.col("ingested_at").isNotNull()).drop("ingested_at"))
 
 
 @query
 def list_datasets(spark, sf_dir):
-    return store.list_datasets(bars(spark, sf_dir))
+    return store.list_datasets(store.read_candles(spark, _stored(spark, bars(spark, sf_dir))))
 
 
 @query
@@ -191,7 +207,8 @@ def line(*names: str) -> list:
 @query
 def row_errors(spark, sf_dir):
     parsed = files.parsed(_raw(spark, sf_dir), None)
-    return parsed.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("records_read"), F.count_if(F.size("errors") > 0).alias("bad_rows"), F.sum(F.size("errors")).cast("long").alias("error_texts"))
+    texts = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("errors")))), "; ")  # a few kinds of texts
+    return parsed.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("records_read"), F.count_if(F.size("errors") > 0).alias("bad_rows"), F.sum(F.size("errors")).cast("long").alias("error_texts"), texts.alias("kinds"))
 
 
 @query
@@ -254,12 +271,12 @@ def check_staleness(spark, sf_dir):
 
 @query
 def quality_report(spark, sf_dir):
-    return quality.quality_report(_raw(spark, sf_dir)).drop("errors", "checks_run")
+    return quality.quality_report(_raw(spark, sf_dir)).withColumns({c: F.array_join(c, "; ") for c in ("errors", "checks_run")})
 
 
 @query
 def coverage_report(spark, sf_dir):
-    return shown(quality.coverage_report(_hourly(spark, sf_dir)).drop("gap_details"))
+    return shown(quality.coverage_report(_hourly(spark, sf_dir)).withColumn("gap_details", F.array_join("gap_details", "; ")))
 
 
 @query
@@ -285,7 +302,9 @@ def _rows(candles: DataFrame) -> DataFrame:
 
 
 def _two_batches(spark, sf_dir) -> tuple[str, ingest.Ingested]:
-    candles, path = bars(spark, sf_dir), scratch(spark, "store")
+    path, made = scratch(spark, "store"), scratch(spark, "bars")
+    bars(spark, sf_dir).write.parquet(made)
+    candles = spark.read.parquet(made)
     ingest.ingest(_rows(candles.where(F.col("timestamp") < F.lit(CUT1))), path)
     return path, ingest.ingest(_rows(candles.where(F.col("timestamp") >= F.lit(CUT0))), path)
 
@@ -321,8 +340,10 @@ def latest_point(spark, sf_dir):
 
 @query
 def to_long(spark, sf_dir):
-    points = indicators.to_long(bars(spark, sf_dir), ["sma", "true_range"])
-    return shown(points.select(*KEY, "indicator_name", "value", "status", "provenance.lookback_period", "provenance.source_window_start", "provenance.candles_analyzed"))
+    points = indicators.to_long(bars(spark, sf_dir), ["sma", "true_range", "bollinger_bands"])
+    given = F.array_join(F.transform(F.array_sort(F.map_entries("provenance.parameters")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    parts = [F.col("components")[c].alias(c) for c in ("middle", "upper")]
+    return shown(points.select(*KEY, "indicator_name", "value", *parts, "status", "provenance.version", given.alias("parameters"), "provenance.lookback_period", "provenance.source_window_start", "provenance.candles_analyzed"))
 
 
 @query
@@ -360,26 +381,23 @@ def position_average_cost(spark, sf_dir):
 
 @query
 def redact_text(spark, sf_dir):
+    """The texts themselves, bare and with credentials around them; ``the `` stands for a secret of the caller's own."""
     talk = adapters.table(spark, sf_dir, "conversations")
     secret = F.md5("text")
-    return talk.select(
-        "conv_id",
-        "turn",
-        redact.redact_text(F.concat(F.lit("password="), secret)).alias("key_value"),
-        redact.redact_text(F.concat(F.lit("Authorization: Bearer "), secret)).alias("header"),
-        redact.redact_text(F.concat(F.lit("postgresql://app:"), secret, F.lit("@db:5432/x"))).alias("url"),
-        redact.redact_text("text", ["the "]).isNull().alias("missing"),
-    )
+    around = F.concat(F.lit("Authorization: Bearer "), secret, F.lit(", x-api-key: "), secret, F.lit(", "), F.col("text"), F.lit(" password='"), secret, F.lit("' postgresql://app:"), secret, F.lit("@db:5432/x bearer "), secret, F.lit(" end"))
+    return talk.select("conv_id", "turn", redact.redact_text("text", ["that"]).alias("redacted"), redact.redact_text(around).alias("around"))
 
 
 @query
 def redact_map(spark, sf_dir):
-    made = F.create_map(F.lit("api_key"), F.col("props"), F.lit("symbol"), F.col("event_type"), F.lit("note"), F.concat(F.lit("Bearer "), F.md5("props")))
+    note = F.concat(F.lit("Bearer "), F.md5("props"), F.lit(" for "), F.col("props"))
+    made = F.create_map(F.lit("api_key"), F.col("props"), F.lit("symbol"), F.col("event_type"), F.lit("note"), note, F.lit("Auth_Code"), F.col("event_type"), F.lit("body"), F.col("props"))
     out = adapters.table(spark, sf_dir, "events").select("event_id", made.alias("m")).withColumn("m", redact.redact_map("m"))
-    return out.select("event_id", *[F.col("m")[k].alias(k) for k in ("api_key", "symbol", "note")])
+    return out.select("event_id", *[F.col("m")[k].alias(k.lower()) for k in ("api_key", "symbol", "note", "Auth_Code", "body")])
 
 
 @query
 def redact_json(spark, sf_dir):
-    nested = F.to_json(F.struct(F.struct(F.col("props").alias("access_token"), F.col("event_type").alias("kind")).alias("inner"), F.concat(F.lit("password="), F.md5("props")).alias("note")))
+    inner = F.struct(F.col("props").alias("access_token"), F.col("event_type").alias("kind"), F.col("props").alias("body"))
+    nested = F.to_json(F.struct(inner.alias("inner"), F.concat(F.lit("password="), F.md5("props"), F.lit(" of "), F.col("event_type")).alias("note")))
     return adapters.table(spark, sf_dir, "events").withColumn("j", nested).select("event_id", redact.redact_json("j").alias("redacted"))

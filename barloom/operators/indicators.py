@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.candles import INSUFFICIENT, INVALID, KEY, NUMBERS, SERIES, VALID, series
+from barloom.operators.quality import contract
 
 #: A benchmark of at most so many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -330,17 +331,27 @@ def _against(df: DataFrame, specs: list[Spec], benchmark: DataFrame) -> DataFram
     return now.drop("_mark")
 
 
-def compute(df: DataFrame, indicators: list[str | Spec], benchmark: DataFrame | None = None, keep_index: bool = False) -> DataFrame:
+def checked(out: DataFrame) -> DataFrame:
+    """``out``, which fails when it runs on a candle that breaks the series contract.  The rows are sorted by then, so this adds no exchange."""
+    broken = contract(F.col("_earlier"))
+    told = F.concat_ws(" ", F.lit("a candle breaks the series contract:"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in KEY], F.concat_ws("; ", broken))
+    return out.where(F.when(F.size(broken) > 0, F.raise_error(told).cast("boolean")).otherwise(F.lit(True)))
+
+
+def compute(df: DataFrame, indicators: list[str | Spec], benchmark: DataFrame | None = None, keep_index: bool = False, strict: bool = True) -> DataFrame:
     """The candles of all series with columns of each indicator: its value (or ``<name>_<component>``) and ``<name>_status``.
 
-    A name given twice counts once, with the last parameters.
+    A name given twice counts once, with the last parameters.  Repeated stamps, numbers that aren't finite and bars that
+    contradict themselves fail the job that runs the result, unless ``strict`` is off; rows have no order of their own,
+    so none is checked.  An empty table gives an empty result.
     """
     specs = list({s.name: s for s in (ind(x) if isinstance(x, str) else x for x in indicators)}.values())
     by = {k: [s for s in specs if s.indicator.kind == k] for k in ("window", "series", "benchmark")}
     if by["benchmark"] and benchmark is None:
         raise ValueError("relative strength needs a benchmark")
     w = series()
-    out = df.select(*KEY, *NUMBERS).withColumns({"_i": F.row_number().over(w) - 1, "_prev": F.lag("close").over(w)})
+    out = df.select(*KEY, *NUMBERS).withColumns({"_i": F.row_number().over(w) - 1, "_prev": F.lag("close").over(w), "_earlier": F.lag("timestamp").over(w)})
+    out = checked(out).drop("_earlier") if strict else out.drop("_earlier")
     out = out.withColumns({c: v for s in by["benchmark"] for c, v in ((f"_ts{s.p['period']}", F.lag("timestamp", s.p["period"]).over(w)), (f"_close{s.p['period']}", F.lag("close", s.p["period"]).over(w)))})
     if any(s.name in ("atr", "natr") for s in by["series"]):
         out = out.withColumn("_tr", true_range())

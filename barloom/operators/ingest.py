@@ -57,7 +57,10 @@ def labelled(rows: DataFrame, stored: DataFrame, start=None, end=None) -> DataFr
 
 
 def summarised(labels: DataFrame, scope: str) -> DataFrame:
-    """One row per series: counters, first and last stamp of the unique rows, status.  ``scope`` says whose failures stop a series: its own, or the batch's."""
+    """One row per series: counters, first and last stamp of the unique rows, status.  ``scope`` says whose failures stop a series: its own, or the batch's.
+
+    The counters are written once, so that the batch's outcome is one flag of the small table.
+    """
     is_ = lambda **k: F.count_if(eval_all(**k))
     out = labels.groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("records_read"),
@@ -71,8 +74,10 @@ def summarised(labels: DataFrame, scope: str) -> DataFrame:
         F.max(F.when(F.col("label") == "FIRST", F.col("timestamp"))).alias("latest"),
     )
     own = F.col("_errors") + F.col("conflicts") > 0
-    failed = own if scope == "series" else F.max(own.cast("int")).over(Window.partitionBy(F.lit(1))) == 1
-    out = out.withColumn("_failed", failed)
+    path = scratch(labels.sparkSession, "summary")  # written, since the store that it was made from changes below
+    out.write.parquet(path)
+    out = labels.sparkSession.read.schema(out.schema).parquet(path)
+    out = out.withColumn("_failed", own if scope == "series" else F.lit(not out.where(own).isEmpty()))
     return out.select(
         *SERIES,
         "records_read",
@@ -105,21 +110,19 @@ def ingest(rows: DataFrame, store: str, start=None, end=None, scope: str = "batc
     if scope not in ("batch", "series"):
         raise ValueError("scope is batch or series")
     spark = rows.sparkSession
-    span = rows.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
-    stored = stores.read_candles(spark, store)
-    if span["a"] is not None:
-        stored = stored.where(F.col("timestamp").between(F.lit(span["a"]), F.lit(span["b"])))
-        stored = stored.join(rows.select(*SERIES).distinct(), SERIES, "left_semi")
-    labels = labelled(rows, stored, start, end).persist()
+    path = scratch(spark, "rows")  # parsed once, read for the spans and for the labels
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    seen = stores.committed(spark, store)
+    stored = stores._stored(spark, store, seen[1]).select(*KEY, *NUMBERS)
+    labels = labelled(rows, stores.near(rows, stored) if seen[1] else stored, start, end).persist()
     try:
-        path = scratch(spark, "summary")  # written, since the store that it was made from changes below
-        summarised(labels, scope).write.parquet(path)
-        summary = spark.read.parquet(path)
+        summary = summarised(labels, scope)
         ok = summary.where("status = 'SUCCESS'").select(*SERIES)
         totals = summary.agg(F.coalesce(F.sum("records_written"), F.lit(0)).alias("w"), F.count_if(F.col("status") == "FAILED").alias("f")).first()
         if totals["w"]:
-            new = labels.where("store_label = 'NEW'").join(ok, SERIES, "left_semi")
-            stores.append(new, store, batch_id)
+            new = labels.where("store_label = 'NEW'")
+            stores.append(new.join(ok, SERIES, "left_semi") if totals["f"] else new, store, batch_id, seen)
         return Ingested(summary, "FAILED" if totals["f"] and (scope == "batch" or not totals["w"]) else "SUCCESS", totals["w"])
     finally:
         labels.unpersist()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,22 +24,22 @@ def average_cost(fills: DataFrame) -> DataFrame:
     """Per ``account, symbol``: quantity and average price after all fills (``seq, side, quantity, price``) in order of ``seq``.
 
     A buy averages its price in by quantity; a sell leaves the average; at zero or less the position is gone and the
-    average starts anew.  The fold needs the state before each fill, so it runs in a helper per position.
+    average starts anew.  A quantity that stops at zero is a running sum less its running minimum.  The average of the
+    buys since the last stop is a sum of prices, each by its share at the time and by what later buys leave of it (a
+    product, held as a sum of logarithms).  All of it runs in one sort per position, in windows that spill.
     """
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        quantity = average = 0.0
-        for side, q, price in f.sort_values("n", kind="stable")[["side", "quantity", "price"]].itertuples(index=False):
-            if side == "BUY":
-                average = (average * quantity + price * q) / (quantity + q) if quantity + q else 0.0
-                quantity += q
-            elif quantity - q > 0:
-                quantity -= q
-            else:
-                quantity = average = 0.0
-        return pd.DataFrame({"account": f["account"].iloc[:1], "symbol": f["symbol"].iloc[:1], "quantity": [quantity], "average_price": [average]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in fills.schema.fields}
-    in_order = F.row_number().over(Window.partitionBy("account", "symbol").orderBy("seq"))
-    needed = fills.select("account", "symbol", in_order.alias("n"), "side", F.col("quantity").cast("double").alias("quantity"), F.col("price").cast("double").alias("price"))
-    return needed.groupBy("account", "symbol").applyInPandas(fold, f"account {kinds['account']}, symbol {kinds['symbol']}, quantity double, average_price double")
+    key = ["account", "symbol"]
+    w = Window.partitionBy(*key).orderBy("seq")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    buy = F.col("side") == "BUY"
+    rows = fills.select(*key, "seq", buy.alias("buy"), F.col("quantity").cast("double").alias("x"), F.col("price").cast("double").alias("price"))
+    rows = rows.withColumn("sum", F.sum(F.when(F.col("buy"), F.col("x")).otherwise(-F.col("x"))).over(so_far))
+    rows = rows.withColumn("held", F.col("sum") - F.least(F.min("sum").over(so_far), F.lit(0.0)))
+    rows = rows.withColumn("before", F.coalesce(F.lag("held").over(w), F.lit(0.0)))
+    grows = F.col("buy") & (F.col("held") > 0)
+    left = F.when(grows & (F.col("before") > 0), F.ln(F.col("before") / F.col("held"))).otherwise(0.0)
+    rows = rows.withColumns({"stops": F.sum((~F.col("buy") & (F.col("held") <= 0)).cast("long")).over(so_far), "part": F.when(grows, F.col("price") * F.col("x") / F.col("held")).otherwise(0.0), "left": left})
+    rows = rows.withColumns({"kept": F.sum("left").over(Window.partitionBy(*key)) - F.sum("left").over(so_far)})
+    since = rows.groupBy(*key, "stops").agg(F.sum(F.col("part") * F.exp("kept")).alias("average_price"), F.max_by("held", "seq").alias("quantity"))
+    last = since.groupBy(*key).agg(F.max_by(F.struct("quantity", "average_price"), "stops").alias("s"))
+    return last.select(*key, "s.quantity", "s.average_price")

@@ -63,16 +63,10 @@ def validate_instruments(df: DataFrame) -> DataFrame:
     return _flagged(df, (_blank("symbol"), "blank symbol"), (_blank("exchange"), "blank exchange"), (F.col("lot_size") <= 0, "lot size must be positive"), (F.col("tick_size") <= 0, "tick size must be positive"))
 
 
-def validate_series_strict(df: DataFrame, mode: str = "raise") -> DataFrame:
-    """The contract of every indicator: ascending time without repeats in each series, finite numbers, consistent bars.
-
-    ``mode="flag"`` returns the offending rows with ``violations``; ``mode="raise"`` returns ``df`` or raises.
-    Order is that of ``seq`` if the table has it, otherwise only repeated stamps can break it.  Prices may be negative.
-    """
-    by = "seq" if "seq" in df.columns else "timestamp"
-    earlier = F.lag("timestamp").over(Window.partitionBy(*SERIES).orderBy(by))
+def contract(earlier: F.Column) -> F.Column:
+    """What a candle breaks of the contract of every indicator, as texts; ``earlier`` is the stamp before it in its series."""
     numbers = finite("open") & finite("high") & finite("low") & finite("close") & finite("volume")
-    rules = messages(
+    return messages(
         (F.col("timestamp").isNull(), "no timestamp"),
         (earlier >= F.col("timestamp"), "timestamps must ascend strictly"),
         (~numbers, "numbers must be finite"),
@@ -81,6 +75,16 @@ def validate_series_strict(df: DataFrame, mode: str = "raise") -> DataFrame:
         ((F.col("low") > F.col("open")) | (F.col("low") > F.col("close")), "low above open or close"),
         (F.col("volume") < 0, "negative volume"),
     )
+
+
+def validate_series_strict(df: DataFrame, mode: str = "raise") -> DataFrame:
+    """The contract of every indicator: ascending time without repeats in each series, finite numbers, consistent bars.
+
+    ``mode="flag"`` returns the offending rows with ``violations``; ``mode="raise"`` returns ``df`` or raises.
+    Order is that of ``seq`` if the table has it, otherwise only repeated stamps can break it.  Prices may be negative.
+    """
+    by = "seq" if "seq" in df.columns else "timestamp"
+    rules = contract(F.lag("timestamp").over(Window.partitionBy(*SERIES).orderBy(by)))
     flagged = df.withColumn("violations", rules)
     if mode == "flag":
         return flagged.where(F.size("violations") > 0)

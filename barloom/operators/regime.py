@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.candles import INSUFFICIENT, KEY, NUMBERS, SERIES, VALID, series
-from barloom.operators.indicators import compute
+from barloom.operators.indicators import compute, ind
 
 REQUIRED = ["price_vs_sma", "sma_slope", "ema_slope", "sma", "rsi", "roc", "macd", "bollinger_bands", "rvol", "obv", "structure_breakout_distance"]
 DIMENSIONS = ["trend", "momentum", "volatility", "volume", "structure"]
@@ -107,12 +107,36 @@ def classified(wide: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     return out.withColumns({c: f(bounds) for c, f in made.items()}).withColumn("composite_regime", composite()).drop("_obv_before")
 
 
-def inputs_check(candles: DataFrame, points: DataFrame) -> DataFrame:
-    """For indicators that come from outside as ``KEY, indicator_name``: per required indicator, the candles without a point and the points without a candle."""
+def inputs_check(candles: DataFrame, points: DataFrame, mode: str = "report") -> DataFrame:
+    """For indicators that come from outside as ``KEY, indicator_name``: per required indicator, the candles without a point and the points without a candle.
+
+    ``mode="raise"`` returns ``points``, or raises if there are no candles or any indicator lacks or adds a point.
+    """
     want = candles.select(*KEY).withColumn("indicator_name", F.explode(F.array(*[F.lit(n) for n in REQUIRED]))).withColumn("_c", F.lit(1))
     have = points.where(F.col("indicator_name").isin(REQUIRED)).select(*KEY, "indicator_name").distinct().withColumn("_p", F.lit(1))
     both = want.join(have, [*KEY, "indicator_name"], "full_outer")
-    return both.groupBy("indicator_name").agg(F.count_if(F.col("_p").isNull()).alias("missing_points"), F.count_if(F.col("_c").isNull()).alias("extra_points"))
+    found = both.groupBy("indicator_name").agg(F.count_if(F.col("_p").isNull()).alias("missing_points"), F.count_if(F.col("_c").isNull()).alias("extra_points"))
+    if mode == "report":
+        return found
+    rows = found.collect()  # one row per required indicator
+    bad = [f"{r['indicator_name']}: {r['missing_points']} missing, {r['extra_points']} too many" for r in rows if r["missing_points"] or r["extra_points"]]
+    if bad or len(rows) < len(REQUIRED) or candles.isEmpty():
+        raise ValueError("indicators don't match the candles: " + ("; ".join(sorted(bad)) or "no candles"))
+    return points
+
+
+def regimes_of_points(candles: DataFrame, points: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
+    """The six states of every candle from indicators that come from outside, in the form of ``to_long``; raises if they don't match the candles."""
+    inputs_check(candles, points, "raise")
+    made = []
+    for name in REQUIRED:
+        mine = F.col("indicator_name") == name
+        made.append(F.first(F.when(mine, F.col("status")), True).alias(f"{name}_status"))
+        parts = ind(name).indicator.components
+        made += [F.first(F.when(mine, F.col("components")[c]), True).alias(f"{name}_{c}") for c in parts] or [F.first(F.when(mine, F.col("value")), True).alias(name)]
+    wide = points.where(F.col("indicator_name").isin(REQUIRED)).groupBy(*KEY).agg(*made)
+    states = ["trend", "momentum", "volatility", "volume_regime", "structure", "composite_regime"]
+    return classified(candles.select(*KEY, *NUMBERS).join(wide, KEY), bounds).select(*KEY, *NUMBERS, *states)
 
 
 def _evidence(name: str, state: str, metrics: list[str]) -> Column:

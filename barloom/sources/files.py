@@ -53,16 +53,19 @@ def norm_number(raw: str | Column) -> Column:
 
 
 def parsed(raw: DataFrame, zone: str | None) -> DataFrame:
-    """``seq``, keys, candle columns and ``errors`` (an array of texts) from raw columns named canonically."""
+    """``seq``, keys, candle columns and ``errors`` (an array of texts, with the values that can't be read) from raw columns named canonically."""
     kinds = {f.name: f.dataType for f in raw.schema.fields}
-    out = raw.withColumns({"timestamp": norm_timestamp("timestamp", kinds["timestamp"], zone), **{c: norm_number(c) for c in NUMBERS}})
+    raws = {f"_raw_{c}": F.col(c).cast("string") for c in ("timestamp", *NUMBERS)}
+    out = raw.withColumns(raws).withColumns({"timestamp": norm_timestamp("timestamp", kinds["timestamp"], zone), **{c: norm_number(c) for c in NUMBERS}})
     present = F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
-    checks = [(F.col("timestamp").isNull(), "bad timestamp"), *[(F.col(c).isNull(), f"bad {c}") for c in NUMBERS], (~known_timeframe(), "bad timeframe")]
-    return out.withColumn("errors", F.concat(messages(*checks), F.when(present & F.col("volume").isNotNull(), candle_errors()).otherwise(F.array().cast("array<string>"))))
+    told = lambda c: F.concat(F.lit(f"bad {c}: "), F.coalesce(F.col(f"_raw_{c}"), F.lit("null")))
+    checks = [*[(F.col(c).isNull(), told(c)) for c in ("timestamp", *NUMBERS)], (~known_timeframe(), F.concat(F.lit("bad timeframe: "), F.coalesce("timeframe", F.lit("null"))))]
+    return out.withColumn("errors", F.concat(messages(*checks), F.when(present & F.col("volume").isNotNull(), candle_errors()).otherwise(F.array().cast("array<string>")))).drop(*raws)
 
 
 def candle_errors() -> Column:
     """Texts of the candle rules that a row breaks."""
+    # The texts of the rules.
     o, h, l, c = (F.col(x) for x in PRICES)
     return messages(
         (F.col("timestamp").isNull(), "Timestamp must be timezone-aware"),

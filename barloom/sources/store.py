@@ -1,21 +1,30 @@
-"""The candle store: Parquet batches partitioned by exchange and timeframe, and a small list of committed batches.
+"""The candle store: Parquet batches partitioned by exchange and timeframe, and small numbered lists of committed batches.
 
-A batch is written to a folder of its own and then becomes visible by one rename of the list, so readers see all of it
-or nothing.  Readers take only listed folders.
+A batch is written to a folder of its own (``batch=<name>``) and becomes visible with the next list, which comes up by
+one rename that fails if another writer has made that list meanwhile.  So readers see all of a batch or nothing, and no
+writer overwrites what another one has added.  The listed folders are read as one table with ``batch`` as a partition
+column.  ``compact`` writes them anew as one batch, ``vacuum`` deletes what no list names any more.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.functions.candles import KEY, NUMBERS, SCHEMA, SERIES
+from barloom.functions.candles import KEY, NUMBERS, SCHEMA, SERIES, interval, micros, series
 
-LIST = "batches.json"
+LIST = re.compile(r"batches-(\d{10})\.json")
+STORED = T.StructType([*SCHEMA.fields, T.StructField("ingested_at", T.TimestampType()), T.StructField("batch", T.StringType())])
+
+
+class StoreChanged(RuntimeError):
+    """Another writer has committed since the store was read; nothing was made visible."""
 
 
 def _fs(spark: SparkSession, path: str):
@@ -23,72 +32,128 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def batches(spark: SparkSession, store: str) -> list[str]:
-    fs, p = _fs(spark, f"{store}/{LIST}")
+def committed(spark: SparkSession, store: str) -> tuple[int, list[str]]:
+    """The number of the newest list (0 without any) and the batches that it names."""
+    fs, p = _fs(spark, store)
     if not fs.exists(p):
-        return []
-    return json.loads("".join(r.value for r in spark.read.option("wholetext", True).text(f"{store}/{LIST}").collect()))
+        return 0, []
+    newest = max((int(m[1]) for f in fs.listStatus(p) if (m := LIST.fullmatch(f.getPath().getName()))), default=0)
+    if not newest:
+        return 0, []
+    text = spark.read.option("wholetext", True).text(f"{store}/batches-{newest:010d}.json").collect()
+    return newest, json.loads("".join(r.value for r in text))
+
+
+def batches(spark: SparkSession, store: str) -> list[str]:
+    return committed(spark, store)[1]
 
 
-def publish(spark: SparkSession, store: str, listed: list[str]) -> None:
-    """Replaces the list of committed batches by one rename."""
-    fs, target = _fs(spark, f"{store}/{LIST}")
+def publish(spark: SparkSession, store: str, listed: list[str], seen: int) -> None:
+    """Makes ``listed`` the committed batches by one rename; StoreChanged if list ``seen`` isn't the newest one any more."""
+    fs, target = _fs(spark, f"{store}/batches-{seen + 1:010d}.json")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/_{uuid.uuid4().hex}.json")
     out = fs.create(path, True)
     try:
         out.write(bytearray(json.dumps(listed).encode()))
     finally:
         out.close()
-    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    renames = spark.sparkContext._gateway.new_array(options, 1)
-    renames[0] = options.OVERWRITE
+    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri() if path.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
-    context.rename(path, target, renames)
+    try:
+        context.rename(path, target, none)
+    except Py4JJavaError as e:
+        fs.delete(path, False)
+        if "FileAlreadyExists" in str(e.java_exception):
+            raise StoreChanged(f"another writer has committed to {store}") from None
+        raise
+
 
+def _laid_out(df: DataFrame, path: str) -> None:
+    spread = df.repartition("exchange", "timeframe", F.pmod(F.xxhash64("symbol"), F.lit(64))).sortWithinPartitions("exchange", "timeframe", "symbol", "timestamp")
+    spread.write.mode("overwrite").option("compression", "snappy").partitionBy("exchange", "timeframe").parquet(path)
 
-def append(new: DataFrame, store: str, batch_id: str | None = None) -> str:
-    """Writes candles as one batch and commits it; returns its folder's name.  The caller has checked them."""
-    name = f"batch-{batch_id or uuid.uuid4().hex}"
+
+def append(new: DataFrame, store: str, batch_id: str | None = None, seen: tuple[int, list[str]] | None = None) -> str:
+    """Writes candles as one batch and commits it; returns its folder's name.  The caller has checked them against the batches ``seen``."""
+    name = f"batch={batch_id or uuid.uuid4().hex}"
     spark = new.sparkSession
-    laid_out = new.select(*KEY, *NUMBERS).withColumn("ingested_at", F.current_timestamp()).repartition("exchange", "timeframe", F.pmod(F.xxhash64("symbol"), F.lit(64))).sortWithinPartitions("exchange", "timeframe", "symbol", "timestamp")
-    laid_out.write.mode("overwrite").option("compression", "snappy").partitionBy("exchange", "timeframe").parquet(f"{store}/{name}")
-    listed = batches(spark, store)
+    number, listed = seen or committed(spark, store)
+    _laid_out(new.select(*KEY, *NUMBERS).withColumn("ingested_at", F.current_timestamp()), f"{store}/{name}")
     if name not in listed:
-        publish(spark, store, [*listed, name])
+        publish(spark, store, [*listed, name], number)
     return name
 
 
 def write(candles: DataFrame, store: str, batch_id: str | None = None) -> int:
-    """Adds candles: equal ones that are stored change nothing, other values for a stored key raise and nothing is written.  Returns how many were new."""
+    """Adds candles: equal ones that are stored change nothing; candles that break the candle rules, and other values for a stored key, raise and nothing is written.  Returns how many were new."""
     from barloom.operators.ingest import batch_dedup, store_dedup
+    from barloom.sources.files import candle_errors
 
     spark = candles.sparkSession
-    rows = candles.select(*KEY, *NUMBERS).withColumn("seq", F.monotonically_increasing_id())
-    once = batch_dedup(rows)
-    labels = store_dedup(once.where("label = 'FIRST'"), read_candles(spark, store)).persist()
+    seen = committed(spark, store)
+    rows = candles.select(*KEY, *NUMBERS).withColumn("seq", F.monotonically_increasing_id()).persist()
+    labels = None
     try:
-        clash = not once.where("label = 'CONFLICT'").isEmpty() or not labels.where("store_label = 'CONFLICT'").isEmpty()
-        if clash:
+        broken = rows.select(candle_errors().alias("e")).where(F.size("e") > 0).limit(1).collect()
+        if broken:
+            raise ValueError(f"candles break the candle rules, such as: {'; '.join(broken[0]['e'])}")
+        once = batch_dedup(rows)
+        labels = store_dedup(once.where("label = 'FIRST'"), near(rows, _stored(spark, store, seen[1]))).persist()
+        if not once.where("label = 'CONFLICT'").isEmpty() or not labels.where("store_label = 'CONFLICT'").isEmpty():
             raise ValueError("a candle of the same key has other values")
         new = labels.where("store_label = 'NEW'")
         n = new.count()
         if n:
-            append(new, store, batch_id)
+            append(new, store, batch_id, seen)
         return n
     finally:
-        labels.unpersist()
+        rows.unpersist()
+        if labels is not None:
+            labels.unpersist()
+
 
+def near(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """The stored candles of the series of ``rows``, each within the span of its rows there; the whole span prunes row groups."""
+    spans = rows.where("timestamp is not null").groupBy(*[F.col(c).alias(f"_{c}") for c in SERIES]).agg(F.min("timestamp").alias("_from"), F.max("timestamp").alias("_to"))
+    whole = spans.agg(F.min("_from").alias("a"), F.max("_to").alias("b")).first()
+    if whole["a"] is None:
+        return stored.where("false")
+    inside = stored.where(F.col("timestamp").between(F.lit(whole["a"]), F.lit(whole["b"])))
+    on = [F.col(c) == F.col(f"_{c}") for c in SERIES]
+    return inside.join(spans, [*on, F.col("timestamp").between(F.col("_from"), F.col("_to"))], "left_semi")
 
-def _stored(spark: SparkSession, store: str) -> DataFrame:
-    listed = batches(spark, store)
-    schema = T.StructType([*SCHEMA.fields, T.StructField("ingested_at", T.TimestampType())])
+
+def _stored(spark: SparkSession, store: str, listed: list[str] | None = None) -> DataFrame:
+    """One scan over all committed batches."""
+    listed = batches(spark, store) if listed is None else listed
     if not listed:
-        return spark.createDataFrame([], schema)
-    frames = [spark.read.schema(schema).parquet(f"{store}/{name}") for name in listed]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        return spark.createDataFrame([], STORED)
+    return spark.read.schema(STORED).option("basePath", store).parquet(*[f"{store}/{name}" for name in listed])
+
+
+def compact(spark: SparkSession, store: str) -> str | None:
+    """Writes all committed batches anew as one and publishes it in their place; the old folders stay for who reads them."""
+    number, listed = committed(spark, store)
+    if len(listed) < 2:
+        return None
+    name = f"batch={uuid.uuid4().hex}"
+    _laid_out(_stored(spark, store, listed).drop("batch"), f"{store}/{name}")
+    publish(spark, store, [name], number)
+    return name
+
+
+def vacuum(spark: SparkSession, store: str) -> int:
+    """Deletes the batch folders and lists that the newest list has replaced; only when nobody reads or writes them.  Returns how many batches went."""
+    number, listed = committed(spark, store)
+    fs, p = _fs(spark, store)
+    gone = 0
+    for f in fs.listStatus(p) if number else []:
+        name = f.getPath().getName()
+        old = LIST.fullmatch(name)
+        if name.startswith("batch=") and name not in listed or old and int(old[1]) < number:
+            fs.delete(f.getPath(), True)
+            gone += not old
+    return gone
 
 
 def read_candles(spark: SparkSession, store: str, symbols: list[str] | None = None, exchange: str | None = None, timeframe: str | None = None, start=None, end=None, ordered: bool = False) -> DataFrame:
@@ -113,9 +178,18 @@ def has_data(requested: DataFrame, candles: DataFrame) -> DataFrame:
 
 
 def dataset_catalog(candles: DataFrame) -> DataFrame:
-    """Per series: first and last stamp, records and, for stored candles, the last ingestion."""
+    """Per series: first and last stamp, records, ``validation_status`` and, for stored candles, the last ingestion.
+
+    The status is that of a quality report: INVALID if a candle breaks the candle rules or a stamp repeats, WARNING if
+    neighbouring stamps are further apart than the timeframe, else VALID.
+    """
+    from barloom.sources.files import candle_errors
+
+    before = F.lag("timestamp").over(series())
+    rows = candles.withColumns({"_bad": (F.size(candle_errors()) > 0) | F.coalesce(before == F.col("timestamp"), F.lit(False)), "_gap": F.coalesce(micros("timestamp") - micros(before) > interval() * 1_000_000, F.lit(False))})
     extra = [F.max("ingested_at").alias("ingested_at")] if "ingested_at" in candles.columns else []
-    return candles.groupBy(*SERIES).agg(F.min("timestamp").alias("earliest"), F.max("timestamp").alias("latest"), F.count(F.lit(1)).alias("record_count"), *extra)
+    status = F.when(F.max("_bad"), "INVALID").when(F.max("_gap"), "WARNING").otherwise("VALID")
+    return rows.groupBy(*SERIES).agg(F.min("timestamp").alias("earliest"), F.max("timestamp").alias("latest"), F.count(F.lit(1)).alias("record_count"), status.alias("validation_status"), *extra)
 
 
 def store_catalog(spark: SparkSession, store: str) -> DataFrame:
@@ -127,12 +201,14 @@ def list_datasets(candles: DataFrame) -> DataFrame:
 
 
 def drop_series(spark: SparkSession, store: str, keys: DataFrame) -> bool:
-    """Removes the series of ``keys``: the others are rewritten as one new batch, published in the place of all.  True if any was there."""
-    stored = _stored(spark, store)
-    if stored.join(keys, SERIES, "left_semi").isEmpty():
+    """Removes the series of ``keys``: the batches that hold some of them are rewritten as one, published in their place.  True if any was there."""
+    number, listed = committed(spark, store)
+    stored = _stored(spark, store, listed)
+    hit = sorted(r["batch"] for r in stored.join(keys, SERIES, "left_semi").select("batch").distinct().collect())  # names of batches
+    if not hit:
         return False
-    name = f"batch-{uuid.uuid4().hex}"
-    kept = stored.join(keys, SERIES, "left_anti").sortWithinPartitions("exchange", "timeframe", "symbol", "timestamp")
-    kept.write.partitionBy("exchange", "timeframe").parquet(f"{store}/{name}")
-    publish(spark, store, [name])
+    touched = {f"batch={b}" for b in hit}
+    name = f"batch={uuid.uuid4().hex}"
+    _laid_out(stored.where(F.col("batch").isin(hit)).join(keys, SERIES, "left_anti").drop("batch"), f"{store}/{name}")
+    publish(spark, store, [*[b for b in listed if b not in touched], name], number)
     return True

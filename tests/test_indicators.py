@@ -153,3 +153,13 @@ def test_long_form_and_latest(spark):
 def test_empty_table(spark, candles):
     none = candles([1.0]).where("false")
     assert I.compute(none, ["sma", "ema"]).count() == 0 and set(KEY) < set(I.compute(none, ["sma", "ema"]).columns)
+
+
+def test_broken_series_fail_closed(spark):
+    """Repeated stamps, numbers that aren't finite and bars that contradict themselves give no numbers."""
+    good = trend_bars(spark, 30)
+    assert I.compute(good, ["sma"]).count() == 30
+    for bad in (good.unionByName(good.limit(1)), good.withColumn("close", F.lit(float("nan"))), good.withColumn("high", F.lit(0.0)), good.withColumn("volume", F.lit(-1.0))):
+        with pytest.raises(Exception, match="breaks the series contract"):
+            I.compute(bad, ["sma"]).collect()
+        assert I.compute(bad, ["sma"], strict=False).count() >= 30

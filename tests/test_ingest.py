@@ -129,6 +129,53 @@ def test_store_reads_and_drops(spark, tmp_path):
     assert store.read_candles(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_write_validates(spark, tmp_path):
+    path, a = f"file://{tmp_path}/s", trend_bars(spark, 5)
+    for bad in (a.withColumn("close", F.lit(-1.0)), a.withColumn("volume", F.lit(float("nan"))), a.withColumn("high", F.lit(1.0)), a.withColumn("symbol", F.lit(" "))):
+        with pytest.raises(ValueError, match="rules"):
+            store.write(bad, path)
+    assert store.read_candles(spark, path).count() == 0 and store.write(a, path) == 5
+
+
+def test_no_lost_updates(spark, tmp_path):
+    """A writer whose list is outdated commits nothing; what the other one added stays."""
+    path, a, b = f"file://{tmp_path}/s", trend_bars(spark, 5), trend_bars(spark, 7, symbol="BBB")
+    store.write(a, path)
+    seen = store.committed(spark, path)
+    store.write(b, path)
+    with pytest.raises(store.StoreChanged):
+        store.append(trend_bars(spark, 3, symbol="CCC"), path, seen=seen)
+    assert {r["symbol"] for r in store.read_candles(spark, path).collect()} == {"AAA", "BBB"}
+    assert store.write(trend_bars(spark, 3, symbol="CCC"), path) == 3
+
+
+def test_many_batches_are_one_scan(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    for i in range(4):
+        store.write(trend_bars(spark, 4, symbol=f"S{i}"), path)
+    df = store.read_candles(spark, path)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan and df.count() == 16
+    before = sorted(map(tuple, df.collect()))
+    assert store.compact(spark, path) and len(store.batches(spark, path)) == 1 and store.compact(spark, path) is None
+    assert sorted(map(tuple, store.read_candles(spark, path).collect())) == before and store.vacuum(spark, path) == 4
+    assert store.write(trend_bars(spark, 4, symbol="S2"), path) == 0 and store.vacuum(spark, path) == 0
+
+
+def test_catalog_status(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store.write(trend_bars(spark, 5).unionByName(trend_bars(spark, 9, symbol="BBB").where("dayofmonth(timestamp) <> 4")), path)
+    got = {r["symbol"]: r for r in store.store_catalog(spark, path).collect()}
+    assert got["AAA"]["validation_status"] == "VALID" and got["BBB"]["validation_status"] == "WARNING" and got["AAA"]["ingested_at"] is not None
+    assert store.dataset_catalog(trend_bars(spark, 3).withColumn("low", F.lit(-1.0))).first()["validation_status"] == "INVALID"
+
+
+def test_error_texts_name_values(spark, tmp_path):
+    rows = daily(2)
+    rows[1] = (*rows[1][:4], "twelve", rows[1][5])
+    assert [r["errors"] for r in read(spark, csv(tmp_path, rows)).orderBy("seq").collect()] == [[], ["bad close: twelve"]]
+
+
 def test_duplicates_gaps_staleness(spark):
     at = lambda m: datetime(2026, 1, 1, 10, m, tzinfo=UTC)
     df = spark.createDataFrame([(*bar(t, 10, timeframe="5m"), i) for i, t in enumerate([at(0), at(5), at(0)])], SCHEMA.simpleString()[7:-1].replace(":", " ") + ", seq long")

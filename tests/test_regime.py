@@ -87,3 +87,15 @@ def test_inputs_check(spark):
     assert len(clean) == 11 and all(r["missing_points"] == r["extra_points"] == 0 for r in clean)
     missing = regime.inputs_check(df, points.where("indicator_name <> 'rsi'")).where("indicator_name = 'rsi'").first()
     assert missing["missing_points"] == 40
+
+
+def test_inputs_that_do_not_match_raise(spark):
+    df = trend_bars(spark, 40)
+    points = indicators.to_long(df, regime.REQUIRED).persist()
+    want = sorted(map(tuple, regime.regime_context(df).collect()))
+    assert sorted(map(tuple, regime.regimes_of_points(df, points).collect())) == want
+    for bad in (points.where("indicator_name <> 'rsi'"), points.where("provenance.candles_analyzed <> 7"), points.where("false")):
+        with pytest.raises(ValueError, match="match"):
+            regime.regimes_of_points(df, bad)
+    with pytest.raises(ValueError, match="match"):
+        regime.inputs_check(df.limit(30), points, "raise")
