@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import staged
+from barloom.llm.shared import release, staged
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -37,8 +37,9 @@ def components(links: DataFrame) -> DataFrame:
     now = staged(links.where(F.col(u) != F.col(v)).select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct(), "links")
     mark = _mark(now)
     while mark[0]:
-        now = staged(_stars(_stars(now, True), False), "links")
+        old, now = now, staged(_stars(_stars(now, True), False), "links")
         before, mark = mark, _mark(now)
+        release(old)
         if before == mark:
             break
     return now.select(F.col("b").alias("node"), F.col("a").alias("label"))

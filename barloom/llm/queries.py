@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import language_id, media_mpeg, mixing, packing, quality_knn, quality_rules, secrets, simhash_gph, substring_chain, token_files
-from barloom.llm.shared import small_batches, table
+from barloom.llm.shared import small_batches, staged, table
 from barloom.llm.tokens import vocabulary
 
 
@@ -56,7 +56,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 200)
-    return media_mpeg.digest(media_mpeg.encode(table(spark, sf_dir, "documents")))
+    return media_mpeg.digest(staged(media_mpeg.encode(table(spark, sf_dir, "documents")), "media"))
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,11 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{shared_dir.own}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: lineage is cut, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``df`` written as Parquet in the shared folder and read back: lineage is cut, lost executors cost nothing.
+
+    The folder goes when the application ends, or with ``release``.
+    """
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the folders of staged tables that nothing reads any more."""
+    for df in frames:
+        fs, p = _file_system(df.sparkSession, df.staged_path)
+        fs.delete(p, True)
 
 
 def hash_key(*cols) -> F.Column:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.shared import row_key, staged
+from barloom.llm.shared import release, row_key, staged
 
 BITS = 64
 WIDE = 128
@@ -312,6 +312,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     first = met.join(held.withColumnsRenamed({"node": "a", "text": "one"}), F.col("u") == F.col("a"))
     both = first.join(held.withColumnsRenamed({"node": "b", "text": "other"}), F.col("v") == F.col("b"))
     label = components(both.where(alike("one", "other") >= similarity).select("u", "v"))
+    release(met, asked, held, nodes)
     return made.join(label.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("k1", "k2", "doc_id", F.coalesce("label", "node").alias("label"))
 
 

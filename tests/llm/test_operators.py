@@ -577,7 +577,9 @@ def test_mpeg(docs, none, clashing):
         g = next(x for k, x in got.items() if k[0] == r["doc_id"] and x["payload_sha256"] == hashlib.sha256(payload).hexdigest())
         assert (g["n_bytes"], g["payload_bytes"], g["tail_crc32"]) == (len(data), len(payload), zlib.crc32(payload[-32:]))
     assert media_mpeg.digest(media_mpeg.encode(none)).count() == 0 and media_mpeg.encode(clashing).columns == ["doc_id", "n_bytes", "media"]
+    assert all(g["n_frames"] * 1152 == g["samples"] and g["hertz"] == 48000 for g in got.values())
     made = media_mpeg.index(df).where("doc_id = 103").first()
+    assert got[103, next(k[1] for k in got if k[0] == 103)]["seek_crc32"] == zlib.crc32(struct.pack(f"<{len(made['frame_offsets'])}q", *made["frame_offsets"]))
     assert made["samples"] == 1152 * len(made["frame_offsets"]) and made["bad_frames"] == made["skipped_bytes"] == 0
 
 
@@ -595,6 +597,27 @@ def test_mpeg_resynchronises():
     assert media_mpeg.parsed(b"")["offsets"] == [] and media_mpeg.header(b"\xff\xfb\x90\x00")[5] == 417
 
 
+def test_mpeg_of_other_kinds():
+    """The other variable-bitrate table, later tags, layer I with checksums, lower versions, joint stereo."""
+    plain = b"\xff\xfb\x54\xc0".ljust(192, b"\0")
+    table = bytearray(plain)
+    table[36:62] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 50, 960, 4, 2, 3, 2, 2)
+    table[62:66] = struct.pack(">HH", 64, 65)
+    tag = b"ID3\x04\x00\x00" + media_mpeg.syncsafe(10 + 200) + b"TIT2" + media_mpeg.syncsafe(200) + b"\0\0" + b"x" * 200
+    got = media_mpeg.parsed(tag + bytes(table) + plain * 4)
+    assert got["table"] == {"frames": 4, "bytes": 960, "points": [192, 195]} and len(got["offsets"]) == 4 and len(got["tags"]["TIT2"]) == 200
+    for mode, covered in ((0xC0, 16), (0x00, 32), (0x50, 20)):  # mono, stereo, joint from the eighth band
+        head = bytes([0xFF, 0xFE, 0x44, mode])  # layer I, 128 kbit/s, 48 kHz
+        alloc = bytes(range(1, covered + 1))
+        frame = (head + media_mpeg.crc16(head[2:] + alloc).to_bytes(2, "big") + alloc).ljust(128, b"\0")
+        got = media_mpeg.parsed(frame * 3)
+        assert (len(got["offsets"]), got["checked"], got["bad"], got["samples"]) == (3, 3, 0, 3 * 384)
+        assert media_mpeg.parsed(frame[:8] + b"\xaa" + frame[9:] + frame * 2)["bad"] == 1
+    low = (b"\xff\xf3\x84\xc0").ljust(192, b"\0")  # MPEG-2 layer III, 64 kbit/s, 24 kHz
+    got = media_mpeg.parsed(low * 5)
+    assert (got["samples"], got["hertz"], len(got["offsets"])) == (5 * 576, 24000, 5)
+
+
 # near duplicates
 
 
