@@ -5,7 +5,9 @@ over distinct fingerprints only.  The bits are grouped into partitions, correlat
 a threshold t_i >= -1 with sum(t_i + 1) = distance + 1, so every linked pair agrees up to t_i bits in some partition.
 Dynamic programming picks the thresholds of least cost from candidate counts estimated on a bounded sample (it steers
 the cost only, never the result).  Fingerprints probe by their partition bits with t_i of them masked; those that meet
-are verified.  A bucket beyond ``BLOCK`` fingerprints is compared block by block in tasks of their own.
+are verified.  A bucket beyond ``BLOCK`` fingerprints is compared block by block in tasks of their own; its members are
+still compared all with all, half the square of its size in XORs and bit counts, spread over as many tasks as it has
+pairs of blocks.  Thresholds grow with the number of fingerprints, which keeps buckets small.
 
 ``near_duplicates`` links by the distance of 64-bit fingerprints alone.  Of a bucket it keeps a spanning forest of the
 links, which joins the same components as all its pairs.
@@ -253,22 +255,25 @@ def content(words: list[bytes]) -> int:
 
 def apart(low: np.ndarray, high: np.ndarray, rows: slice) -> np.ndarray:
     """The distances of some fingerprints to all of them."""
-    count = lambda x: np.bitwise_count((x[rows, None] ^ x[None, :]).view(np.uint64))
-    return count(low) + count(high)
+    return np.bitwise_count(low[rows, None] ^ low[None, :]) + np.bitwise_count(high[rows, None] ^ high[None, :])
 
 
 def neighbours(node: np.ndarray, low: np.ndarray, high: np.ndarray, distance: int, rows: int = 256) -> list[tuple[int, int]]:
-    """Of each fingerprint that has others within ``distance`` bits: the nearest of them, and the one of them that has most."""
-    n = len(node)
-    degree = np.concatenate([np.count_nonzero(apart(low, high, slice(i, i + rows)) <= distance, axis=1) for i in range(0, n, rows)]) - 1
+    """Of each fingerprint that has others within ``distance`` bits: the one of them that has most, and the nearest one if that is nearer."""
+    order = np.argsort(node)  # so equal sets give equal neighbours
+    node, low, high = node[order], low[order].view(np.uint64), high[order].view(np.uint64)
+    degree = np.concatenate([np.count_nonzero(apart(low, high, slice(i, i + rows)) <= distance, axis=1) for i in range(0, len(node), rows)]) - 1
     some = np.flatnonzero(degree)
-    node, low, high, degree, out = node[some], low[some], high[some], degree[some], []
+    node, low, high, degree, out = node[some], low[some], high[some], degree[some].astype(np.int32), []
     for i in range(0, len(some), rows):
-        far = apart(low, high, slice(i, i + rows)).astype(np.int64)
+        far = apart(low, high, slice(i, i + rows))
         own = np.arange(len(far))
-        far[own, own + i] = 2 * WIDE
-        for to in (far.argmin(axis=1), np.where(far <= distance, degree[None, :], -1).argmax(axis=1)):
-            out += zip(node[i : i + rows].tolist(), node[to].tolist())
+        far[own, own + i] = 255
+        near, most = far.argmin(axis=1), np.where(far <= distance, degree[None, :], -1).argmax(axis=1)
+        nearer = far[own, near] < far[own, most]
+        here = node[i : i + rows]
+        out += zip(here.tolist(), node[most].tolist())
+        out += zip(here[nearer].tolist(), node[near[nearer]].tolist())
     return out
 
 
