@@ -851,6 +851,14 @@ def test_long_passages_come_out_whole(spark):
     assert r["n_words"] >= 2990
 
 
+def test_repeated_words_are_no_passage(spark):
+    """Runs of one or two words match in many texts; what stands around them is found as ever."""
+    shared = prose(8200, 30) + " " + "der " * 40 + prose(8201, 30)
+    texts = {1: prose(8202, 40) + " " + "der " * 90, 2: prose(8203, 40) + " " + "der " * 90, 3: "les rech " * 60 + prose(8204, 20), 4: "les rech " * 60 + prose(8205, 20), 5: prose(8206, 30) + " " + shared, 6: shared + " " + prose(8207, 30)}
+    (r,) = substring_chain.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert (r["doc_id"], r["other_id"], r["n_words"]) == (6, 5, 100)
+
+
 def test_one_id_with_several_texts(spark):
     """Each text of an id is a document; n rows of one id don't meet n times."""
     one, two = prose(8100, 70), prose(8101, 70)
