@@ -15,7 +15,6 @@ languages go to the one first by code point.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,9 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LONGEST = 5
-#: Word characters that are numbers but no decimal digits, such as fractions and Roman numerals; they are no letters.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-words_of = re.compile(rf"[^\W\d_{NUMERALS}]+").findall
+runs_of = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters.  The pattern also takes numbers that are no decimal digits, such as fractions and Roman numerals; they are cut out."""
+    found = runs_of(text)
+    if not "".join(found).isalpha():
+        found = [part for w in found for part in ("".join(c if c.isalpha() else " " for c in w).split())]
+    return found
 
 
 def grams_of(word: str, n: int) -> list[str]:
