@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import language_id, media_mpeg, mixing, packing, quality_knn, quality_rules, secrets, simhash_gph, substring_chain, token_files
+from barloom.llm import filter_audit, language_id, media_mpeg, merkle, mixing, packing, quality_knn, quality_rules, secrets, simhash_gph, substring_chain, token_files
 from barloom.llm.shared import small_batches, staged, table
 from barloom.llm.tokens import vocabulary
 
@@ -69,6 +69,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gph.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), fold(5) == 0, {"text": merkle.lowered(F.col("text"))})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_source_mix": op2_source_mix,
@@ -80,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_passages": op9_passages,
     "op10_simhash": op10_simhash,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_merkle": op13_merkle,
 }
 
 MIX_SQL = r"""
@@ -138,4 +149,4 @@ def rules_sql() -> str:
     return RULES_SQL.replace("STOPS", ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)).replace("RULES", rules)
 
 
-ORACLE: dict[str, str] = {"op2_source_mix": MIX_SQL, "op5_quality_rules": rules_sql()}
+ORACLE: dict[str, str] = {"op2_source_mix": MIX_SQL, "op5_quality_rules": rules_sql(), "op11_filter_audit": filter_audit.SQL, "op13_merkle": merkle.sql()}
