@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import filter_audit, language_id, media_mpeg, merkle, mixing, packing, quality_knn, quality_rules, secrets, simhash_gph, substring_chain, token_files
+from barloom.llm import filter_audit, language_id, media_mpeg, merkle, mixing, packing, pii, quality_knn, quality_rules, secrets, simhash_gph, substring_chain, token_files
 from barloom.llm.shared import small_batches, staged, table
 from barloom.llm.tokens import vocabulary
 
@@ -74,6 +74,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(docs, pii.fit(docs))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), fold(5) == 0, {"text": merkle.lowered(F.col("text"))})
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_passages": op9_passages,
     "op10_simhash": op10_simhash,
     "op11_filter_audit": op11_filter_audit,
+    "op12_personal_data": op12_personal_data,
     "op13_merkle": op13_merkle,
 }
 
