@@ -128,6 +128,12 @@ def siblings(at: Column) -> Column:
     return F.struct(F.concat_ws("", F.slice("kids", F.lit(1), at)).alias("left"), F.concat_ws("", F.slice("kids", at + 2, F.lit(ARITY))).alias("right"))
 
 
+def first_ways(top: DataFrame) -> DataFrame:
+    """The ways of the root's children, from the root's run."""
+    met = top.select("tree", F.posexplode("kids").alias("at", "_kid"), "kids")
+    return met.select("tree", F.col("at").cast("long").alias("idx"), F.lit(None).cast("string").alias("subroot"), F.array(siblings(F.col("at"))).alias("way"))
+
+
 def children(ways: DataFrame, runs: DataFrame) -> DataFrame:
     """The ways of the nodes one level below those of ``ways`` (``tree, idx, subroot, way``)."""
     below = runs.select(F.col("tree").alias("_t"), F.col("idx").alias("_i"), "kids")
@@ -150,10 +156,14 @@ def manifest(docs: DataFrame, tampered: Column, changed: dict[str, Column], bloc
     runs, root = forest(leaves.withColumnRenamed("leaf", "digest"), trees, total, block, fan)
 
     levels = lambda n: next(k for k in range(99) if ARITY**k >= n)
-    no_way = F.array().cast("array<struct<left:string,right:string>>")
-    ways = sources.limit(1).select(F.lit(TOP).cast("long").alias("tree"), F.lit(0).cast("long").alias("idx"), F.lit(None).cast("string").alias("subroot"), no_way.alias("way"))
-    for level in range(levels(trees), 0, -1):
-        ways = children(ways, runs.where(f"kind = 'run' and tree = {TOP} and level = {level}"))
+    of_top = lambda level: runs.where(f"kind = 'run' and tree = {TOP} and level = {level}")
+    if levels(trees):
+        ways = first_ways(of_top(levels(trees)))
+    else:  # the only source
+        no_way = F.array().cast("array<struct<left:string,right:string>>")
+        ways = sources.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(None).cast("string").alias("subroot"), no_way.alias("way"))
+    for level in range(levels(trees) - 1, 0, -1):
+        ways = children(ways, of_top(level))
     subroots = runs.where("kind = 'tree'").select(F.col("tree").alias("_t"), F.col("n"), F.col("digest"))
     tops = staged(ways.join(subroots, F.col("idx") == F.col("_t")).select(F.col("_t").alias("tree"), F.lit(0).cast("long").alias("idx"), F.col("digest").alias("subroot"), "way", depth(F.col("n")).alias("depth")), "tops")
 
