@@ -177,8 +177,16 @@ ORACLE: dict[str, str] = {
     "src_parquet": f"WITH {WALK} SELECT {BARS}, 0::BIGINT AS n_errors FROM bars",
     "sink_candles": f"WITH {WALK} SELECT {BARS} FROM bars",
     "sink_atomic": f"WITH {WALK} SELECT {BARS} FROM bars WHERE \"timestamp\" < {CUT0}",
+    "sink_replay": f"WITH {WALK} SELECT {BARS} FROM bars UNION ALL SELECT 'X' || symbol AS symbol, exchange, timeframe, \"timestamp\", open, high, low, close, volume FROM bars WHERE \"timestamp\" < {CUT0}",
     "read_candles": f"WITH {WALK} SELECT {BARS} FROM bars WHERE symbol IN ('S1', 'S7', 'S42') AND \"timestamp\" BETWEEN {CUT0} AND {CUT1}",
     "has_data": f"WITH {WALK} SELECT 'S' || s_suppkey AS symbol, 'WALK' AS exchange, '1d' AS timeframe, EXISTS (SELECT 1 FROM bars b WHERE b.symbol = 'S' || s_suppkey AND b.\"timestamp\" < TIMESTAMP '1995-01-05') AS has_data FROM supplier",
+    "has_data_window": f"""WITH {WALK},
+a AS (
+  SELECT o_orderkey, 'S' || o_custkey AS symbol, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate::TIMESTAMP END AS a,
+         CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::TIMESTAMP + to_days((o_orderkey % 23)::INT) END AS b
+  FROM orders),
+f AS (SELECT DISTINCT o_orderkey FROM a JOIN bars USING (symbol) WHERE (a IS NULL OR "timestamp" >= a) AND (b IS NULL OR "timestamp" <= b))
+SELECT o_orderkey, symbol, f.o_orderkey IS NOT NULL AS has_data FROM a LEFT JOIN f USING (o_orderkey)""",
     "dataset_catalog": f"WITH {WALK} SELECT symbol, exchange, timeframe, min(\"timestamp\") AS earliest, max(\"timestamp\") AS latest, count(*) AS record_count, CASE WHEN bool_or(\"timestamp\" - p > INTERVAL 1 DAY) THEN 'WARNING' ELSE 'VALID' END AS validation_status, true AS ingested FROM (SELECT *, lag(\"timestamp\") OVER ({BY}) AS p FROM bars) GROUP BY symbol, exchange, timeframe",
     "list_datasets": f"WITH {WALK} SELECT DISTINCT symbol, exchange, timeframe FROM bars",
     "drop_series": f"WITH {WALK} SELECT symbol, exchange, timeframe, count(*) AS record_count FROM bars WHERE symbol NOT LIKE '%3' GROUP BY ALL",
@@ -186,6 +194,10 @@ ORACLE: dict[str, str] = {
     "norm_timestamp": "SELECT event_id, ts AS aware, ts - INTERVAL 330 MINUTE AS localized, CAST(NULL AS TIMESTAMP) AS naive FROM events",
     "norm_number": "SELECT event_id, value AS parsed, CAST(NULL AS DOUBLE) AS not_finite, CAST(NULL AS DOUBLE) AS not_numeric FROM events",
     "row_errors": f"{CHECKED} SELECT symbol, exchange, timeframe, count(*) AS records_read, count(*) FILTER (n_errors > 0) AS bad_rows, sum(n_errors)::BIGINT AS error_texts, {KINDS} AS kinds FROM e GROUP BY symbol, exchange, timeframe",
+    "row_error_texts": f"""
+WITH r AS (SELECT *, l_suppkey % 4 AS p, row_number() OVER (PARTITION BY l_suppkey % 4 ORDER BY {SEQ}) AS "row" FROM lineitem)
+SELECT p, "row", 'Row ' || "row" || ' validation failure: ' || concat_ws('; ', CASE WHEN l_linenumber = 5 THEN 'bad timestamp: soon' END, CASE WHEN l_linenumber = 3 THEN 'bad open: n/a' END, CASE WHEN l_quantity > 45 THEN 'bad volume: NaN' END) AS text
+FROM r WHERE l_linenumber IN (3, 5) OR l_quantity > 45""",
     "filter_range": f"WITH {RAW} SELECT symbol, exchange, timeframe, count(*) AS n FROM raw WHERE \"timestamp\" BETWEEN {CUT0} AND {CUT1} GROUP BY ALL",
     "validate_candle": f"{CHECKED} SELECT {KEY}, l_orderkey, l_linenumber, l_partkey, n_errors::BIGINT AS n_errors, n_errors = 0 AS is_valid FROM e",
     "validate_series_strict": f"WITH {RAW}, v AS (SELECT *, ((coalesce(lag(\"timestamp\") OVER (PARTITION BY symbol ORDER BY {SEQ}) >= \"timestamp\", false))::INT + (high < low)::INT + (high < open OR high < close)::INT + (low > open OR low > close)::INT + (volume < 0)::INT) AS n FROM raw) SELECT {KEY}, l_orderkey, l_linenumber, l_partkey, n::BIGINT AS n_violations FROM v WHERE n > 0",
@@ -237,6 +249,19 @@ s AS (
          CASE WHEN f.q > 0 THEN (s.average_price * s.quantity + f.price * f.q) / (s.quantity + f.q) WHEN s.quantity + f.q > 0 THEN s.average_price ELSE 0 END
   FROM s JOIN f ON f.account = s.account AND f.symbol = s.symbol AND f.n = s.n + 1)
 SELECT account, symbol, arg_max(quantity, n) AS quantity, round(arg_max(average_price, n), 4) AS average_price FROM s GROUP BY account, symbol""",
+    "position_open": """
+WITH RECURSIVE f AS MATERIALIZED (
+  SELECT l_suppkey AS account, p_brand AS symbol, row_number() OVER (PARTITION BY l_suppkey, p_brand ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount, l_tax, l_quantity) AS n,
+         CASE WHEN l_linenumber = 5 THEN -100 WHEN l_returnflag = 'R' THEN -1 ELSE 1 END::DECIMAL(10, 2) * CASE WHEN l_linenumber = 5 THEN 1 ELSE l_quantity::DECIMAL(10, 2) / CASE WHEN l_partkey % 2 = 0 THEN 10 ELSE 100 END END::DECIMAL(10, 2) AS q,
+         l_extendedprice / l_quantity AS price
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+s AS (
+  SELECT account, symbol, n, greatest(q, 0)::DECIMAL(18, 4) AS quantity, CASE WHEN q > 0 THEN price ELSE 0 END::DOUBLE AS average_price FROM f WHERE n = 1
+  UNION ALL
+  SELECT f.account, f.symbol, f.n, greatest(s.quantity + f.q, 0)::DECIMAL(18, 4),
+         CASE WHEN f.q > 0 THEN (s.average_price * s.quantity::DOUBLE + f.price * f.q::DOUBLE) / (s.quantity + f.q)::DOUBLE WHEN s.quantity + f.q > 0 THEN s.average_price ELSE 0 END
+  FROM s JOIN f ON f.account = s.account AND f.symbol = s.symbol AND f.n = s.n + 1)
+SELECT account, symbol, arg_max(quantity, n)::DOUBLE AS quantity, round(arg_max(average_price, n), 4) AS average_price FROM s GROUP BY account, symbol HAVING arg_max(quantity, n) > 0""",
     "redact_text": """SELECT conv_id, turn, replace(text, 'that', '***REDACTED***') AS redacted,
        'Authorization: Bearer ***REDACTED***, x-api-key: ***REDACTED***, ' || text || ' password=''***REDACTED***'' postgresql://app:***REDACTED***@db:5432/x bearer ***REDACTED*** end' AS around FROM conversations""",
     "redact_json": r"""SELECT event_id, '{"inner": {"access_token": "***REDACTED***", "kind": "' || event_type || '", "body": "' || replace(props, '"', '\"') || '"}, "note": "password=***REDACTED*** of ' || event_type || '"}' AS redacted FROM events""",

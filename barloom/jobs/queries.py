@@ -140,6 +140,18 @@ def sink_atomic(spark, sf_dir):
     raise AssertionError("a conflict was written")
 
 
+@query
+def sink_replay(spark, sf_dir):
+    """Batches of one name with other content are all kept; batches that are written again add nothing."""
+    candles, path = bars(spark, sf_dir), scratch(spark, "store")
+    for part in (F.col("timestamp") < F.lit(CUT0), F.col("timestamp").between(F.lit(CUT0), F.lit(CUT1)), F.col("timestamp") < F.lit(CUT0), F.col("timestamp") > F.lit(CUT1)):
+        store.write(candles.where(part), path, "daily")
+    last = store.Batch("a stream", 3)
+    for _ in range(2):
+        store.append(candles.where(F.col("timestamp") < F.lit(CUT0)).withColumn("symbol", F.concat(F.lit("X"), F.col("symbol"))), path, last)
+    return shown(store.read_candles(spark, path))
+
+
 @query
 def read_candles(spark, sf_dir):
     return shown(store.read_candles(spark, _stored(spark, bars(spark, sf_dir)), ["s1", " S7", "S42"], "walk", "1D", CUT0, CUT1))
@@ -151,6 +163,16 @@ def has_data(spark, sf_dir):
     return store.has_data(asked, bars(spark, sf_dir).where(F.col("timestamp") < F.lit(datetime(1995, 1, 5, tzinfo=UTC))))
 
 
+@query
+def has_data_window(spark, sf_dir):
+    """Of each order: whether its customer's number names a series with a bar in the weeks after it; some windows are open on either side."""
+    day = F.to_timestamp("o_orderdate")
+    start = F.when(F.col("o_orderkey") % 7 != 0, day)
+    end = F.when(F.col("o_orderkey") % 5 != 0, F.timestamp_add("DAY", (F.col("o_orderkey") % 23).cast("int"), day))
+    asked = adapters.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("S"), F.col("o_custkey")).alias("symbol"), F.lit("WALK").alias("exchange"), F.lit("1d").alias("timeframe"), start.alias("start"), end.alias("end"))
+    return store.has_data(asked, bars(spark, sf_dir)).select("o_orderkey", "symbol", "has_data")
+
+
 @query
 def dataset_catalog(spark, sf_dir):
     """Of a real store, in two batches; ``ingested`` says whether a series has a time of ingestion."""
@@ -200,6 +222,10 @@ def _raw(spark, sf_dir) -> DataFrame:
     return adapters.raw_candles(spark, sf_dir)
 
 
+#: The columns that tell all lines apart.
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity")
+
+
 def line(*names: str) -> list:
     return [F.col(f"seq.{c}").alias(c) for c in names or ("l_orderkey", "l_linenumber", "l_partkey")]
 
@@ -211,6 +237,22 @@ def row_errors(spark, sf_dir):
     return parsed.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("records_read"), F.count_if(F.size("errors") > 0).alias("bad_rows"), F.sum(F.size("errors")).cast("long").alias("error_texts"), texts.alias("kinds"))
 
 
+@query
+def row_error_texts(spark, sf_dir):
+    """Texts with file and row number, of CSV files with values that can't be read."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    lines, path = adapters.table(spark, sf_dir, "lineitem"), scratch(spark, "csv")
+    price, unless = F.col("l_extendedprice").cast("string"), lambda bad, text, good: F.when(bad, text).otherwise(good)
+    made = lines.select(
+        (F.col("l_suppkey") % 4).alias("p"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), F.lit("x").alias("exchange"), F.lit("1d").alias("timeframe"),
+        unless(F.col("l_linenumber") == 5, "soon", F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"), unless(F.col("l_linenumber") == 3, "n/a", price).alias("open"),
+        price.alias("high"), price.alias("low"), price.alias("close"), unless(F.col("l_quantity") > 45, "NaN", F.col("l_quantity").cast("string")).alias("volume"), *LINE,
+    )
+    made.repartition(4, "p").sortWithinPartitions("p", *LINE).drop(*LINE).write.partitionBy("p").option("header", True).csv(path)
+    texts = files.error_texts(files.read_csv(spark, path, zone="UTC"))
+    return texts.select(F.regexp_extract("file", r"/p=(\d+)/", 1).cast("long").alias("p"), "row", "text")
+
+
 @query
 def filter_range(spark, sf_dir):
     return files.filter_range(_raw(spark, sf_dir), CUT0, CUT1).groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"))
@@ -379,6 +421,16 @@ def position_average_cost(spark, sf_dir):
     return positions.average_cost(adapters.fills(spark, sf_dir)).withColumn("average_price", F.round("average_price", 4))
 
 
+@query
+def position_open(spark, sf_dir):
+    """Positions of fractional quantities, in tenths and hundredths; every fifth line sells out what may be left."""
+    lines, parts = adapters.table(spark, sf_dir, "lineitem"), adapters.table(spark, sf_dir, "part")
+    sells = (F.col("l_returnflag") == "R") | (F.col("l_linenumber") == 5)
+    quantity = F.when(F.col("l_linenumber") == 5, 100.0).otherwise(F.col("l_quantity") / F.when(F.col("l_partkey") % 2 == 0, 10).otherwise(100))
+    made = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(F.col("l_suppkey").alias("account"), F.col("p_brand").alias("symbol"), F.struct("l_shipdate", *LINE).alias("seq"), F.when(sells, "SELL").otherwise("BUY").alias("side"), quantity.alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    return positions.open_positions(made).withColumn("average_price", F.round("average_price", 4))
+
+
 @query
 def redact_text(spark, sf_dir):
     """The texts themselves, bare and with credentials around them; ``the `` stands for a secret of the caller's own."""

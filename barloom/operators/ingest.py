@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from barloom.functions.candles import KEY, NUMBERS, SERIES
 from barloom.functions.scratch import scratch
 from barloom.sources import store as stores
-from barloom.sources.files import candle_errors, filter_range
+from barloom.sources.files import candle_errors, error_texts, filter_range
 
 
 def batch_dedup(df: DataFrame) -> DataFrame:
@@ -41,11 +41,12 @@ def merge_candles(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ingested:
-    """The summary by series, and the batch's outcome."""
+    """The summary by series, the batch's outcome, and the texts of bad rows by file and row number (None for rows without a place)."""
 
     summary: DataFrame
     status: str
     written: int
+    errors: DataFrame | None = None
 
 
 def labelled(rows: DataFrame, stored: DataFrame, start=None, end=None) -> DataFrame:
@@ -100,12 +101,13 @@ def eval_all(**wanted: str) -> F.Column:
     return cond
 
 
-def ingest(rows: DataFrame, store: str, start=None, end=None, scope: str = "batch", batch_id: str | None = None) -> Ingested:
+def ingest(rows: DataFrame, store: str, start=None, end=None, scope: str = "batch", batch: stores.Batch | str | None = None) -> Ingested:
     """Adds the new candles of parsed ``rows`` (as ``sources.files`` reads them) to the store at ``store``.
 
     Any row error, conflict or invalid candle stops the batch (or, with ``scope="series"``, its series): nothing of it
     is written.  Only new rows are written, whatever the store holds; the store is read for the batch's series and
-    time span alone.
+    time span alone.  ``batch`` is the batch's identity, or a name (that and the rows make the identity): a batch that the
+    store knows is SKIPPED without a look at its candles, and its summary is empty.
     """
     if scope not in ("batch", "series"):
         raise ValueError("scope is batch or series")
@@ -114,15 +116,18 @@ def ingest(rows: DataFrame, store: str, start=None, end=None, scope: str = "batc
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
     seen = stores.committed(spark, store)
-    stored = stores._stored(spark, store, seen[1]).select(*KEY, *NUMBERS)
-    labels = labelled(rows, stores.near(rows, stored) if seen[1] else stored, start, end).persist()
+    batch = stores.named(rows, batch) if isinstance(batch, str) else batch
+    if seen.knows(batch):
+        return Ingested(summarised(labelled(rows.where("false"), stores._stored(spark, store, []).select(*KEY, *NUMBERS)), scope), "SKIPPED", 0)
+    stored = stores._stored(spark, store, seen.batches).select(*KEY, *NUMBERS)
+    labels = labelled(rows, stores.near(rows, stored) if seen.batches else stored, start, end).persist()
     try:
         summary = summarised(labels, scope)
         ok = summary.where("status = 'SUCCESS'").select(*SERIES)
         totals = summary.agg(F.coalesce(F.sum("records_written"), F.lit(0)).alias("w"), F.count_if(F.col("status") == "FAILED").alias("f")).first()
         if totals["w"]:
             new = labels.where("store_label = 'NEW'")
-            stores.append(new.join(ok, SERIES, "left_semi") if totals["f"] else new, store, batch_id, seen)
-        return Ingested(summary, "FAILED" if totals["f"] and (scope == "batch" or not totals["w"]) else "SUCCESS", totals["w"])
+            stores.append(new.join(ok, SERIES, "left_semi") if totals["f"] else new, store, batch, seen)
+        return Ingested(summary, "FAILED" if totals["f"] and (scope == "batch" or not totals["w"]) else "SUCCESS", totals["w"], error_texts(rows) if {"file", "row"} <= set(rows.columns) else None)
     finally:
         labels.unpersist()

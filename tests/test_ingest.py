@@ -230,3 +230,127 @@ def test_filter_range_checks(spark):
         files.filter_range(df, datetime(2026, 1, 1))
     with pytest.raises(ValueError):
         files.filter_range(df, DAY0 + timedelta(days=1), DAY0)
+
+
+def days(spark, *numbers, symbol="AAA"):
+    return spark.createDataFrame([bar(DAY0 + timedelta(days=n), 100.0 + n, symbol=symbol) for n in numbers], SCHEMA)
+
+
+def test_batches_of_one_name_are_all_kept(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    assert store.write(days(spark, 1, 2), path, name="b") == 2
+    assert store.write(days(spark, 3), path, name="b") == 1 and store.read_candles(spark, path).count() == 3
+    assert store.write(days(spark, 2, 1), path, name="b") == 0 and len(store.batches(spark, path)) == 2
+    keys = spark.createDataFrame([("AAA", "XNSE", "1d")], "symbol string, exchange string, timeframe string")
+    assert store.drop_series(spark, path, keys)
+    assert store.write(days(spark, 1, 2), path, name="b") == 0 and store.read_candles(spark, path).count() == 0  # a replay brings nothing back
+    assert store.write(days(spark, 1, 2), path) == 2
+
+
+def test_a_known_batch_is_not_written_again(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    assert store.append(days(spark, 1), path, store.Batch("q", 4)) and store.append(days(spark, 2), path, store.Batch("q", 5))
+    assert store.append(days(spark, 3), path, store.Batch("q", 5)) is None and store.append(days(spark, 3), path, store.Batch("q", 4)) is None
+    assert store.append(days(spark, 3), path, store.Batch("p", 0))
+    assert store.committed(spark, path).writers == {"q": 5, "p": 0} and store.read_candles(spark, path).count() == 3
+    assert store.compact(spark, path) and store.committed(spark, path).writers == {"q": 5, "p": 0}
+    assert store.append(days(spark, 9), path, store.Batch("q", 5)) is None
+
+
+def test_a_replayed_ingestion_is_skipped(spark, tmp_path):
+    first = run(spark, tmp_path, daily(4), batch="jan")
+    assert (first.status, first.written) == ("SUCCESS", 4)
+    again = run(spark, tmp_path, daily(4), batch="jan")
+    assert (again.status, again.written, again.summary.count()) == ("SKIPPED", 0, 0)
+    assert run(spark, tmp_path, daily(6), batch="jan").written == 2
+
+
+def test_a_failed_attempt_leaves_no_candles(spark, tmp_path):
+    """The folder of an attempt that never committed isn't read, and the next attempt has a folder of its own."""
+    path = f"file://{tmp_path}/s"
+    store._laid_out(days(spark, 1, 2).withColumn("ingested_at", F.current_timestamp()), f"{path}/batch=lost")
+    assert store.read_candles(spark, path).count() == 0 and store.write(days(spark, 1, 2), path, name="b") == 2
+    assert store.read_candles(spark, path).count() == 2 and store.vacuum(spark, path) == 1
+
+
+def test_lists_without_writers_are_read(spark, tmp_path):
+    import json
+
+    path = f"file://{tmp_path}/s"
+    store.write(days(spark, 1), path)
+    (tmp_path / "s" / "batches-0000000002.json").write_text(json.dumps(store.batches(spark, path)))
+    assert store.committed(spark, path).writers == {} and store.write(days(spark, 2), path, name="b") == 1 and store.read_candles(spark, path).count() == 2
+
+
+@pytest.mark.parametrize("bucket", [3600, 86_400, 864_000])
+def test_windows_against_brute_force(spark, bucket):
+    import random
+
+    rng = random.Random(bucket)
+    hour = lambda h: DAY0 + timedelta(hours=h)
+    stamps = {s: sorted({rng.randrange(2000) for _ in range(n)}) for s, n in (("A", 40), ("B", 3), ("C", 0))}
+    candles = spark.createDataFrame([bar(hour(h), 10, symbol=s) for s, hs in stamps.items() for h in hs] or [], SCHEMA)
+    asked = [(i, rng.choice("ABCD"), *(None if rng.random() < 0.25 else rng.randrange(-50, 2050) for _ in range(2))) for i in range(400)] + [(400, "A", 9, 9), (401, "A", stamps["A"][0], stamps["A"][0])]
+    df = spark.createDataFrame([(i, s, "XNSE", "1d", None if a is None else hour(a), None if b is None else hour(b)) for i, s, a, b in asked], "i int, symbol string, exchange string, timeframe string, start timestamp, end timestamp")
+    got = {r["i"]: r["has_data"] for r in store.has_data(df, candles, bucket).collect()}
+    assert got == {i: any((a is None or h >= a) and (b is None or h <= b) for h in stamps.get(s, [])) for i, s, a, b in asked}
+    only_end = {r["i"]: r["has_data"] for r in store.has_data(df.drop("start"), candles, bucket).collect()}
+    assert only_end == {i: any(b is None or h <= b for h in stamps.get(s, [])) for i, s, a, b in asked}
+
+
+def test_has_data_looks_at_asked_series_only(spark):
+    df = spark.createDataFrame([("AAA", "XNSE", "1d")], "symbol string, exchange string, timeframe string")
+    plan = store.has_data(df, days(spark, 1, 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and [r["has_data"] for r in store.has_data(df, days(spark, 1, 2)).collect()] == [True]
+    assert [r["has_data"] for r in store.has_data(df, days(spark, 1, symbol="Z")).collect()] == [False]
+
+
+def test_row_numbers_over_files_and_splits(spark, tmp_path):
+    """Every row of three files has its number in its file, however the files are split."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for f, n in (("a", 700), ("b", 5), ("c", 1500)):
+        (folder / f"{f}.csv").write_text("timestamp,open,high,low,close,volume\n" + "".join(f"2026-01-01T00:00:00Z,1,1,1,1,{i if i % 100 else 'none'}\n" + "\n" * (i == 3) for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        rows = files.read_csv(spark, f"file://{folder}", "abc", "nse", "1d")
+        assert rows.select(F.spark_partition_id()).distinct().count() > 1
+        assert rows.where("volume is not null and volume <> row").count() == 0 and rows.count() == 2205
+        texts = {(r["file"][-5:], r["row"], r["text"]) for r in files.error_texts(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert texts == {(f"{f}.csv", i, f"Row {i} validation failure: bad volume: none") for f, n in (("a", 700), ("c", 1500)) for i in range(100, n + 1, 100)}
+    path = f"file://{tmp_path}/parquet"
+    spark.createDataFrame([(DAY0, 1.0, 1.0, 1.0, 1.0, float(i)) for i in range(1, 50)], "timestamp timestamp, open double, high double, low double, close double, volume double").coalesce(1).write.parquet(path)
+    assert files.read_parquet(spark, path, "a", "b", "1d").where("row <> volume").count() == 0
+
+
+def test_ingested_errors_have_places(spark, tmp_path):
+    rows = daily(3)
+    rows[1] = (*rows[1][:4], "twelve", rows[1][5])
+    r = run(spark, tmp_path, rows)
+    assert r.status == "FAILED" and [(e["file"].endswith("/x.csv"), e["row"], e["text"]) for e in r.errors.collect()] == [(True, 2, "Row 2 validation failure: bad close: twelve")]
+
+
+@pytest.mark.parametrize("session", ["America/New_York", "Asia/Kolkata", "UTC"])
+def test_stamps_do_not_depend_on_the_session(spark, tmp_path, session):
+    from datetime import date
+
+    texts = ["2020-01-02T00:00:00", "2020-01-02T00:00:00Z", "2020-07-01", "2026-03-08 02:30:00", "2025-11-02T01:30:00", "2020-01-02 03:04:05.123456", "x"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", session)
+    try:
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        micros = lambda df, zone: [r[0] for r in df.select(F.unix_micros(files.norm_timestamp("t", df.schema["t"].dataType, zone))).collect()]
+        utc = lambda *a: int(datetime(*a, tzinfo=UTC).timestamp() * 1e6)
+        assert micros(df, "UTC") == [utc(2020, 1, 2), utc(2020, 1, 2), utc(2020, 7, 1), utc(2026, 3, 8, 2, 30), utc(2025, 11, 2, 1, 30), utc(2020, 1, 2, 3, 4, 5) + 123456, None]
+        assert micros(df, "America/New_York")[2:5] == [utc(2020, 7, 1, 4), utc(2026, 3, 8, 7, 30), utc(2025, 11, 2, 5, 30)]
+        assert micros(df, None) == [None, utc(2020, 1, 2), None, None, None, None, None]
+        dates = spark.createDataFrame([(date(2020, 1, 2),)], "t date")
+        assert micros(dates, "UTC") == [utc(2020, 1, 2)] and micros(dates.select(F.col("t").cast("timestamp_ntz").alias("t")), "Asia/Kolkata") == [utc(2020, 1, 1, 18, 30)]
+        read = files.read_csv(spark, csv(tmp_path, [("2020-01-02T00:00:00", 1, 1, 1, 1, 1), ("2020-01-02T00:00:00Z", 1, 1, 1, 1, 1)]), "a", "b", "1d", "UTC")
+        assert read.select("timestamp").distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -88,3 +88,34 @@ def test_entry_without_training_data_operators():
 
     assert {"sma", "ingest", "regime_context"} <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert F is not None
+
+
+def test_average_cost_of_fractions_against_decimals(spark):
+    """20,000 positions of fills in tenths and hundredths, folded in decimals: stops are exact."""
+    from decimal import Decimal
+
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for account in range(20_000):
+        unit = Decimal("0.1") if account % 2 else Decimal("0.01")
+        quantity = average = Decimal(0)
+        for seq in range(int(rng.integers(1, 9))):
+            side, q, price = ("BUY", "SELL")[int(rng.random() < 0.5)], int(rng.integers(1, 30)) * unit, int(rng.integers(100, 9000))
+            if side == "SELL" and quantity and rng.random() < 0.4:
+                q = quantity
+            rows.append((account, "A", seq, side, float(q), price / 100))
+            if side == "BUY":
+                average, quantity = (average * quantity + Decimal(price) / 100 * q) / (quantity + q), quantity + q
+            else:
+                quantity = max(quantity - q, Decimal(0))
+                average = average if quantity else Decimal(0)
+        want[account] = (float(quantity), float(average))
+    df = spark.createDataFrame(rows, "account int, symbol string, seq int, side string, quantity double, price double")
+    got = {r["account"]: (r["quantity"], r["average_price"]) for r in positions.average_cost(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[a][0] == want[a][0] and abs(got[a][1] - want[a][1]) <= 1e-9 for a in want)
+    assert {r["account"] for r in positions.open_positions(df).collect()} == {a for a, (q, _) in want.items() if q}
+
+
+def test_a_position_sold_out_in_tenths_is_gone(spark):
+    assert fold(spark, ("SELL", 0.3, 9.0), ("BUY", 2.4, 14.78), ("SELL", 2.4, 15.0)) == (0, 0)
+    assert fold(spark, ("BUY", 0.1, 5.0), ("BUY", 0.2, 5.0), ("SELL", 0.3, 5.0), ("BUY", 0.7, 8.0)) == (0.7, 8.0)
