@@ -14,6 +14,7 @@ Null text counts as empty: a document of the end token alone.  Repeated rows are
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -92,32 +93,36 @@ def fillings(counts: np.ndarray, room: int, most: int | None = 3, steps: int | N
     lengths = lengths[lengths > 0][::-1].tolist()
     if not lengths:
         return [()]
+    falling = [-x for x in lengths]
     shortest, found, budget = lengths[-1], [], [float("inf") if steps is None else steps]
     enough = float("inf") if most is None else most
 
-    def grow(chosen: Filling, left: int, at: int) -> None:
-        full = True
-        for i in range(at, len(lengths)):
+    def note(waste: int, filling: Filling) -> None:
+        found.append((waste, filling))
+        found.sort(key=lambda x: (x[0], len(x[1])))
+        if most is not None:
+            del found[4 * most :]
+
+    def grow(chosen: Filling, left: int, at: int, more: bool) -> None:
+        """Goes on with how many pieces of one length after another; different lengths are few, since they add up to ``room``.  ``more``: another piece of the last length would fit."""
+        full = not more
+        for i in range(bisect_left(falling, -left, at), len(lengths)):
             length = lengths[i]
-            if length > left or chosen.count(length) >= counts[length]:
-                continue
+            limit = min(int(counts[length]), left // length)
             full = False
-            budget[0] -= 1
-            if budget[0] < 0 or found and found[0][0] == 0 and len(found) >= enough:
-                return
-            rest = left - length
-            if rest >= shortest and counts[rest] and rest <= length and (rest != length or counts[length] > chosen.count(length) + 1):
-                found.append((0, (*chosen, length, rest)))
-                found.sort(key=lambda x: (x[0], len(x[1])))
-                continue
-            grow((*chosen, length), rest, i)
+            closing = next((n for n in range(1, limit + 1) if (rest := left - n * length) >= shortest and rest <= length and counts[rest] > (n if rest == length else 0)), None)
+            if closing:
+                note(0, (*chosen, *[length] * closing, left - closing * length))
+                limit = closing - 1
+            for n in range(limit, 0, -1):
+                budget[0] -= 1
+                if budget[0] < 0 or found and found[0][0] == 0 and len(found) >= enough:
+                    return
+                grow((*chosen, *[length] * n), left - n * length, i + 1, n < limit or bool(closing))
         if full or left < shortest:
-            found.append((left, chosen))
-            found.sort(key=lambda x: (x[0], len(x[1])))
-            if most is not None:
-                del found[4 * most :]
+            note(left, chosen)
 
-    grow((), room, 0)
+    grow((), room, 0, False)
     out: list[Filling] = []
     for _, f in sorted(set(found), key=lambda x: (x[0], len(x[1]), tuple(-a for a in x[1]))):
         if len(out) < enough and not any(dominates(o, f) for o in out):

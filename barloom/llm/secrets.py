@@ -14,9 +14,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,8 +30,10 @@ KINDS = ("assign", "access", "hex", "lexed")
 
 #: Words of a name and how sensitive they make it.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.8, "privatekey": 1.0, "accesskey": 1.0, "signingkey": 1.0, "encryptionkey": 1.0, "connectionstring": 0.8, "dsn": 0.7}
-#: Literals that stand for a value to be filled in.
-PLACEHOLDER = re.compile(r"(?i)^(x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|none|null|true|false|changeme|change_me|example.*|your.*|todo.*|redacted.*|placeholder.*|dummy.*|test)$")
+# Literals that stand for a value to be filled in: signs around or all over them, whole words, and words that begin them.
+FILLED, AROUND = ("x", "*", "."), (("<", ">"), ("${", "}"), ("{{", "}}"), ("%", "%"))
+WORDS = frozenset("none null true false changeme change_me test".split())
+BEGINS = re.compile(r"(?i)(example|your|todo|redacted|placeholder|dummy)(?![A-Za-z0-9])")
 OPERATOR = re.compile(r"[:=]")
 NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
 TERM = re.compile(r"""[ \t]*(?:[furbFURB]{0,2}(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`)|([A-Za-z_$][\w$.]*+(?![\w+/=-])))""")
@@ -39,8 +41,8 @@ BLANK, BARE = re.compile(r"[ \t]*"), re.compile(r"""[^\s"'`,;(){}\[\]]+""")
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 THRESHOLD = 0.5
-#: Of longer values the first code points tell whether they are placeholders.
-HEAD = 8192
+#: Code points at the start and the end of a value that tell, with its set of characters, whether it is a placeholder.
+HEAD, TAIL = 16, 2
 #: Chains of more terms are read once; an assignment inside one of their literals doesn't read them again.
 LONG_CHAIN = 64
 
@@ -51,9 +53,18 @@ def sensitivity(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in joined), default=0.0)
 
 
+def placeholder(head: str, tail: str, chars: Iterable[str], n: float) -> bool:
+    """Whether a value of ``n`` characters, of any length, is to be filled in."""
+    if n >= 3 and any({c.lower() for c in chars} == {f} for f in FILLED):
+        return True
+    if any(head.startswith(a) and tail.endswith(b) and n >= len(a) + len(b) for a, b in AROUND):
+        return True
+    return bool(BEGINS.match(head)) or head.lower() in WORDS and n == len(head)
+
+
 def look(value: str, quoted: bool) -> float:
     """0 to 1: how much a literal looks like key material, by length, entropy and character classes."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or re.search(r"\s", value):
+    if len(value) < 6 or placeholder(value[:HEAD], value[-TAIL:], set(value), len(value)) or re.search(r"\s", value):
         return 0.0
     return graded(len(value), Counter(value), quoted)
 
@@ -127,14 +138,15 @@ class Value:
         self.text, self.parts = text, parts  # places (kind, start, end) in the text, and values
         first = parts[0]
         self.quoted = first.quoted if isinstance(first, Value) else first[0] == "literal"
-        self.head, self.n, self.counts = "", 0.0, None
+        self.head, self.tail, self.n, self.counts = "", "", 0.0, None
 
     def _measure(self) -> None:
         self.counts = Counter()
         for x in self.parts:
             own = None if isinstance(x, Value) else self.text[x[1] : x[2]]
-            head, n, counts = (x.head, x.n, x.counts) if own is None else (own, len(own), Counter(own))
-            self.head = (self.head + head[: HEAD - len(self.head)]) if len(self.head) < HEAD else self.head
+            head, tail, n, counts = (x.head, x.tail, x.n, x.counts) if own is None else (own, own[-TAIL:], len(own), Counter(own))
+            self.head += head[: HEAD - len(self.head)]
+            self.tail = (self.tail + tail)[-TAIL:]
             self.n += n
             self.counts.update(counts)
         if self.n > 1e12:  # values may double with each name; only shares count then
@@ -154,7 +166,7 @@ class Value:
             stack.pop()
         if self.n <= len(self.head):
             return look(self.head, self.quoted)
-        if PLACEHOLDER.match(self.head) or any(c.isspace() for c in self.counts):
+        if placeholder(self.head, self.tail, self.counts, self.n) or any(c.isspace() for c in self.counts):
             return 0.0
         return graded(self.n, self.counts, self.quoted)
 
@@ -255,7 +267,11 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    more = [(a, 3, b) for a, b in lexed(text) if not any(s <= a and b <= e for s, _, e in base)]
+    base.sort()
+    starts, reach = [s for s, _, _ in base], [0]
+    for _, _, e in base:  # how far the base spans up to here reach
+        reach.append(max(reach[-1], e))
+    more = [(a, 3, b) for a, b in lexed(text) if reach[bisect_right(starts, a)] < b]
     return sorted(base + more)
 
 

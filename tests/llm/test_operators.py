@@ -893,3 +893,53 @@ def test_chains_against_quadratic_search():
         assert all(a[x] < a[y] and d[x] < d[y] for x, y in zip(chain, chain[1:]))
         total = substring_chain.SEED_WORTH * len(chain) - substring_chain.GAP_COST * (a[chain[-1]] - a[chain[0]] + d[chain[-1]] - d[chain[0]])
         assert total == pytest.approx(best)
+
+
+def test_masses_of_short_pieces():
+    """Thousands of pieces of one length in one filling, beside long ones and fractions of them."""
+    for counts in ({683: 300, 1: 3000}, {1040: 1, 683: 300, 1: 2000}, {2: 3000, 1: 5000, 2000: 10}, {n: 2 for n in range(1, 2049)}):
+        plan = packing.complete(counts, 2048)
+        used = Counter()
+        for filling, times in plan:
+            assert sum(filling) <= 2048
+            for length in filling:
+                used[length] += times
+        assert used == counts
+        bound = max(-(-sum(k * n for k, n in counts.items()) // 2048), sum(n for k, n in counts.items() if k > 1024))
+        assert bound <= sum(times for _, times in plan) <= bound + bound // 10 + 1
+
+
+def test_pack_of_masses_of_empty_texts(spark):
+    """A null or empty text is one token; 1,500 of them fill the room beside long documents."""
+    from barloom.llm.tokens import vocabulary
+    from tests.llm.conftest import SCHEMA
+
+    docs = spark.createDataFrame([(i, "house " * 682, "en", "s", 1) for i in range(30)] + [(1000 + i, None if i % 2 else "", "en", "s", 1) for i in range(1500)], SCHEMA)
+    got = packing.pack(docs, vocabulary("word_bpe_49k.json")).collect()
+    total = sum(r["length"] for r in got)
+    assert len(got) == 1530 and len({r["sequence_id"] for r in got}) <= -(-total // 2048) + 5
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in by.values():
+        pieces.sort()
+        assert pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:])) and pieces[-1][0] + pieces[-1][1] <= 2048
+
+
+def test_base_and_lexed_spans_side_by_side_take_linear_time():
+    text = "".join(f'pwd_{i} = "Zk3x9QxLm2P{i}qR7"\npassword=abc{i}XYZ9\n' for i in range(8000))
+    began = time.time()
+    found = secrets.spans(text)
+    assert time.time() - began < 20 and Counter(k for _, k, _ in found) == {0: 8000, 3: 8000}
+    few = "".join(text.splitlines(True)[:60])
+    base = [x for x in secrets.spans(few) if x[1] < 3]
+    assert [x for x in secrets.spans(few) if x[1] == 3] == [(a, 3, b) for a, b in secrets.lexed(few) if not any(s <= a and b <= e for s, _, e in base)]
+
+
+def test_placeholders_are_judged_by_the_whole_value():
+    key = "Zk3x9QxLm2PqR7"
+    assert secrets.spans(f'pwd = "{"x" * 9000}{key}"') == [(7, 3, 7 + 9000 + len(key))]
+    for value in ("x" * 20_000, "*" * 9, "." * 9, f"<{key}>", f"${{{key}}}", f"{{{{{key}}}}}", f"%{key}%", "your_key_here_12", "example-key-123", "changeme", "TODO: 12Ab34Cd"):
+        assert secrets.spans(f'pwd = "{value}"') == [], value
+    for value in (f"your{key}", f"example{key}", f"dummy{key}", f"<{key}", f"{key}%"):
+        assert len(secrets.spans(f'pwd = "{value}"')) == 1, value
