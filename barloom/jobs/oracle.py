@@ -261,7 +261,7 @@ s AS (
   SELECT f.account, f.symbol, f.n, greatest(s.quantity + f.q, 0)::DECIMAL(18, 4),
          CASE WHEN f.q > 0 THEN (s.average_price * s.quantity::DOUBLE + f.price * f.q::DOUBLE) / (s.quantity + f.q)::DOUBLE WHEN s.quantity + f.q > 0 THEN s.average_price ELSE 0 END
   FROM s JOIN f ON f.account = s.account AND f.symbol = s.symbol AND f.n = s.n + 1)
-SELECT account, symbol, arg_max(quantity, n)::DOUBLE AS quantity, round(arg_max(average_price, n), 4) AS average_price FROM s GROUP BY account, symbol HAVING arg_max(quantity, n) > 0""",
+SELECT account, symbol, arg_max(quantity, n)::DOUBLE AS quantity, round(arg_max(average_price, n) + 0.0000001::DOUBLE, 4) AS average_price FROM s GROUP BY account, symbol HAVING arg_max(quantity, n) > 0""",
     "redact_text": """SELECT conv_id, turn, replace(text, 'that', '***REDACTED***') AS redacted,
        'Authorization: Bearer ***REDACTED***, x-api-key: ***REDACTED***, ' || text || ' password=''***REDACTED***'' postgresql://app:***REDACTED***@db:5432/x bearer ***REDACTED*** end' AS around FROM conversations""",
     "redact_json": r"""SELECT event_id, '{"inner": {"access_token": "***REDACTED***", "kind": "' || event_type || '", "body": "' || replace(props, '"', '\"') || '"}, "note": "password=***REDACTED*** of ' || event_type || '"}' AS redacted FROM events""",
