@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +23,22 @@ SECONDS = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "4h": 14400
 VALID, INSUFFICIENT, INVALID = "VALID", "INSUFFICIENT_DATA", "INVALID"
 
 
+_parts: ContextVar[tuple[str, ...]] = ContextVar("parts of series", default=())
+
+
+@contextmanager
+def parts_of_series(*columns: str):
+    """Windows that are built meanwhile see the rows of a series with the same ``columns`` alone."""
+    token = _parts.set(columns)
+    try:
+        yield
+    finally:
+        _parts.reset(token)
+
+
 def series() -> WindowSpec:
-    """A series in time order."""
-    return Window.partitionBy(*SERIES).orderBy("timestamp")
+    """A series (or the part of it that ``parts_of_series`` names) in time order."""
+    return Window.partitionBy(*SERIES, *_parts.get()).orderBy("timestamp")
 
 
 def interval(timeframe: str = "timeframe") -> Column:

@@ -268,3 +268,13 @@ SELECT account, symbol, arg_max(quantity, n)::DOUBLE AS quantity, round(arg_max(
     "redact_map": "SELECT event_id, '***REDACTED***' AS api_key, event_type AS symbol, 'Bearer ***REDACTED*** for ' || props AS note, '***REDACTED***' AS auth_code, props AS body FROM events",
     "indicator_catalog": f"WITH {WALK}, n AS (SELECT symbol, count(*) AS c FROM bars GROUP BY symbol), k AS (SELECT * FROM (VALUES ('atr', 14), ('bollinger_bands', 20), ('ema', 20), ('ema_slope', 21), ('macd', 34), ('natr', 14), ('obv', 1), ('price_vs_sma', 20), ('relative_strength', 21), ('roc', 15), ('rolling_high', 20), ('rolling_low', 20), ('rolling_std', 20), ('rsi', 15), ('rvol', 20), ('sma', 20), ('sma_slope', 21), ('structure_breakout_distance', 21), ('true_range', 1), ('volume_change', 2), ('volume_sma', 20)) t(name, need)) SELECT name, need AS minimum_observations, sum(greatest(c - need + 1, 0))::BIGINT AS candles_with_value FROM k, n GROUP BY ALL",
 }
+
+
+def together(*names: str) -> str:
+    """The columns of several indicators side by side."""
+    tables = " JOIN ".join(f"({ORACLE[n]}) {'USING (symbol, exchange, timeframe, \"timestamp\")' if i else ''}" for i, n in enumerate(names))
+    return f"SELECT * FROM {tables}"
+
+
+ORACLE["block_recurrences"] = together("ema", "ema_slope", "rsi", "macd", "atr", "natr", "obv")
+ORACLE["block_windows"] = together("sma", "rolling_std", "rolling_high", "rolling_low", "bollinger_bands", "structure_breakout_distance", "roc")

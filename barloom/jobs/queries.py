@@ -369,6 +369,26 @@ def compute_indicators(spark, sf_dir):
     return shown(indicators.compute(bars(spark, sf_dir), specs).select(*KEY, "sma", "rolling_std", "roc"))
 
 
+#: Candles of a block in these queries; the series of the tables have some hundreds of bars.
+BLOCK_ROWS = 200
+
+
+@query
+def block_recurrences(spark, sf_dir):
+    """Exponential averages and what is made of them, as scans over blocks of each series."""
+    names = ["ema", "ema_slope", "rsi", "macd", "atr", "natr", "obv"]
+    columns = [c for n in names for c in (*indicators.ind(n).columns(), f"{n}_status")]
+    return shown(indicators.compute(bars(spark, sf_dir), names, block_rows=BLOCK_ROWS).select(*KEY, *columns))
+
+
+@query
+def block_windows(spark, sf_dir):
+    """Windows over blocks of each series with halos."""
+    names = ["sma", "rolling_std", "rolling_high", "rolling_low", "bollinger_bands", "structure_breakout_distance", "roc"]
+    columns = [c for n in names for c in (*indicators.ind(n).columns(), f"{n}_status")]
+    return shown(indicators.compute(bars(spark, sf_dir), names, block_rows=BLOCK_ROWS).select(*KEY, *columns))
+
+
 @query
 def compute_from_store(spark, sf_dir):
     path = _stored(spark, bars(spark, sf_dir))

@@ -83,7 +83,7 @@ def mean(column: str, p: int, lag: int = 0) -> Column:
     return F.avg(column).over(over(-(p - 1) - lag, -lag))
 
 
-def true_range() -> Column:
+def _true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_prev")), F.abs(F.col("low") - F.col("_prev")))
 
 
@@ -227,7 +227,7 @@ _BUILT_IN = [
     _windowed("rvol", _rvol, fields=("volume",)),
     _windowed("volume_change", _volume_change, first=lambda p: p["lag"], reach=lambda p: p["lag"], lookback=lambda p: p["lag"] + 1, defaults={"lag": 1}, least={"lag": 1}, fields=("volume",)),
     _windowed("obv", _obv, first=lambda p: 0, reach=lambda p: None, lookback=lambda p: 1, defaults={}, least={}, fields=("close", "volume")),
-    _windowed("true_range", lambda p: {"": true_range()}, first=lambda p: 0, reach=lambda p: 1, lookback=lambda p: 2, defaults={}, least={}, fields=("high", "low", "close")),
+    _windowed("true_range", lambda p: {"": _true_range()}, first=lambda p: 0, reach=lambda p: 1, lookback=lambda p: 2, defaults={}, least={}, fields=("high", "low", "close")),
     _windowed("rolling_std", lambda p: {"": F.stddev_samp("close").over(over(-(p["period"] - 1)))}, least={"period": 2}),
     _windowed("bollinger_bands", _bollinger, defaults={"period": 20, "std_multiplier": 2.0}, least={"period": 2, "std_multiplier": 0}, components=("middle", "upper", "lower", "bandwidth", "percent_b")),
     _windowed("rolling_high", lambda p: {"": F.max("high").over(over(-(p["period"] - 1)))}, fields=("high",)),
@@ -338,25 +338,39 @@ def checked(out: DataFrame) -> DataFrame:
     return out.where(F.when(F.size(broken) > 0, F.raise_error(told).cast("boolean")).otherwise(F.lit(True)))
 
 
-def compute(df: DataFrame, indicators: list[str | Spec], benchmark: DataFrame | None = None, keep_index: bool = False, strict: bool = True) -> DataFrame:
+def windowed(df: DataFrame, windows: list[Spec], marked: list[Spec], strict: bool, true_range: bool) -> DataFrame:
+    """Candles with ``_i``, their place in the series, and what windows over neighbouring candles make of them; ``marked`` are compared with a benchmark later."""
+    w = series()
+    out = df if "_i" in df.columns else df.withColumn("_i", F.row_number().over(w) - 1)
+    out = out.withColumns({"_prev": F.lag("close").over(w), "_earlier": F.lag("timestamp").over(w)})
+    out = checked(out).drop("_earlier") if strict else out.drop("_earlier")
+    out = out.withColumns({c: v for s in marked for c, v in ((f"_ts{s.p['period']}", F.lag("timestamp", s.p["period"]).over(w)), (f"_close{s.p['period']}", F.lag("close", s.p["period"]).over(w)))})
+    if true_range:
+        out = out.withColumn("_tr", _true_range())
+    for s in windows:
+        out = _finished(out, s, s.indicator.build(s.p))
+    return out
+
+
+def compute(df: DataFrame, indicators: list[str | Spec], benchmark: DataFrame | None = None, keep_index: bool = False, strict: bool = True, block_rows: int | None = None) -> DataFrame:
     """The candles of all series with columns of each indicator: its value (or ``<name>_<component>``) and ``<name>_status``.
 
     A name given twice counts once, with the last parameters.  Repeated stamps, numbers that aren't finite and bars that
     contradict themselves fail the job that runs the result, unless ``strict`` is off; rows have no order of their own,
     so none is checked.  An empty table gives an empty result.
+
+    One task holds a series.  With ``block_rows`` it holds so many candles of one and no more (``operators.blocks``),
+    which costs two shuffles and two written tables but lets a single long series use the whole cluster.
     """
     specs = list({s.name: s for s in (ind(x) if isinstance(x, str) else x for x in indicators)}.values())
     by = {k: [s for s in specs if s.indicator.kind == k] for k in ("window", "series", "benchmark")}
     if by["benchmark"] and benchmark is None:
         raise ValueError("relative strength needs a benchmark")
-    w = series()
-    out = df.select(*KEY, *NUMBERS).withColumns({"_i": F.row_number().over(w) - 1, "_prev": F.lag("close").over(w), "_earlier": F.lag("timestamp").over(w)})
-    out = checked(out).drop("_earlier") if strict else out.drop("_earlier")
-    out = out.withColumns({c: v for s in by["benchmark"] for c, v in ((f"_ts{s.p['period']}", F.lag("timestamp", s.p["period"]).over(w)), (f"_close{s.p['period']}", F.lag("close", s.p["period"]).over(w)))})
-    if any(s.name in ("atr", "natr") for s in by["series"]):
-        out = out.withColumn("_tr", true_range())
-    for s in by["window"]:
-        out = _finished(out, s, s.indicator.build(s.p))
+    if block_rows is not None:
+        from barloom.operators import blocks
+
+        return blocks.compute(df, specs, benchmark, keep_index, strict, block_rows)
+    out = windowed(df.select(*KEY, *NUMBERS), by["window"], by["benchmark"], strict, any(s.name in ("atr", "natr") for s in by["series"]))
     if by["series"]:
         out = _helped(out, by["series"])
     if by["benchmark"]:
