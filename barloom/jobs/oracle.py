@@ -264,6 +264,7 @@ s AS (
 SELECT account, symbol, arg_max(quantity, n)::DOUBLE AS quantity, round(arg_max(average_price, n) + 0.0000001::DOUBLE, 4) AS average_price FROM s GROUP BY account, symbol HAVING arg_max(quantity, n) > 0""",
     "redact_text": """SELECT conv_id, turn, replace(text, 'that', '***REDACTED***') AS redacted,
        'Authorization: Bearer ***REDACTED***, x-api-key: ***REDACTED***, ' || text || ' password=''***REDACTED***'' postgresql://app:***REDACTED***@db:5432/x bearer ***REDACTED*** end' AS around FROM conversations""",
+    "redact_many": """SELECT conv_id, turn, text || CASE WHEN conv_id % 5000 < 4000 THEN ' ***REDACTED***' ELSE ' key-' || (conv_id % 5000) || '-' END || turn || '/end' AS redacted FROM conversations""",
     "redact_json": r"""SELECT event_id, '{"inner": {"access_token": "***REDACTED***", "kind": "' || event_type || '", "body": "' || replace(props, '"', '\"') || '"}, "note": "password=***REDACTED*** of ' || event_type || '"}' AS redacted FROM events""",
     "redact_map": "SELECT event_id, '***REDACTED***' AS api_key, event_type AS symbol, 'Bearer ***REDACTED*** for ' || props AS note, '***REDACTED***' AS auth_code, props AS body FROM events",
     "indicator_catalog": f"WITH {WALK}, n AS (SELECT symbol, count(*) AS c FROM bars GROUP BY symbol), k AS (SELECT * FROM (VALUES ('atr', 14), ('bollinger_bands', 20), ('ema', 20), ('ema_slope', 21), ('macd', 34), ('natr', 14), ('obv', 1), ('price_vs_sma', 20), ('relative_strength', 21), ('roc', 15), ('rolling_high', 20), ('rolling_low', 20), ('rolling_std', 20), ('rsi', 15), ('rvol', 20), ('sma', 20), ('sma_slope', 21), ('structure_breakout_distance', 21), ('true_range', 1), ('volume_change', 2), ('volume_sma', 20)) t(name, need)) SELECT name, need AS minimum_observations, sum(greatest(c - need + 1, 0))::BIGINT AS candles_with_value FROM k, n GROUP BY ALL",

@@ -460,6 +460,13 @@ def redact_text(spark, sf_dir):
     return talk.select("conv_id", "turn", redact.redact_text("text", ["that"]).alias("redacted"), redact.redact_text(around).alias("around"))
 
 
+@query
+def redact_many(spark, sf_dir):
+    """Four thousand secrets of the caller's own in all texts, in one pass."""
+    talk = adapters.table(spark, sf_dir, "conversations").withColumn("text", F.concat(F.col("text"), F.lit(" key-"), (F.col("conv_id") % 5000).cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit("/end")))
+    return talk.select("conv_id", "turn", redact.redact_text("text", [f"key-{i}-" for i in range(4000)]).alias("redacted"))
+
+
 @query
 def redact_map(spark, sf_dir):
     note = F.concat(F.lit("Bearer "), F.md5("props"), F.lit(" for "), F.col("props"))

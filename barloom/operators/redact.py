@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from itertools import groupby
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,17 +24,70 @@ KEY_VALUE = r"(?iu)((?:api_key|api_secret|access_token|password|secret_key|clien
 SENSITIVE = ("api_key", "password", "secret", "token", "auth")
 
 
+#: From so many custom secrets on, those that can't touch a mark are replaced in one pass by an automaton.
+MANY = 16
+
+
+def touches_mark(secret: str) -> bool:
+    """Whether a secret can match text that holds some of a mark, so that replacements before it matter."""
+    ends = any(MARK.startswith(secret[-k:]) or MARK.endswith(secret[:k]) for k in range(1, min(len(secret), len(MARK)) + 1))
+    return ends or MARK in secret or secret in MARK
+
+
+def replaced(text: str, finder: ahocorasick.Automaton, sizes: list[int]) -> str:
+    """``text`` after replacing one secret after another, in the order of the list, by the mark.
+
+    All secrets are found in one pass.  Each takes its matches from left to right, where none before it has replaced
+    anything; none of them touches a mark, so nothing else can match.
+    """
+    found: dict[int, list[int]] = {}
+    for last, rank in finder.iter(text):
+        found.setdefault(rank, []).append(last - sizes[rank] + 1)
+    if not found:
+        return text
+    taken, starts = bytearray(len(text)), []
+    for rank in sorted(found):
+        n = sizes[rank]
+        for start in found[rank]:
+            if taken.find(1, start, start + n) < 0:
+                taken[start : start + n] = b"\1" * n
+                starts.append((start, n))
+    out, at = [], 0
+    for start, n in sorted(starts):
+        out += [text[at:start], MARK]
+        at = start + n
+    return "".join([*out, text[at:]])
+
+
+def _in_one_pass(text: Column, secrets: list[str]) -> Column:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = ahocorasick.Automaton()
+        for rank, secret in reversed(list(enumerate(secrets))):  # of a secret given twice the first counts
+            finder.add_word(secret, rank)
+        finder.make_automaton()
+        sizes = [len(x) for x in secrets]
+        for texts in batches:
+            yield texts.map(lambda t: replaced(t, finder, sizes), na_action="ignore")
+
+    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(text)
+
+
 def redact_text(text: str | Column, custom: list[str] | None = None) -> Column:
-    """The text with credentials replaced; literal ``custom`` secrets of four characters or more as well."""
+    """The text with credentials replaced; literal ``custom`` secrets of four characters or more as well, one after another.  However many there are, the plan has one step for them."""
     out = F.col(text) if isinstance(text, str) else text
     out = F.regexp_replace(out, URL_PASSWORD, rf"$1{MARK}$3")
     out = F.regexp_replace(out, AUTH_BEARER, rf"$1Bearer {MARK}$2")
     out = F.regexp_replace(out, AUTH_OTHER, rf"$1{MARK}$2")
     out = F.regexp_replace(out, BEARER, rf"$1{MARK}")
     out = F.regexp_replace(out, KEY_VALUE, rf"$1{MARK}$3")
-    for secret in custom or []:
-        if len(secret.strip()) >= 4:
-            out = F.replace(out, F.lit(secret.strip()), F.lit(MARK))
+    secrets = [x.strip() for x in custom or [] if len(x.strip()) >= 4]
+    for touches, run in groupby(secrets, touches_mark):
+        run = list(run)
+        if len(run) >= MANY and not touches:
+            out = _in_one_pass(out, run)
+            continue
+        for secret in run:
+            out = F.replace(out, F.lit(secret), F.lit(MARK))
     return out
 
 

@@ -119,3 +119,31 @@ def test_average_cost_of_fractions_against_decimals(spark):
 def test_a_position_sold_out_in_tenths_is_gone(spark):
     assert fold(spark, ("SELL", 0.3, 9.0), ("BUY", 2.4, 14.78), ("SELL", 2.4, 15.0)) == (0, 0)
     assert fold(spark, ("BUY", 0.1, 5.0), ("BUY", 0.2, 5.0), ("SELL", 0.3, 5.0), ("BUY", 0.7, 8.0)) == (0.7, 8.0)
+
+
+def chain(text, secrets):
+    for s in secrets:
+        text = text.replace(s, redact.MARK) if len(s) >= 4 else text
+    return text
+
+
+def test_many_secrets_equal_one_after_another(spark):
+    """Random secrets that overlap, contain each other and repeat; some touch the mark."""
+    rng = np.random.default_rng(6)
+    word = lambda n, of="abAB": "".join(rng.choice(list(of), n))
+    for of in ("abAB", "ab", "*RED", "é\U0001f600ab"):
+        secrets = [word(int(rng.integers(3, 8)), of) for _ in range(60)]
+        secrets += [secrets[5], "REDACTED", "***REDACTED***x", "aaaa"]
+        texts = [word(int(rng.integers(0, 120)), of) for _ in range(60)] + ["", None]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        got = {r["i"]: r["t"] for r in df.select("i", redact.redact_text("t", secrets).alias("t")).collect()}
+        plain = {r["i"]: r["t"] for r in df.select("i", redact.redact_text("t").alias("t")).collect()}
+        assert got == {i: t if t is None else chain(t, secrets) for i, t in plain.items()}, of
+
+
+def test_ten_thousand_secrets_are_one_step(spark):
+    secrets = [f"secret-{i:05d}" for i in range(10_000)]
+    df = spark.createDataFrame([(i, f"a secret-{i:05d} b secret-{i:05d}9") for i in range(0, 12_000, 7)], "i int, t string")
+    out = df.select("i", redact.redact_text("t", secrets).alias("t"))
+    assert len(out._jdf.queryExecution().executedPlan().toString()) < 20_000
+    assert all(r["t"] == (f"a {redact.MARK} b {redact.MARK}9" if r["i"] < 10_000 else f"a secret-{r['i']} b secret-{r['i']}9") for r in out.collect())
