@@ -98,27 +98,62 @@ def redact_map(column: str, custom: list[str] | None = None) -> Column:
 
 
 def plain(text: str) -> str:
-    """``redact_text`` of one value, for strings inside JSON."""
+    """``redact_text`` of one value outside Spark; tests hold the two together."""
     for pattern, by in ((URL_PASSWORD, rf"\1{MARK}\3"), (AUTH_BEARER, rf"\1Bearer {MARK}\2"), (AUTH_OTHER, rf"\1{MARK}\2"), (BEARER, rf"\1{MARK}"), (KEY_VALUE, rf"\1{MARK}\3")):
         text = re.sub(pattern, by, text)
     return text
 
 
-def redact_json(column: str) -> Column:
-    """JSON text of any nesting: values of sensitive keys replaced, other strings redacted as text, at every level of objects.  Text that isn't JSON stays."""
+class Number(str):
+    """A number's or constant's text, kept as it is."""
+
+
+def segments(text: str) -> list[tuple[str, str | None]] | None:
+    """A JSON text in pieces, as they stand in the result: (text, None), or (text, string) for a string that has to be looked at.
 
-    def walk(value):
-        if isinstance(value, dict):
-            return {k: MARK if any(s in k.lower() for s in SENSITIVE) else walk(v) for k, v in value.items()}
-        return plain(value) if isinstance(value, str) else value
+    Values of sensitive keys are marks already.  None if the text isn't JSON.
+    """
+    try:
+        whole = json.loads(text, parse_int=Number, parse_float=Number, parse_constant=Number)
+    except (ValueError, RecursionError):
+        return None
+    told = lambda x: json.dumps(x, ensure_ascii=False)
+    out: list[tuple[str, str | None]] = []
+    work: list[tuple[object, bool]] = [(whole, True)]  # what is left, last first; whether strings are looked at
+    while work:
+        value, looked = work.pop()
+        if isinstance(value, (tuple, Number)):
+            out.append((value[0] if isinstance(value, tuple) else str(value), None))
+        elif isinstance(value, dict):
+            more: list[tuple[object, bool]] = [(("{",), False)]
+            for i, (k, v) in enumerate(value.items()):
+                more.append((((", " if i else "") + told(k) + ": ",), False))
+                more.append(((told(MARK),), False) if looked and any(s in k.lower() for s in SENSITIVE) else (v, looked))
+            work += reversed([*more, (("}",), False)])
+        elif isinstance(value, list):  # what stands in arrays is left as it is
+            more = [(("[",), False)]
+            for i, v in enumerate(value):
+                more += [((", ",), False)] * (i > 0) + [(v, False)]
+            work += reversed([*more, (("]",), False)])
+        else:
+            out.append((told(value), value if looked and isinstance(value, str) else None))
+    return out
 
-    def one(text: str) -> str:
-        try:
-            return json.dumps(walk(json.loads(text)), ensure_ascii=False)
-        except ValueError:
-            return text
 
-    run = F.pandas_udf(lambda texts: texts.map(one, na_action="ignore"), "string")
-    return run(F.col(column))
+def redact_json(column: str) -> Column:
+    """JSON text of any nesting: values of sensitive keys replaced, other strings redacted as text, at every level of objects.
+
+    Numbers keep their text.  What stands inside arrays isn't looked at.  Text that isn't JSON, or is nested deeper than
+    Python's decoder goes, stays.  Python only takes the text apart; the rules run on its strings in Spark.
+    """
+    kind = "array<struct<raw:string,text:string>>"
+    cut = F.pandas_udf(lambda texts: pd.Series([None if t is None or (found := segments(t)) is None else [{"raw": r, "text": x} for r, x in found] for t in texts], dtype=object), kind)
+
+    def looked(piece: Column) -> Column:
+        return F.struct(piece["raw"].alias("raw"), F.when(piece["text"].isNotNull(), redact_text(piece["text"])).alias("safe"), piece["text"].alias("text"))
 
+    def shown(piece: Column) -> Column:
+        quoted = F.to_json(F.array(piece["safe"]))
+        return F.when(piece["safe"].isNull() | (piece["safe"] == piece["text"]), piece["raw"]).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
+    return F.coalesce(F.array_join(F.transform(F.transform(cut(F.col(column)), looked), shown), ""), F.col(column))

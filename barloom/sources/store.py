@@ -98,7 +98,8 @@ def publish(spark: SparkSession, store: str, listed: list[str], seen: Committed,
 
 def _laid_out(df: DataFrame, path: str) -> None:
     spread = df.repartition("exchange", "timeframe", F.pmod(F.xxhash64("symbol"), F.lit(64))).sortWithinPartitions("exchange", "timeframe", "symbol", "timestamp")
-    spread.write.mode("overwrite").option("compression", "snappy").partitionBy("exchange", "timeframe").parquet(path)
+    bloom = {"parquet.bloom.filter.enabled#symbol": "true", "parquet.bloom.filter.adaptive.enabled": "true"}  # row groups without an asked symbol are skipped
+    spread.write.options(compression="snappy", **bloom).partitionBy("exchange", "timeframe").parquet(path)
 
 
 def append(new: DataFrame, store: str, batch: Batch | None = None, seen: Committed | None = None) -> str | None:

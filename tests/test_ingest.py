@@ -354,3 +354,30 @@ def test_stamps_do_not_depend_on_the_session(spark, tmp_path, session):
         assert read.select("timestamp").distinct().count() == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_row_groups_without_the_symbol_are_skipped(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store.write(spark.range(3000).select(F.concat(F.lit("S"), F.col("id")).alias("symbol"), F.lit("X").alias("exchange"), F.lit("1d").alias("timeframe"), F.lit(DAY0).cast("timestamp").alias("timestamp"), *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close", "volume")]), path)
+
+    def scanned(symbol):
+        df = store.read_candles(spark, path, [symbol])
+        return df.count()
+
+    def bloom(symbol):
+        """Whether the file that the symbol would be in keeps a filter for it."""
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        kept = []
+        for part in (tmp_path / "s").rglob("*.parquet"):
+            file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(f"file://{part}"), conf)
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+            for block in reader.getFooter().getBlocks():
+                column = next(c for c in block.getColumns() if c.getPath().toDotString() == "symbol")
+                filter_ = reader.readBloomFilter(column)
+                if filter_ is not None:
+                    kept.append(filter_.findHash(filter_.hash(jvm.org.apache.parquet.io.api.Binary.fromString(symbol))))
+            reader.close()
+        return kept
+
+    assert scanned("S17") == 1 and scanned("S17x") == 0
+    assert sum(bloom("S17")) >= 1 and bloom("S17x") and not all(bloom("S17x"))

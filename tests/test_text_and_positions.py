@@ -147,3 +147,12 @@ def test_ten_thousand_secrets_are_one_step(spark):
     out = df.select("i", redact.redact_text("t", secrets).alias("t"))
     assert len(out._jdf.queryExecution().executedPlan().toString()) < 20_000
     assert all(r["t"] == (f"a {redact.MARK} b {redact.MARK}9" if r["i"] < 10_000 else f"a secret-{r['i']} b secret-{r['i']}9") for r in out.collect())
+
+
+def test_json_keeps_numbers_and_arrays(spark):
+    rows = ['{"price": 1.10, "n": 1e5, "big": 12345678901234567890123, "ok": true, "x": null, "text": "é \\"q\\" \\u0001 / password=abc,"}', '{"users": [{"password": "kept"}, 1.50, "password=kept"], "auth": [1], "deep": {"k": "bearer abcdefgh12"}}', '"password=abc"', "[" * 100_000, "{}", "[]", "1.0", "{bad"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, j string")
+    got = {r["i"]: r["j"] for r in df.select("i", redact.redact_json("j").alias("j")).collect()}
+    assert got[0] == '{"price": 1.10, "n": 1e5, "big": 12345678901234567890123, "ok": true, "x": null, "text": ' + json.dumps('é "q" \u0001 / password=***REDACTED***,', ensure_ascii=False) + "}"
+    assert got[1] == '{"users": [{"password": "kept"}, 1.50, "password=kept"], "auth": "***REDACTED***", "deep": {"k": "bearer ***REDACTED***"}}'
+    assert [got[i] for i in range(2, 8)] == ['"password=***REDACTED***"', rows[3], "{}", "[]", "1.0", "{bad"]
