@@ -3,7 +3,10 @@
 Three base patterns find assignments to sensitive names, access key ids and long hex runs.  The lexer goes further:
 it reads ``name <op> expression`` pairs of source and configuration syntax around every ``=`` and ``:``, evaluates
 the expressions (string literals, concatenations, other names) with the constants of the same text, and scores each
-literal by the name that it ends up in and by its own look.  A literal that scores enough is a ``lexed`` span unless
+literal by the name that it ends up in and by its own look.  Expressions may stand in parentheses over several lines;
+literals may adjoin, be in triple quotes, hold names (``$NAME``, ``${NAME}``, ``{NAME}``) or be the lines of a YAML block.
+Pairs without an operator are read too: defaults of calls by a key, attributes and texts of elements, entries of name and
+value.  A literal that scores enough is a ``lexed`` span unless
 a base span covers it.
 
 Null text counts as empty and has no spans.  Spans are code points, end exclusive.  Repeated rows are scanned one by one.
@@ -36,9 +39,22 @@ WORDS = frozenset("none null true false changeme change_me test".split())
 BEGINS = re.compile(r"(?i)(example|your|todo|redacted|placeholder|dummy)(?![A-Za-z0-9])")
 OPERATOR = re.compile(r"[:=]")
 NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
-TERM = re.compile(r"""[ \t]*(?:[furbFURB]{0,2}(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`)|([A-Za-z_$][\w$.]*+(?![\w+/=-])))""")
+TERM = re.compile(r"""[ \t]*(?:[furbFURB]{0,2}(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`)|\$\{([A-Za-z_]\w*+)\}|([A-Za-z_$][\w$.]*+(?![\w+/=-])))""")
 BLANK, BARE = re.compile(r"[ \t]*"), re.compile(r"""[^\s"'`,;(){}\[\]]+""")
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)")
+#: The start of a literal of several lines, an opening parenthesis, and a literal without blanks that adjoins another.
+TRIPLE, OPEN, LINES = re.compile(r"""[ \t]*[furbFURB]{0,2}(\"{3}|'{3})"""), re.compile(r"[ \t]*\(\s*"), re.compile(r"\s*")
+ADJOINING = re.compile(r"""[furbFURB]{0,2}(?:"(?:[^"\\\s]|\\.)++"|'(?:[^'\\\s]|\\.)++')""")
+#: A name inside a literal, the start of a YAML block, and the arguments of a call that takes a key and a default.
+INSIDE, BLOCK = re.compile(r"\$?\{([A-Za-z_]\w*+)\}|\$([A-Za-z_]\w*+)"), re.compile(r"[ \t]+[|>][+-]?\d?[ \t]*\n")
+DEFAULT = re.compile(r"""\(\s*+["'][^"'\\\n]*+["']\s*+,\s*+["']([^"'\\\n]++)["']\s*+\)""")
+#: Names and values without an operator: a call with a key and a value, attributes, an element's text, an entry of name and value.
+UNJOINED = (
+    re.compile(r"""\w\(\s*+["']([A-Za-z_$][\w$.-]*+)["']\s*+,\s*+["']([^"'\\\n]++)["']"""),
+    re.compile(r"""(?<![\w-])(?:key|name)\s*+=\s*+["']([\w.:-]++)["']\s++value\s*+=\s*+["']([^"'\n]++)["']"""),
+    re.compile(r"<([A-Za-z_][\w.:-]*+)>([^<>\s]++)</"),
+    re.compile(r"""(?<![\w-])name:[ \t]*+["']?([\w.-]++)["']?[ \t]*+\n[ \t]*+value:[ \t]*+["']?([^\s"'#]++)"""),
+)
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 THRESHOLD = 0.5
 #: Code points at the start and the end of a value that tell, with its set of characters, whether it is a placeholder.
@@ -94,36 +110,92 @@ def name_before(text: str, p: int) -> str | None:
     return text[start:at] or None
 
 
+def block(text: str, p: int, at: int) -> list:
+    """The lines of a YAML block that begins behind the operator at ``p``, as terms; none if a line has blanks inside.
+
+    Lines of dashes around a key are left out.  A line that begins a block of its own has blanks, so no line is read often.
+    """
+    opened = BLOCK.match(text, at)
+    if not opened:
+        return []
+    begin = text.rfind("\n", 0, p) + 1
+    indent, place, terms = BLANK.match(text, begin).end() - begin, opened.end(), []
+    while place < len(text):
+        stop = text.find("\n", place)
+        stop = len(text) if stop < 0 else stop
+        lead = BLANK.match(text, place).end()
+        line = text[lead:stop].rstrip()
+        if line:
+            if lead - place <= indent:
+                break
+            if not line.startswith("-----"):
+                if re.search(r"\s", line):
+                    return []
+                terms.append(("literal", None, lead, lead + len(line)))
+        place = stop + 1
+    return terms
+
+
 def pairs(text: str) -> Iterator[tuple[str, list]]:
-    """Name and terms of every assignment; a term is (kind, name, start, end), kind one of literal, name and bare."""
+    """Name and terms of every assignment; a term is (kind, name, start, end), kind one of literal, name and bare.
+
+    The sign of a variable (``$``) isn't part of its name.
+    """
     end, chained = 0, set()  # places of terms of long chains, which no assignment inside their literals reads again
     bare_end = 0  # of the bare text that was read last; one that begins inside it ends there too
+    last = {q: text.rfind(q) for q in ('"""', "'''")}
+    tripled = max(last.values())
     for op in OPERATOR.finditer(text):
         p = op.start()
         if p < end or text[p - 1 : p] in "=!<>:" and p or text[p : p + 2] == "==":
             continue
-        name = name_before(text, p)
+        name = (name_before(text, p) or "").lstrip("$")
         if not name:
             continue
         at = p + (2 if text[p : p + 2] in (":=", "=>") else 1)
+        if BLOCK.match(text, at) and sensitivity(name) and (lines := block(text, p, at)):
+            yield name, lines
+            continue
+        opened = OPEN.match(text, at)
+        first = TERM.match(text, opened.end()) if opened else None
+        gap = BLANK
+        if first and first.lastindex <= 3:  # in parentheses the expression may go on over lines
+            gap, at = LINES, opened.end()
         terms, starts = [], []
         while at not in chained:
-            term = TERM.match(text, at)
-            if not term:
-                begin = BLANK.match(text, at).end()
-                if begin >= bare_end:
-                    bare = BARE.match(text, begin)
-                    bare_end = bare.end() if bare else bare_end
-                if begin < bare_end:
-                    terms.append(("bare", None, begin, bare_end))
-                break
-            starts.append(at)
-            kind = next(i for i in range(1, 5) if term.group(i) is not None)
-            terms.append(("literal" if kind <= 3 else "name", term.group(kind), term.start(kind), term.end(kind)))
-            plus = PLUS.match(text, term.end())
-            if not plus:
+            quote = TRIPLE.match(text, at) if tripled >= at else None
+            if quote and last[quote.group(1)] >= quote.end():
+                stop = text.find(quote.group(1), quote.end())
+                body = text[quote.end() : stop]
+                begin = quote.end() + len(body) - len(body.lstrip())
+                starts.append(at)
+                terms.append(("literal", None, begin, max(begin, quote.end() + len(body.rstrip()))))
+                kind, after = 1, stop + 3
+            else:
+                term = TERM.match(text, at)
+                if not term:
+                    begin = BLANK.match(text, at).end()
+                    if begin >= bare_end:
+                        bare = BARE.match(text, begin)
+                        bare_end = bare.end() if bare else bare_end
+                    if begin < bare_end:
+                        terms.append(("bare", None, begin, bare_end))
+                    break
+                starts.append(at)
+                kind, after = term.lastindex, term.end()
+                default = DEFAULT.match(text, after) if kind == 5 and not terms else None
+                if default:
+                    terms.append(("bare", None, *default.span(1)))
+                    break
+                terms.append(("literal" if kind <= 3 else "name", term.group(kind).lstrip("$"), term.start(kind), term.end(kind)))
+            after = gap.match(text, after).end()
+            plus = PLUS.match(text, after)
+            if plus:
+                at = gap.match(text, plus.end()).end()
+            elif kind <= 3 and ADJOINING.match(text, after):
+                at = after
+            else:
                 break
-            at = plus.end()
         if len(terms) > LONG_CHAIN:
             chained.update(starts)
         if terms:
@@ -131,6 +203,27 @@ def pairs(text: str) -> Iterator[tuple[str, list]]:
             yield name, terms
 
 
+def unjoined(text: str) -> Iterator[tuple[str, list]]:
+    """Pairs that no operator joins, as ``pairs`` gives them."""
+    for pattern in UNJOINED:
+        for m in pattern.finditer(text):
+            yield m.group(1).lstrip("$"), [("bare", None, *m.span(2))]
+
+
+def split(text: str, term: tuple, names: set[str], own: str) -> list:
+    """A literal cut at the ``names`` inside it, which become terms; other terms as they are."""
+    kind, _, start, end = term
+    out, at = [], start
+    for m in INSIDE.finditer(text, start, end) if kind == "literal" else ():
+        inner = m.group(m.lastindex)
+        if inner in names and inner != own:
+            if m.start() > at:
+                out.append(("literal", None, at, m.start()))
+            out.append(("name", inner, *m.span()))
+            at = m.end()
+    return [*out, ("literal", None, at, end)] if out and at < end else out or [term]
+
+
 class Value:
     """What an expression comes to: the places and values that make it up, and the look of it, in bounded space."""
 
@@ -227,12 +320,20 @@ def valued(assigned: list[tuple[str, list]], wanted: list[bool], text: str) -> I
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
-    if "=" not in text and ":" not in text:
-        return []
-    assigned = list(pairs(text))
+    assigned = list(pairs(text)) if "=" in text or ":" in text else []
+    more = list(unjoined(text)) if "(" in text or "<" in text or "name" in text or "key" in text else []
+    if more:
+        assigned = sorted(assigned + more, key=lambda pair: pair[1][0][2])
     weights = [sensitivity(name) for name, _ in assigned]
     if not any(weights):
         return []
+    whole: dict[int, list] = {}  # terms of assignments whose literals hold names, before they were cut
+    if "$" in text or "{" in text:
+        names = {name for name, _ in assigned}
+        for i, (name, terms) in enumerate(assigned):
+            cut = [part for t in terms for part in split(text, t, names, name)]
+            if len(cut) != len(terms) or cut != terms:
+                whole[i], assigned[i] = terms, (name, cut)
     wanted, covered = needed(assigned, weights), 0
     used = {t[1] for (_, terms), w in zip(assigned, wanted) if w for t in terms if t[0] == "name"}
     out, seen, work = set(), set(), []
@@ -245,8 +346,14 @@ def lexed(text: str) -> list[tuple[int, int]]:
                 out.add((start, end))
                 covered = end
     for i, value in valued(assigned, wanted, text):
+        whole.pop(i, None)
         if weights[i] and weights[i] * value.look() >= THRESHOLD:
             work.append(value)
+    for i, terms in whole.items():  # names inside literals that have no value are part of the literal
+        if weights[i] and all(kind == "literal" for kind, *_ in terms):
+            value = Value(text, [(kind, start, end) for kind, _, start, end in terms])
+            if weights[i] * value.look() >= THRESHOLD:
+                work.append(value)
     while work:
         value = work.pop()
         if id(value) in seen:
