@@ -8,7 +8,9 @@ size whatever the corpus is.
 
 Null or letterless text gives ``und`` with score 0.  No labelled row at all gives ``und`` everywhere.
 Rows whose ``lang`` is null or whose ``doc_id`` is null train nothing; rows of equal id, text and language train once.
-Of more than ``most_langs`` languages those of most distinct rows are learned.  Repeated rows are scored one by one; ties between
+All languages are learned unless ``most_langs`` is set (then those of most distinct rows); the more there are, the fewer
+words and n-grams each has, so that the model stays within ``max_cells`` numbers.  Words of one count that don't all fit are
+taken by hash.  Repeated rows are scored one by one; ties between
 languages go to the one first by code point.
 """
 
@@ -60,13 +62,27 @@ def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["lang", "k", "gram", "n"])
 
 
-def most_frequent(counts: DataFrame, per: list[str], most: int) -> DataFrame:
-    """The rows of each ``per`` group down to the least ``n`` at which no more than ``most`` remain; only the few levels of ``n`` are sorted."""
+#: Items of one count are cut by hash at so many places.
+CUTS = 4096
+
+
+def most_frequent(counts: DataFrame, per: list[str], item: str, most: int) -> DataFrame:
+    """The rows of each ``per`` group of greatest ``n``, up to ``most``; of those whose ``n`` is at the bound, the part that fits, by hash.
+
+    Only the few levels of ``n`` and the hash ranges of one level are ordered, so the items of a group never meet in one task.
+    """
+    group = Window.partitionBy(*per)
     levels = counts.groupBy(*per, "n").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*per).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    least = levels.withColumn("_upto", F.sum("_c").over(upto)).where(F.col("_upto") <= most).groupBy(*per).agg(F.min("n").alias("_least"))
-    # one row per language and n-gram length, a few hundred at most: without it all words of a language would meet in one task
-    return counts.join(F.broadcast(least), per).where("n >= _least").drop("_least")
+    levels = levels.withColumn("_upto", F.sum("_c").over(group.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)))
+    fits = F.col("_upto") <= most
+    bounds = levels.groupBy(*per).agg(F.min(F.when(fits, F.col("n"))).alias("_least"), F.max(F.when(~fits, F.col("n"))).alias("_edge"), F.coalesce(F.max(F.when(fits, F.col("_upto"))), F.lit(0)).alias("_above"))
+    # one row per language and n-gram length
+    dealt = counts.withColumn("_cut", F.pmod(F.xxhash64(item), F.lit(CUTS))).join(F.broadcast(bounds), per)
+    edge = dealt.where("n = _edge").groupBy(*per, "_cut", "_above").agg(F.count(F.lit(1)).alias("_c"))
+    edge = edge.withColumn("_upto", F.col("_above") + F.sum("_c").over(group.orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0)))
+    last = edge.where(F.col("_upto") <= most).groupBy(*per).agg(F.max("_cut").alias("_last"))
+    kept = dealt.join(F.broadcast(last), per, "left").where("n >= _least or n = _edge and _cut <= _last")
+    return kept.select(*counts.columns)
 
 
 def sampled(docs: DataFrame, langs: dict[str, int], sample_rows: int) -> DataFrame:
@@ -79,20 +95,22 @@ def sampled(docs: DataFrame, langs: dict[str, int], sample_rows: int) -> DataFra
     return docs.where(F.pmod("_h", F.lit(1 << 30)) <= share[F.col("lang")]).dropDuplicates(["lang", "_h"]).select("lang", "text")
 
 
-def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 80_000, max_grams: int = 120_000, most_langs: int = 256) -> dict:
+def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 80_000, max_grams: int = 120_000, most_langs: int | None = None, max_cells: int = 8_000_000) -> dict:
     """The model from ``doc_id, text, lang``: languages, and one table of log-probability vectors for words and for each n-gram length."""
     docs = docs.select("text", "lang", F.xxhash64("doc_id", "text").alias("_h")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    per = docs.groupBy("lang").agg(F.approx_count_distinct("_h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    per = docs.groupBy("lang").agg(F.approx_count_distinct("_h", 0.02).alias("n")).orderBy(F.desc("n"), "lang")
+    per = (per.limit(most_langs) if most_langs else per).collect()
     langs = sorted(r["lang"] for r in per)
     if not langs:
         return {"langs": [], "tables": []}
-    sample = sampled(docs.where(F.col("lang").isin(langs)), {r["lang"]: r["n"] for r in per}, sample_rows)
+    sample = sampled(docs.where(F.col("lang").isin(langs)) if most_langs else docs, {r["lang"]: r["n"] for r in per}, sample_rows)
     words = sample.select("lang", "text").mapInPandas(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
-    grams = words.mapInPandas(count_grams, "lang string, k int, gram string, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    kept = most_frequent(words, ["lang"], max_words // len(langs)).select("lang", F.lit(0).alias("k"), F.col("word").alias("item"), "n")
-    kept = kept.unionByName(most_frequent(grams, ["lang", "k"], max_grams // len(langs) // LONGEST).select("lang", "k", F.col("gram").alias("item"), "n"))
+    grams = words.mapInPandas(count_grams, "lang string, k int, gram string, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).persist()
+    share = lambda most: min(most, max_cells // len(langs)) // len(langs)
+    kept = most_frequent(words, ["lang"], "word", max(1, share(max_words))).select("lang", F.lit(0).alias("k"), F.col("word").alias("item"), "n")
+    kept = kept.unionByName(most_frequent(grams, ["lang", "k"], "gram", max(1, share(max_grams) // LONGEST)).select("lang", "k", F.col("gram").alias("item"), "n"))
     found = kept.toPandas()
-    words.unpersist()
+    words.unpersist(), grams.unpersist()
     tables = []
     for k in range(LONGEST + 1):
         part = found[found["k"] == k]
@@ -104,11 +122,12 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, max_words: int = 80_000, max
 
 
 class Scorer(dict):
-    """word -> row of ``vectors``; a bounded memo, filled as words come up."""
+    """word -> row of ``vectors``; a memo of at most ``most`` words and about ``cells`` numbers, filled as words come up."""
 
-    def __init__(self, model: dict, most: int = 300_000):
+    def __init__(self, model: dict, most: int = 300_000, cells: int = 20_000_000):
         super().__init__()
-        self.langs, self.tables, self.most = model["langs"], model["tables"], most
+        self.langs, self.tables = model["langs"], model["tables"]
+        self.most = most = max(1000, min(most, cells // max(1, len(self.langs))))
         self.vectors = np.zeros((most, len(self.langs)), dtype="float32")
 
     def __missing__(self, word: str) -> int:
@@ -132,8 +151,9 @@ class Scorer(dict):
         if not words or not self.langs:
             return "und", 0.0
         total = np.zeros(len(self.langs))
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
+        step = min(50_000, self.most)
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
             if len(self) + len(part) > self.most:
                 self.clear()
             total += self.vectors[[self[w] for w in part]].sum(axis=0, dtype="float64")
