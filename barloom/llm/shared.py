@@ -39,6 +39,12 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def ends_with_application(spark: SparkSession, path: str) -> None:
+    """The folder at ``path``, which is there already, is deleted when the application ends."""
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage is cut, lost executors cost nothing.
 
@@ -46,8 +52,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    fs, p = _file_system(spark, path)
-    fs.deleteOnExit(p)
+    ends_with_application(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.shared import shared_dir
+from barloom.llm.shared import ends_with_application, shared_dir
 from barloom.llm.tokens import encoder
 
 END = b"\x00\x00\x00\x00"
@@ -84,8 +84,10 @@ def digest(files: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: str, path: str | None = None) -> DataFrame:
-    """Writes the files (by default in the shared folder) and gives what they hold."""
+    """Writes the files and gives what they hold.  Without ``path`` they lie in the shared folder and go when the application ends."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write(docs, path, vocabulary)
-    return digest(read(spark, path))
+    own = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}" if path is None else None
+    write(docs, path or own, vocabulary)
+    if own:
+        ends_with_application(spark, own)
+    return digest(read(spark, path or own))
