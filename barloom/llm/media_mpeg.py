@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNIT = 576
@@ -190,15 +190,25 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.pandas_udf(run, "n_bytes long, media binary")("text").alias("_m")).select("doc_id", "_m.*")
 
 
-def index(media: DataFrame) -> DataFrame:
-    """``doc_id``, exact duration, checksum results and frame seek offsets for every row of ``doc_id, media``, of any MPEG audio."""
+def _indexed(media: str) -> Column:
+    """A struct of exact duration, checksum results and frame seek offsets of the stream in a column."""
 
     def run(streams: pd.Series) -> pd.DataFrame:
         got = [parsed(m if m is not None else b"") for m in streams]
         return pd.DataFrame({"samples": [g["samples"] for g in got], "hertz": [g["hertz"] for g in got], "bad_frames": [g["bad"] for g in got], "skipped_bytes": [g["skipped"] for g in got], "frame_offsets": [g["offsets"] for g in got]})
 
     kinds = "samples long, hertz long, bad_frames long, skipped_bytes long, frame_offsets array<long>"
-    return media.select("doc_id", F.pandas_udf(run, kinds)("media").alias("_m")).select("doc_id", "_m.*")
+    return F.pandas_udf(run, kinds)(media)
+
+
+def index(media: DataFrame) -> DataFrame:
+    """``doc_id``, exact duration (``samples`` of ``hertz``), checksum results and frame seek offsets for every row of ``doc_id, media``, of any MPEG audio."""
+    return media.select("doc_id", _indexed("media").alias("_m")).select("doc_id", "_m.*")
+
+
+def catalogued(media: DataFrame) -> DataFrame:
+    """The rows of ``media`` (a binary column of that name) with the columns of ``index``, to be stored beside the streams: a reader seeks frames without parsing."""
+    return media.select("*", _indexed("media").alias("_m")).select(*[F.col(c) for c in media.columns], "_m.*")
 
 
 def digest(media: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 200)
-    return media_mpeg.digest(staged(media_mpeg.encode(table(spark, sf_dir, "documents")), "media"))
+    return media_mpeg.digest(staged(media_mpeg.catalogued(media_mpeg.encode(table(spark, sf_dir, "documents"))), "media"))
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
