@@ -895,6 +895,18 @@ def test_chains_against_quadratic_search():
         assert total == pytest.approx(best)
 
 
+def test_all_places_of_a_seed_match(monkeypatch):
+    """Whatever their number; windows hold all matches, and those that may follow each other together."""
+    places = [(np.arange(0, 9000, 90), np.arange(5, 9005, 90)), (np.arange(40, 9040, 180), np.arange(45, 9045, 180))]
+    every = set(zip(*map(np.ndarray.tolist, substring_chain.matched(places))))
+    assert len(every) == 100 * 100 + 50 * 50 and (0, 4505) in every
+    monkeypatch.setattr(substring_chain, "MATCHES", 2000)
+    parts = [set(zip(*map(np.ndarray.tolist, p[:2]))) for p in substring_chain.windows(places)]
+    assert len(parts) > 3 and set().union(*parts) == every and max(map(len, parts)) < 4000
+    near = sorted({a for a, _ in every})
+    assert all(any({(p, 5), (q, 5)} & part >= {m for m in ((p, 5), (q, 5)) if m in every} for part in parts) for p, q in zip(near, near[1:]))
+
+
 def test_masses_of_short_pieces():
     """Thousands of pieces of one length in one filling, beside long ones and fractions of them."""
     for counts, fewest in (({683: 300, 1: 3000}, 150), ({1040: 1, 683: 300, 1: 2000}, 151), ({2: 3000, 1: 5000, 2000: 10}, 16), ({n: 2 for n in range(1, 2049)}, 2049)):
