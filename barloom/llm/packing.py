@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.shared import hash_key, running_total, staged
-from barloom.llm.tokens import encoder
+from barloom.llm.tokens import MOST_PIECES, encoder
 
 CAPACITY = 2048
 END = b"\x00\x00\x00\x00"
@@ -184,12 +184,12 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None
     return incumbent
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False, remembered: int = MOST_PIECES) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, the packed ``ids`` of every document's pieces."""
 
     def run(texts: pd.Series) -> pd.Series:
         width, out = 4 * capacity, []
-        for data in encoder(path).encode(texts):
+        for data in encoder(path, remembered).encode(texts):
             data += END
             cut = [(i, at // 4, data[at : at + width]) for i, at in enumerate(range(0, len(data), width))]
             out.append([{"piece": i, "start": start, "length": len(p) // 4, "ids_crc32": zlib.crc32(p), "ids": p if ids else None} for i, start, p in cut])
@@ -217,10 +217,10 @@ def places(plan: Plan) -> dict[int, tuple[np.ndarray, ...]]:
     return found
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False, remembered: int = MOST_PIECES) -> DataFrame:
     """The pieces of ``doc_id, text`` with ``sequence_id`` and ``offset``; other columns aren't carried."""
     key = hash_key("doc_id", "piece", "ids_crc32")
-    cut = staged(pieces(docs, path, capacity, ids).withColumns({"_key": key, "_one": F.lit(1), "_row": F.monotonically_increasing_id()}), "pieces")
+    cut = staged(pieces(docs, path, capacity, ids, remembered).withColumns({"_key": key, "_one": F.lit(1), "_row": F.monotonically_increasing_id()}), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
     shared = docs.sparkSession.sparkContext.broadcast(places(complete(counts, capacity)))
 

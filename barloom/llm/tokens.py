@@ -58,8 +58,9 @@ class Encoder(dict):
     with a zero character for what follows that, by the whole pipeline.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_PIECES):
         super().__init__()
+        self.most = most
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -79,7 +80,7 @@ class Encoder(dict):
             value = b"".join([words[w] for w in self.split(text.lower() if self.lower else text)])
         else:
             value = self.packed([text])[0]
-        if len(self) < MOST_PIECES and len(piece) <= PIECE_CHARS:
+        if len(self) < self.most and len(piece) <= PIECE_CHARS:
             self[piece] = value
         return value
 
@@ -107,10 +108,11 @@ class Encoder(dict):
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This process's encoder for a tokenizer file."""
+def encoder(path: str, most: int = MOST_PIECES) -> Encoder:
+    """This process's encoder for a tokenizer file; it remembers no further pieces once there are ``most``."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most)
+    _encoders[path].most = most
     return _encoders[path]
 
 

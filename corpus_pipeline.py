@@ -13,6 +13,9 @@ from barloom.llm.queries import fold
 from barloom.llm.shared import small_batches, staged, table
 from barloom.llm.tokens import vocabulary
 
+#: Pieces of text whose token ids a worker remembers: it still holds what the stages before remember.
+REMEMBERED = 200_000
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -41,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their token ids and places in sequences of 2048 tokens."""
     small_batches(spark)
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), ids=True)
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), ids=True, remembered=REMEMBERED)
 
 
 STAGES = [
