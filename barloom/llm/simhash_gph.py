@@ -13,10 +13,13 @@ pairs of blocks.  Thresholds grow with the number of fingerprints, which keeps b
 links, which joins the same components as all its pairs.
 
 ``deduplicated`` takes texts for near copies whose sets of five-word shingles have a cosine of ``SIMILARITY`` or more.
-It probes with wider fingerprints (``WIDE`` bits, of the set of words, which small changes move least), of which all
-within ``PROBE_DISTANCE`` bits meet; what meets is verified on the shingles of the whole texts.  Of a bucket every
-fingerprint keeps its nearest one and its neighbour of most neighbours, so candidates grow with the texts, not with
-the square of a group.
+A first pass probes with wider fingerprints (``WIDE`` bits, of the set of words, which small changes move least), of
+which all within ``PROBE_DISTANCE`` bits meet; what meets is verified on the shingles of the whole texts.  Of a bucket
+every fingerprint keeps its nearest one and its neighbour of most neighbours, so candidates grow with the texts, not
+with the square of a group.  A second pass is exact and finds every link that the first one left out between two of its
+groups: texts whose cosine is high enough share a shingle among the first of each in one order of all shingles (prefix
+filter), so texts of different groups that share one there are candidates, unless their sketches show that too many
+shingles differ, or too few are shared there; those are verified likewise.
 
 Null, empty and wordless texts have fingerprint zero and are linked like any other.  ``component_id`` is null only if
 no document of the component has an id.  Repeated rows share a fingerprint and a component.
@@ -26,13 +29,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.llm.components import components
 from barloom.llm.shared import release, row_key, staged
@@ -51,6 +55,10 @@ MOST_HIDDEN = 4
 #: surely meet, those that meet are candidates up to the second.
 SIMILARITY, SHINGLE = 0.8, 5
 PROBE_DISTANCE, CANDIDATE_DISTANCE = 15, 24
+#: Longs of a sketch; most texts of one shingle that a task row compares with each other in the exact pass.
+SKETCH, LISTED = 8, 1024
+#: Shingles that so many of so many sampled texts have are put last in the order of shingles, at most so many of them (this steers the cost only).
+COMMON_LEAST, COMMON_SAMPLE, COMMON_MOST = 3, 20_000, 50_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -187,9 +195,14 @@ def blocks(distinct: DataFrame, words: list[str], distance: int, carried: list[s
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.xxhash64(*kept(m)) if len(kept(m)) > 1 else kept(m)[0]).alias("k")) for i, m in enumerate(probes)]))
     keyed = distinct.select(*carried, keys.alias("p")).select(*carried, "p.i", "p.k")
     sizes = keyed.groupBy("i", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["i", "k"]).withColumn("c", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    return side_by_side(keyed.join(sizes, ["i", "k"]), ["i", "k"], carried, block)
+
+
+def side_by_side(met: DataFrame, by: list[str], carried: list[str], block: int) -> DataFrame:
+    """Lists of the ``carried`` columns of rows that are equal in ``by``, of which there are ``n``: of two blocks of about so many rows each."""
+    met = met.withColumn("c", F.ceil(F.col("n") / F.lit(block)).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64(*carried), F.col("c")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    return met.groupBy("i", "k", F.least("own", "o").alias("lo_"), F.greatest("own", "o").alias("hi_")).agg(*[F.collect_list(c).alias(c) for c in carried]).select(*carried)
+    return met.groupBy(*by, F.least("own", "o").alias("lo_"), F.greatest("own", "o").alias("hi_")).agg(*[F.collect_list(c).alias(c) for c in carried]).select(*carried)
 
 
 def links(distinct: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
@@ -230,7 +243,7 @@ class Digests(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         value = xxhash.xxh3_128_digest(word, SEED)
-        if len(self) < 400_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
@@ -292,16 +305,141 @@ def cosine(one: str | None, other: str | None, width: int = SHINGLE) -> float:
     return len(a & b) / (len(a) * len(b)) ** 0.5
 
 
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """The set of shingles as ascending hashes of 64 bits; of fewer words all are one shingle."""
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    width = min(width, len(words))
+    own = np.frombuffer(b"".join([digests[w] for w in words]), dtype=np.uint64)[::2]
+    n = len(words) - width + 1
+    mixed = np.full(n, width, dtype=np.uint64)
+    for j in range(width):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + own[j : j + n]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(mixed ^ mixed >> np.uint64(32))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Bits that tell whether an odd number of the shingles falls on them: two sketches differ in no more bits than the sets in shingles."""
+    odd = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first shingles of a set: any two sets of that cosine share one of them.  ``common`` ones (ascending) come after all others, by their ``place``.
+
+    Sets of such a cosine have ``similarity ** 2`` of the larger one in common at least, so all common shingles but one can lie behind these.
+    """
+    n = len(hashes)
+    if len(common):
+        at = np.searchsorted(common, hashes).clip(max=len(common) - 1)
+        hashes = hashes[np.argsort(np.where(common[at] == hashes, place[at], -1), kind="stable")]
+    return hashes[: min(n, n - ceil(similarity**2 * n - 1e-6) + 1)]
+
+
+def least_shared(a: int, b: int, similarity: float) -> int:
+    """How many shingles of their prefixes sets of such sizes share at least if they have that cosine: what they share elsewhere lies behind the prefix that ends first."""
+    return max(1, ceil(similarity * (a * b) ** 0.5 - 1e-6) - ceil(similarity**2 * max(a, b) - 1e-6) + 1)
+
+
+def most_apart(a: int, b: int, similarity: float) -> int:
+    """The most shingles by which sets of such sizes may differ; -1 if their sizes alone are too far apart."""
+    return a + b - 2 * ceil(similarity * (a * b) ** 0.5 - 1e-6) if min(a, b) >= similarity**2 * max(a, b) - 1e-6 else -1
+
+
+def possible(node: np.ndarray, label: np.ndarray, size: np.ndarray, sketches: list[bytes], similarity: float, rows: int = 128) -> list[tuple[int, int]]:
+    """All pairs of different labels but those that sizes or sketches rule out."""
+    if len(node) <= 8:
+        made = [(n, g, z, int.from_bytes(s, "little")) for n, g, z, s in zip(node.tolist(), label.tolist(), size.tolist(), sketches)]
+        return [(a[0], b[0]) for a, b in combinations(made, 2) if a[1] != b[1] and (a[3] ^ b[3]).bit_count() <= most_apart(a[2], b[2], similarity)]
+    bits, size, out = np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(-1, SKETCH), size.astype(np.float64), []
+    for i in range(0, len(node), rows):
+        far = np.zeros((len(node[i : i + rows]), len(node)), dtype=np.int32)
+        for k in range(SKETCH):
+            far += np.bitwise_count(bits[i : i + rows, k, None] ^ bits[None, :, k])
+        a, b = size[i : i + rows, None], size[None, :]
+        near = (far <= a + b - 2 * np.ceil(similarity * np.sqrt(a * b) - 1e-6)) & (np.minimum(a, b) >= similarity**2 * np.maximum(a, b) - 1e-6)
+        x, y = np.nonzero((label[i : i + rows, None] < label[None, :]) & near)
+        out += zip(node[i + x].tolist(), node[y].tolist())
+    return out
+
+
+def common_shingles(texts: DataFrame, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many texts in a bounded sample, ascending, and their places in the order of how common they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"s": np.concatenate([shingle_hashes(lowered(t), width) for t in b["text"]] or [np.zeros(0, np.uint64)]).view(np.int64)})
+
+    some = texts.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 20)) < int(min(1.0, COMMON_SAMPLE / max(n, 1)) * (1 << 20) + 1))
+    often = some.select("text").mapInPandas(run, "s long").groupBy("s").count().where(F.col("count") >= COMMON_LEAST)
+    got = often.orderBy(F.desc("count"), "s").limit(COMMON_MOST).collect()
+    found = np.array([r["s"] for r in got][::-1], dtype=np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], order
+
+
+def left_out(texts: DataFrame, nodes: DataFrame, label: DataFrame, similarity: float, width: int, block: int) -> DataFrame:
+    """``u, v``: texts of different labels that may be near copies, by the prefix filter.  ``texts`` (``k1, k2, text``) has each node's text."""
+    n = nodes.count()
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, n, width))
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [lowered(t) for t in b["text"]]
+            made = [prefix(shingle_hashes(w, width), similarity, *common.value) for w in words]
+            node = np.repeat(np.array([content(w) for w in words], dtype=np.int64), [len(m) for m in made])
+            yield pd.DataFrame({"s": np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64), "node": node})
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for x in b.itertuples(index=False):
+                size = dict(zip(x.node.tolist(), x.size.tolist()))
+                found += [(min(p), max(p), least_shared(size[p[0]], size[p[1]], similarity)) for p in possible(x.node, x.label, x.size, list(x.sketch), similarity)]
+            yield pd.DataFrame(found, columns=["u", "v", "least"], dtype="int64")
+
+    by = Window.partitionBy("s")
+    rows = texts.select("text").mapInPandas(first, "s long, node long").withColumns({"lo": F.min("node").over(by), "hi": F.max("node").over(by)})
+    shared = staged(rows.where("lo <> hi").select("s", F.col("node").alias("of")), "shared")
+    named = shared.join(label, F.col("of") == F.col("node"), "left").select("s", "of", F.coalesce("label", "of").alias("label"))
+    named = named.withColumns({"n": F.count(F.lit(1)).over(by), "lo": F.min("label").over(by), "hi": F.max("label").over(by)})
+    opened = staged(named.where("lo <> hi").select("s", "of", "label", "n"), "open")
+    met = opened.join(nodes.select("node", "size", "sketch"), F.col("of") == F.col("node")).select("s", "n", "node", "label", "size", "sketch")
+    out = side_by_side(met, ["s"], ["node", "label", "size", "sketch"], block).mapInPandas(pairs, "u long, v long, least long")
+    # pairs of one block of a long list come several times; that only lets more of them through
+    out = staged(out.groupBy("u", "v", "least").count().where("count >= least").select("u", "v"), "left_out")
+    release(shared, opened)
+    return out
+
+
+def verified(met: DataFrame, keyed: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs ``u, v`` of ``met`` whose texts have the cosine."""
+    asked = staged(nodes.join(met.select("u").union(met.select("v")).distinct(), F.col("node") == F.col("u"), "left_semi").select("node", F.col("k1").alias("k1_"), F.col("k2").alias("k2_")), "asked")
+    texts = keyed.select("k1", "k2", "text").join(within(asked.select("k1_", "k2_")), (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")), "left_semi")
+    held = staged(asked.join(texts, (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_"))).select("node", "text").dropDuplicates(["node"]), "texts")
+    alike = F.pandas_udf(lambda a, b: pd.Series([cosine(x, y, shingle) for x, y in zip(a, b)]), "double")
+    first = met.join(held.withColumnsRenamed({"node": "a", "text": "one"}), F.col("u") == F.col("a"))
+    both = first.join(held.withColumnsRenamed({"node": "b", "text": "other"}), F.col("v") == F.col("b"))
+    out = staged(both.where(alike("one", "other") >= similarity).select("u", "v"), "verified")
+    release(asked, held)
+    return out
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, distance: int = PROBE_DISTANCE, block: int = BLOCK) -> DataFrame:
     """``k1, k2`` (the key of the row's whole content), ``doc_id`` and ``label``, equal for rows of one group of near copies, for every row of ``docs``."""
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        made = [(content(w), *wide(w)) for w in map(lowered, texts)]
-        return pd.DataFrame(made, columns=["node", "low", "high"])
+        words = [lowered(t) for t in texts]
+        sets = [shingle_hashes(w, shingle) for w in words]
+        return pd.DataFrame([(content(w), *wide(w), len(s), sketch(s)) for w, s in zip(words, sets)], columns=["node", "low", "high", "size", "sketch"])
 
     keyed = docs.select(*row_key(docs), "doc_id", "text")
-    made = staged(keyed.select("k1", "k2", "doc_id", F.pandas_udf(run, "node long, low long, high long")("text").alias("_f")).select("k1", "k2", "doc_id", "_f.*"), "fingerprints")
-    nodes = staged(made.groupBy("node", "low", "high").agg(F.min(F.struct("k1", "k2")).alias("row")).select("node", "low", "high", "row.*"), "nodes")
+    made = keyed.select("k1", "k2", "doc_id", F.pandas_udf(run, "node long, low long, high long, size int, sketch binary")("text").alias("_f"))
+    made = staged(made.select("k1", "k2", "doc_id", "_f.*"), "fingerprints")
+    nodes = made.groupBy("node", "low", "high", "size", "sketch").agg(F.min(F.struct("k1", "k2")).alias("row"))
+    nodes = staged(nodes.select("node", "low", "high", "size", "sketch", "row.*"), "nodes")
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -310,14 +448,16 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     met = blocks(nodes, ["low", "high"], distance, ["node", "low", "high"], block).mapInPandas(candidates, "u long, v long")
     met = staged(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    asked = staged(nodes.join(met.select("u").union(met.select("v")).distinct(), F.col("node") == F.col("u"), "left_semi").select("node", F.col("k1").alias("k1_"), F.col("k2").alias("k2_")), "asked")
-    texts = keyed.select("k1", "k2", "text").join(within(asked.select("k1_", "k2_")), (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")), "left_semi")
-    held = staged(asked.join(texts, (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_"))).select("node", "text").dropDuplicates(["node"]), "texts")
-    alike = F.pandas_udf(lambda a, b: pd.Series([cosine(x, y, shingle) for x, y in zip(a, b)]), "double")
-    first = met.join(held.withColumnsRenamed({"node": "a", "text": "one"}), F.col("u") == F.col("a"))
-    both = first.join(held.withColumnsRenamed({"node": "b", "text": "other"}), F.col("v") == F.col("b"))
-    label = components(both.where(alike("one", "other") >= similarity).select("u", "v"))
-    release(met, asked, held, nodes)
+    linked = verified(met, keyed, nodes, similarity, shingle)
+    label = components(linked)
+    copies = made.join(nodes.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_")), (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")), "left_anti")
+    copies = staged(copies.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_")).distinct(), "copies")
+    once = keyed.select("k1", "k2", "text").join(within(copies), (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")), "left_anti")
+    rest = left_out(once, nodes, label, similarity, shingle, min(block, LISTED))
+    more = verified(rest.join(met, ["u", "v"], "left_anti"), keyed, nodes, similarity, shingle)
+    if not more.isEmpty():
+        label = components(linked.unionByName(more))
+    release(met, nodes, copies, rest, linked, more)
     return made.join(label.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("k1", "k2", "doc_id", F.coalesce("label", "node").alias("label"))
 
 

@@ -696,6 +696,49 @@ def test_deduplicated_loses_no_group(spark, block):
         assert r["doc_id"] == min(ids, default=None)
 
 
+def near_threshold(seed, groups=12):
+    """Texts of a base and parts of it with other words behind, of cosines around 0.8; many have fingerprints far apart."""
+    rng, made = np.random.default_rng(seed), []
+    for g in range(groups):
+        base = [f"b{g}x{i}" for i in range(60)]
+        for v in range(8):
+            cut, more = int(rng.integers(0, 14)), int(rng.integers(0, 34))
+            made.append(" ".join(base[cut:] + [f"o{g}v{v}x{i}" for i in range(more)]))
+    return made
+
+
+def test_links_that_fingerprints_miss(spark):
+    """The exact pass finds all links between groups of the first one, also at short lists and with shingles that are common."""
+    texts = near_threshold(5) + ["one two three four five six seven " * 3 + f"z{i} y{i} x{i}" for i in range(30)]
+    label = brute_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (4096, 5):
+        got = [r["label"] for r in sorted(simhash_gph.near_copies(df, block=block).collect(), key=lambda r: r["doc_id"])]
+        assert classes_of(got) == classes_of(label)
+    assert len(set(label)) > 12
+
+
+def classes_of(labels):
+    first = {}
+    return [first.setdefault(x, i) for i, x in enumerate(labels)]
+
+
+def test_prefixes_and_sketches_rule_out_no_link():
+    texts = near_threshold(6, 4)
+    words = [simhash_gph.lowered(t) for t in texts]
+    sets = [simhash_gph.shingle_hashes(w, 5) for w in words]
+    every = np.unique(np.concatenate(sets))
+    for common in (every[:0], every[::2]):
+        place = np.random.default_rng(1).permutation(len(common))
+        first = [set(simhash_gph.prefix(s, 0.8, common, place).tolist()) for s in sets]
+        assert all(f <= set(s.tolist()) for f, s in zip(first, sets))
+        assert all(len(first[i] & first[j]) >= simhash_gph.least_shared(len(sets[i]), len(sets[j]), 0.8) for i in range(len(sets)) for j in range(i) if simhash_gph.cosine(texts[i], texts[j]) >= 0.8)
+    node, size, sketches = np.arange(len(sets)), np.array([len(s) for s in sets]), [simhash_gph.sketch(s) for s in sets]
+    links = {(j, i) for i in range(len(sets)) for j in range(i) if simhash_gph.cosine(texts[i], texts[j]) >= 0.8}
+    assert links and links <= set(simhash_gph.possible(node, node, size, sketches, 0.8))
+    assert all(simhash_gph.possible(np.array(p), np.array(p), size[list(p)], [sketches[k] for k in p], 0.8) for p in links)
+
+
 def test_near_copies_found(spark):
     """Recall over all pairs of texts of 40 to 400 words with a cosine of 0.8 or more, planted with spread single changes."""
     texts = [prose(3000 + i, 40 + 12 * i, "de" if i % 2 else "en") for i in range(30)]
