@@ -18,8 +18,11 @@ which all within ``PROBE_DISTANCE`` bits meet; what meets is verified on the shi
 every fingerprint keeps its nearest one and its neighbour of most neighbours, so candidates grow with the texts, not
 with the square of a group.  A second pass is exact and finds every link that the first one left out between two of its
 groups: texts whose cosine is high enough share a shingle among the first of each in one order of all shingles (prefix
-filter), so texts of different groups that share one there are candidates, unless their sketches show that too many
-shingles differ, or too few are shared there; those are verified likewise.
+filter).  The texts of such a shingle meet under the least of them, once for all shingles of which it is the least; pairs
+of different groups that meet are candidates, unless their sketches, which grow with the texts, show that too many
+shingles differ, or too few can be shared there; those are verified likewise.  So texts that share much and are no near
+copies cost comparisons in a task, half the square of those that meet, but no rows unless their cosine is just under
+``SIMILARITY``.
 
 Null, empty and wordless texts have fingerprint zero and are linked like any other.  ``component_id`` is null only if
 no document of the component has an id.  Repeated rows share a fingerprint and a component.
@@ -55,8 +58,8 @@ MOST_HIDDEN = 4
 #: surely meet, those that meet are candidates up to the second.
 SIMILARITY, SHINGLE = 0.8, 5
 PROBE_DISTANCE, CANDIDATE_DISTANCE = 15, 24
-#: Longs of a sketch; most texts of one shingle that a task row compares with each other in the exact pass.
-SKETCH, LISTED = 8, 1024
+#: Longs of a sketch, at least and at most: about so many bits for each shingle (this steers the cost only); most texts that a task row compares with each other in the exact pass.
+SKETCH, SKETCH_MOST, SKETCH_BITS, LISTED = 8, 512, 2, 1024
 #: Shingles that so many of so many sampled texts have are put last in the order of shingles, at most so many of them (this steers the cost only).
 COMMON_LEAST, COMMON_SAMPLE, COMMON_MOST = 3, 20_000, 50_000
 
@@ -321,11 +324,25 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Bits that tell whether an odd number of the shingles falls on them: two sketches differ in no more bits than the sets in shingles."""
-    odd = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    """Bits that tell whether an odd number of the shingles falls on them: two sketches differ in no more bits than the sets in shingles.
+
+    Their number is a power of two; a sketch of half the bits is the sum of the halves.
+    """
+    longs = SKETCH
+    while longs < SKETCH_MOST and 64 * longs < SKETCH_BITS * len(hashes):
+        longs *= 2
+    odd = np.bincount((hashes % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def halved(sketch: np.ndarray, longs: int) -> np.ndarray:
+    """The sketch (rows of longs) in fewer longs."""
+    while sketch.shape[-1] > longs:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The first shingles of a set: any two sets of that cosine share one of them.  ``common`` ones (ascending) come after all others, by their ``place``.
 
@@ -338,30 +355,41 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, place: np.
     return hashes[: min(n, n - ceil(similarity**2 * n - 1e-6) + 1)]
 
 
-def least_shared(a: int, b: int, similarity: float) -> int:
+def least_shared(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """How many shingles of their prefixes sets of such sizes share at least if they have that cosine: what they share elsewhere lies behind the prefix that ends first."""
-    return max(1, ceil(similarity * (a * b) ** 0.5 - 1e-6) - ceil(similarity**2 * max(a, b) - 1e-6) + 1)
+    return np.maximum(1, np.ceil(similarity * np.sqrt(a * b) - 1e-6) - np.ceil(similarity**2 * np.maximum(a, b) - 1e-6) + 1)
 
 
-def most_apart(a: int, b: int, similarity: float) -> int:
+def most_apart(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """The most shingles by which sets of such sizes may differ; -1 if their sizes alone are too far apart."""
-    return a + b - 2 * ceil(similarity * (a * b) ** 0.5 - 1e-6) if min(a, b) >= similarity**2 * max(a, b) - 1e-6 else -1
+    return np.where(np.minimum(a, b) >= similarity**2 * np.maximum(a, b) - 1e-6, a + b - 2 * np.ceil(similarity * np.sqrt(a * b) - 1e-6), -1)
 
 
-def possible(node: np.ndarray, label: np.ndarray, size: np.ndarray, sketches: list[bytes], similarity: float, rows: int = 128) -> list[tuple[int, int]]:
-    """All pairs of different labels but those that sizes or sketches rule out."""
-    if len(node) <= 8:
-        made = [(n, g, z, int.from_bytes(s, "little")) for n, g, z, s in zip(node.tolist(), label.tolist(), size.tolist(), sketches)]
-        return [(a[0], b[0]) for a, b in combinations(made, 2) if a[1] != b[1] and (a[3] ^ b[3]).bit_count() <= most_apart(a[2], b[2], similarity)]
-    bits, size, out = np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(-1, SKETCH), size.astype(np.float64), []
+def possible(node: np.ndarray, label: np.ndarray, size: np.ndarray, sketches: list[bytes], similarity: float, shared: np.ndarray | None = None, rows: int = 128) -> list[tuple[int, int]]:
+    """All pairs of different labels but those that sizes, sketches or ``shared`` (of each, how many shingles of its prefix others have) rule out."""
+    made = [np.frombuffer(s, dtype=np.uint64) for s in sketches]
+    longs, size, out = np.array([len(m) for m in made]), size.astype(np.float64), []
+    level = {SKETCH: np.array([halved(m, SKETCH) for m in made])}  # of those of so many longs or more, others zero
     for i in range(0, len(node), rows):
-        far = np.zeros((len(node[i : i + rows]), len(node)), dtype=np.int32)
-        for k in range(SKETCH):
-            far += np.bitwise_count(bits[i : i + rows, k, None] ^ bits[None, :, k])
-        a, b = size[i : i + rows, None], size[None, :]
-        near = (far <= a + b - 2 * np.ceil(similarity * np.sqrt(a * b) - 1e-6)) & (np.minimum(a, b) >= similarity**2 * np.maximum(a, b) - 1e-6)
-        x, y = np.nonzero((label[i : i + rows, None] < label[None, :]) & near)
-        out += zip(node[i + x].tolist(), node[y].tolist())
+        a, b, here = size[i : i + rows, None], size[None, :], slice(i, i + rows)
+        may = (label[here, None] < label[None, :]) & (most_apart(a, b, similarity) >= 0)
+        if shared is not None:
+            may &= np.minimum(shared[here, None], shared[None, :]) >= least_shared(a, b, similarity)
+        x, y = np.nonzero(may)
+        x += i
+        most, both, n = most_apart(size[x], size[y], similarity), np.minimum(longs[x], longs[y]), SKETCH
+        while len(x):
+            if n not in level:
+                at = np.flatnonzero(longs >= n)
+                level[n] = np.zeros((len(node), n), dtype=np.uint64)
+                level[n][at] = [halved(made[k], n) for k in at]
+            bits, step, near = level[n], max(1, (1 << 20) // n), both < n
+            for j in np.split(np.flatnonzero(~near), range(step, np.count_nonzero(~near), step)):
+                near[j] = np.bitwise_count(bits[x[j]] ^ bits[y[j]]).sum(axis=1, dtype=np.int64) <= most[j]
+            x, y, most, both, n = x[near], y[near], most[near], both[near], 2 * n
+            if not (both >= n).any():
+                break
+        out += zip(node[x].tolist(), node[y].tolist())
     return out
 
 
@@ -394,22 +422,22 @@ def left_out(texts: DataFrame, nodes: DataFrame, label: DataFrame, similarity: f
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = []
-            for x in b.itertuples(index=False):
-                size = dict(zip(x.node.tolist(), x.size.tolist()))
-                found += [(min(p), max(p), least_shared(size[p[0]], size[p[1]], similarity)) for p in possible(x.node, x.label, x.size, list(x.sketch), similarity)]
-            yield pd.DataFrame(found, columns=["u", "v", "least"], dtype="int64")
+            found = {(min(p), max(p)) for x in b.itertuples(index=False) for p in possible(x.node, x.label, x.size, list(x.sketch), similarity, x.shared)}
+            yield pd.DataFrame(list(found), columns=["u", "v"], dtype="int64")
 
     by = Window.partitionBy("s")
     rows = texts.select("text").mapInPandas(first, "s long, node long").withColumns({"lo": F.min("node").over(by), "hi": F.max("node").over(by)})
     shared = staged(rows.where("lo <> hi").select("s", F.col("node").alias("of")), "shared")
     named = shared.join(label, F.col("of") == F.col("node"), "left").select("s", "of", F.coalesce("label", "of").alias("label"))
-    named = named.withColumns({"n": F.count(F.lit(1)).over(by), "lo": F.min("label").over(by), "hi": F.max("label").over(by)})
-    opened = staged(named.where("lo <> hi").select("s", "of", "label", "n"), "open")
-    met = opened.join(nodes.select("node", "size", "sketch"), F.col("of") == F.col("node")).select("s", "n", "node", "label", "size", "sketch")
-    out = side_by_side(met, ["s"], ["node", "label", "size", "sketch"], block).mapInPandas(pairs, "u long, v long, least long")
-    # pairs of one block of a long list come several times; that only lets more of them through
-    out = staged(out.groupBy("u", "v", "least").count().where("count >= least").select("u", "v"), "left_out")
+    named = named.withColumns({"under": F.min("of").over(by), "lo": F.min("label").over(by), "hi": F.max("label").over(by)})
+    opened = staged(named.where("lo <> hi").groupBy("under", "of", "label").agg(F.count(F.lit(1)).alias("times")), "open")
+    # texts that share a shingle meet under the least text that has it, once whatever they share
+    own = opened.groupBy("of").agg(F.sum("times").alias("shared")).withColumnRenamed("of", "node_")
+    own = nodes.select("node", "size", "sketch").join(own, F.col("node") == F.col("node_")).select("node", "size", "sketch", "shared")
+    sizes = opened.groupBy("under").agg(F.count(F.lit(1)).alias("n"))
+    met = opened.join(sizes, "under").join(own, F.col("of") == F.col("node")).select("under", "n", "node", "label", "size", "shared", "sketch")
+    out = side_by_side(met, ["under"], ["node", "label", "size", "shared", "sketch"], block).mapInPandas(pairs, "u long, v long")
+    out = staged(out.distinct(), "left_out")
     release(shared, opened)
     return out
 

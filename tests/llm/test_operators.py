@@ -739,6 +739,45 @@ def test_prefixes_and_sketches_rule_out_no_link():
     assert all(simhash_gph.possible(np.array(p), np.array(p), size[list(p)], [sketches[k] for k in p], 0.8) for p in links)
 
 
+@pytest.mark.parametrize("n", [80, 1500, 9000])
+def test_texts_that_share_much_make_no_pairs(n):
+    """A group of texts of cosines of some 0.6: no pair is possible, whatever the texts' lengths; real near copies among them are, also of other sketch sizes."""
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    few = [np.unique(np.concatenate([base[: n * 6 // 10], rng.integers(0, 1 << 63, n * 4 // 10, dtype=np.uint64)])) for _ in range(40)]
+    longer = [np.unique(np.concatenate([s, rng.integers(0, 1 << 63, n * k // 100, dtype=np.uint64)])) for s, k in zip(few[:3], (5, 30, 50))]
+    sets = few + longer
+    node, size, sketches = np.arange(len(sets)), np.array([len(s) for s in sets]), [simhash_gph.sketch(s) for s in sets]
+    got = simhash_gph.possible(node, node, size, sketches, 0.8)
+    assert sorted((min(p), max(p)) for p in got) == [(0, 40), (1, 41), (2, 42)]
+    shared = np.where(node == 1, simhash_gph.least_shared(size[1], size[41], 0.8) - 1, size)
+    assert sorted(simhash_gph.possible(node, node, size, sketches, 0.8, shared)) == [(0, 40), (2, 42)]
+
+
+def test_half_a_sketch_is_the_sketch_of_half_the_bits():
+    s = np.random.default_rng(8).integers(0, 1 << 63, 3000, dtype=np.uint64)
+    whole = np.frombuffer(simhash_gph.sketch(s), dtype=np.uint64)
+    least = np.bincount((s % np.uint64(64 * simhash_gph.SKETCH)).astype(np.int64), minlength=64 * simhash_gph.SKETCH) & 1
+    assert len(whole) > simhash_gph.SKETCH and simhash_gph.halved(whole, simhash_gph.SKETCH).tobytes() == np.packbits(least.astype(bool)).tobytes()
+
+
+def test_candidates_of_the_exact_pass_grow_with_links_not_with_groups(spark):
+    """60 texts that share two thirds of their words make no candidates between them; their two near copies do."""
+    shared = [f"w{i}" for i in range(1200)]
+    texts = [" ".join(shared + [f"o{v}x{i}" for i in range(600)]) for v in range(60)]
+    texts += [" ".join(t.split()[k:]) for k, t in ((100, texts[3]), (400, texts[7]))]
+    rows_ = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "k1 long, k2 long, text string")
+    words = [simhash_gph.lowered(t) for t in texts]
+    ids = [simhash_gph.content(w) for w in words]
+    sets = [simhash_gph.shingle_hashes(w, 5) for w in words]
+    nodes = spark.createDataFrame([(i, len(s), bytearray(simhash_gph.sketch(s))) for i, s in zip(ids, sets)], "node long, size int, sketch binary")
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if simhash_gph.cosine(texts[i], texts[j]) >= 0.8}
+    assert {(3, 60), (7, 61)} <= want and len(want) < 70
+    for block in (1024, 7):
+        got = {tuple(sorted((ids.index(r["u"]), ids.index(r["v"])))) for r in simhash_gph.left_out(rows_, nodes, spark.createDataFrame([], "node long, label long"), 0.8, 5, block).collect()}
+        assert want <= got and len(got) < 130
+
+
 def test_near_copies_found(spark):
     """Recall over all pairs of texts of 40 to 400 words with a cosine of 0.8 or more, planted with spread single changes."""
     texts = [prose(3000 + i, 40 + 12 * i, "de" if i % 2 else "en") for i in range(30)]
