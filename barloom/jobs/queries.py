@@ -56,7 +56,7 @@ for _name in [c["name"] for c in indicators.catalog()]:
 
 def _regime(name: str, *columns: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown(regime.regime_context(bars(spark, sf_dir)).select(*KEY, *columns))
+        return shown(regime.regime_context(bars(spark, sf_dir), states=list(columns)).select(*KEY, *columns))
 
     QUERIES[name] = run
 

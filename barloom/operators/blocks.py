@@ -12,7 +12,7 @@ block begins with; a second pass runs the blocks from there.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 from barloom.functions.candles import KEY, NUMBERS, SERIES, parts_of_series
 from barloom.functions.scratch import scratch
 from barloom.operators import indicators as I
+from barloom.operators.scans import INPUTS, SCANS, Runs, Scans, bars_of
 
 BLOCK = [*SERIES, "_block"]
 
@@ -35,11 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def indexed(df: DataFrame) -> DataFrame:
-    """Adds ``_i``, the place of a row in its series by time; no task holds a series."""
+    """Adds ``_i``, the place of a row in its series by time, and ``_length``, the rows of the series; no task holds a series."""
     ranges = written(df.repartitionByRange(*KEY).withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(*SERIES).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranges.groupBy(*SERIES, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in SERIES], F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in SERIES], F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(*SERIES)).alias("_length"))
     inside = F.row_number().over(Window.partitionBy(*SERIES, "_range").orderBy("timestamp")) - 1
     on = [*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SERIES], F.col("_range") == F.col("_r")]
     return ranges.withColumn("_in", inside).join(counts, on).withColumn("_i", F.col("_base") + F.col("_in")).drop("_range", "_r", "_base", "_in", *[f"_{c}" for c in SERIES])
@@ -50,167 +51,75 @@ def cut(df: DataFrame, rows: int, halo: int) -> DataFrame:
     own = F.floor(F.col("_i") / rows)
     next_too = F.when(F.col("_i") % rows >= rows - halo, F.array(own, own + 1)).otherwise(F.array(own))
     made = df.withColumn("_block", F.explode(next_too))
-    last = df.groupBy(*SERIES).agg(F.max("_i").alias("_last")).select(*[F.col(c).alias(f"_{c}") for c in SERIES], "_last")
-    met = made.join(last, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SERIES])
-    return met.where(F.col("_block") <= F.floor(F.col("_last") / rows)).drop("_last", *[f"_{c}" for c in SERIES])  # no block of a halo alone
-
-
-# scans
-
-
-class Average:
-    """An average seeded by the mean of ``period`` values from place ``begin``; its state is the seed's sum so far and the value."""
-
-    size = 2
-
-    def __init__(self, begin: int, period: int, alpha: float):
-        self.begin, self.period, self.alpha = begin, period, alpha
-
-    def run(self, x: np.ndarray, first: int, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values (NaN before the seed) and the state after ``x``, whose first place in the series is ``first``."""
-        n, at = len(x), self.begin + self.period - 1
-        total, value = state
-        out = np.full(n, np.nan)
-        low, high = (min(max(k - first, 0), n) for k in (self.begin, at + 1))
-        total = total + x[low:high].sum()
-        if first <= at < first + n:
-            value = out[at - first] = total / self.period
-        start = max(at + 1 - first, 0)
-        if start < n:
-            made = pd.Series(np.concatenate(([value], x[start:]))).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()
-            out[start:], value = made[1:], made[-1]
-        return out, np.array([total, value])
-
-
-class Sum:
-    size = 1
-
-    def run(self, x: np.ndarray, first: int, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.cumsum(np.concatenate((state, x)))[1:]
-        return out, out[-1:] if len(out) else state
-
-
-def _chain(parts: list, inputs: list[Callable], finish: Callable) -> tuple[list, Callable]:
-    """A scan of several parts; an input may use the values of the parts before it.  ``finish`` makes the indicator's columns."""
-
-    def run(bars: dict, first: int, state: np.ndarray) -> tuple[dict, np.ndarray]:
-        made, after, at = [], [], 0
-        for part, x in zip(parts, inputs):
-            values, own = part.run(x(bars, made), first, state[at : at + part.size])
-            made.append(values)
-            after.append(own)
-            at += part.size
-        return finish(bars, made), np.concatenate(after)
-
-    return parts, run
-
-
-def _slope(values: np.ndarray, lag: int) -> np.ndarray:
-    e = pd.Series(values)
-    return ((e - e.shift(lag)) / lag).to_numpy()
-
-
-def _close(bars: dict, made: list) -> np.ndarray:
-    return bars["close"]
-
-
-def _rsi_of(bars: dict, made: list) -> dict:
-    gain, loss = made
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return {"": np.where(loss == 0, np.where(gain > 0, 100.0, 50.0), 100 - 100 / (1 + gain / loss))}
-
-
-def _macd_of(bars: dict, made: list) -> dict:
-    fast, slow, signal = made
-    line = np.where(np.isnan(signal), np.nan, fast - slow)
-    return {"macd": line, "signal": signal, "histogram": line - signal}
-
-
-def _natr_of(bars: dict, made: list) -> dict:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return {"": made[0] / bars["close"] * 100, "invalid": bars["close"] <= 0}
-
-
-def _ema(period: int) -> Average:
-    return Average(0, period, 2 / (period + 1))
-
-
-SCANS: dict[str, Callable[[dict], tuple[list, Callable]]] = {
-    "ema": lambda p: _chain([_ema(p["period"])], [_close], lambda bars, made: {"": made[0]}),
-    "ema_slope": lambda p: _chain([_ema(p["period"])], [_close], lambda bars, made: {"": _slope(made[0], p["lag"])}),
-    "rsi": lambda p: _chain([Average(1, p["period"], 1 / p["period"])] * 2, [lambda bars, made: np.maximum(bars["step"], 0.0), lambda bars, made: np.maximum(-bars["step"], 0.0)], _rsi_of),
-    "macd": lambda p: _chain(
-        [_ema(p["fast_period"]), _ema(p["slow_period"]), Average(p["slow_period"] - 1, p["signal_period"], 2 / (p["signal_period"] + 1))],
-        [_close, _close, lambda bars, made: np.nan_to_num(made[0] - made[1])],
-        _macd_of,
-    ),
-    "atr": lambda p: _chain([Average(0, p["period"], 1 / p["period"])], [lambda bars, made: bars["tr"]], lambda bars, made: {"": made[0]}),
-    "natr": lambda p: _chain([Average(0, p["period"], 1 / p["period"])], [lambda bars, made: bars["tr"]], _natr_of),
-    "obv": lambda p: _chain([Sum()], [lambda bars, made: np.sign(bars["step"]) * bars["volume"]], lambda bars, made: {"": made[0]}),
-}
-
-
-def _bars(rows: pd.DataFrame) -> dict:
-    close = rows["close"].to_numpy(float)
-    return {"close": close, "step": close - rows["_prev"].fillna(rows["close"]).to_numpy(float), "tr": rows["_tr"].to_numpy(float), "volume": rows["volume"].to_numpy(float)}
+    return made.where(F.col("_block") <= F.floor((F.col("_length") - 1) / rows)).drop("_length")  # no block of a halo alone
 
 
 def scanned(df: DataFrame, specs: list[I.Spec], rows: int, lead: int) -> DataFrame:
-    """Adds the values of ``specs`` to the rows of blocks.
+    """Adds the values of ``specs`` to the rows of blocks, and leaves out halo rows but for ``lead``.
 
     A block's states begin ``lead`` candles before it, so that lagged values of its first candles are there too.
+    Tasks go through their blocks in order, many at once; of a block that a batch ends in, a task keeps the rows.
     """
-    plans = [(s, *SCANS[s.name](s.p)) for s in specs]
-    size = [sum(part.size for part in parts) for _, parts, _ in plans]
-
-    def maps(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("_i")
-        end = (int(block["_block"].iloc[0]) + 1) * rows - lead
-        mine = block[(block["_i"] >= end - rows) & (block["_i"] < end)]
-        first, bars = int(mine["_i"].iloc[0]) if len(mine) else 0, _bars(mine)
-        none = {k: np.zeros(len(mine)) for k in bars}
-        shift, scale = [], []
-        for (_, _, run), n in zip(plans, size):
-            shift += run(bars, first, np.zeros(n))[1].tolist()
-            scale += np.array([run(none, first, unit)[1] for unit in np.eye(n)]).reshape(-1).tolist()
-        return pd.DataFrame([[*block[BLOCK].iloc[0], shift, scale]], columns=[*BLOCK, "shift", "scale"])
-
-    def combined(series: pd.DataFrame) -> pd.DataFrame:
-        state, begins = [np.zeros(n) for n in size], []
-        series = series.sort_values("_block")
-        for shift, scale in zip(series["shift"], series["scale"]):
-            begins.append(np.concatenate(state).tolist())
-            at = square = 0
-            for k, n in enumerate(size):
-                state[k] = state[k] @ np.array(scale[square : square + n * n]).reshape(n, n) + np.array(shift[at : at + n])
-                at, square = at + n, square + n * n
-        return series[BLOCK].assign(state=begins)
-
-    names = [f"{s.name}_{c}" if c else s.name for s in specs for c in (s.indicator.components or ("",))]
-    kinds = [T.StructField(c, T.DoubleType()) for c in names] + [T.StructField(f"{s.name}_bad", T.BooleanType()) for s in specs]
-    schema = T.StructType([*df.schema.fields, *kinds])
-
-    def applied(block: pd.DataFrame, begins: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("_i")
-        begin = int(block["_block"].iloc[0]) * rows
-        block = block[block["_i"] >= begin - lead]
-        first, bars, state, at, more = int(block["_i"].iloc[0]), _bars(block), np.array(begins["state"].iloc[0]), 0, {}
-        for (s, _, run), n in zip(plans, size):
-            made = run(bars, first, state[at : at + n])[0]
-            more[f"{s.name}_bad"] = np.broadcast_to(made.pop("invalid", False), len(block))
-            more |= {f"{s.name}_{c}" if c else s.name: v for c, v in made.items()}
-            at += n
-        return block.assign(**more)[block["_i"] >= begin][[f.name for f in schema.fields]]
-
+    scans = Scans(specs)
+    begin = F.greatest(F.col("_block") * rows - lead, F.lit(0))
     block_fields = [f for f in df.schema.fields if f.name in BLOCK]
-    pairs = T.StructType([*block_fields, T.StructField("shift", T.ArrayType(T.DoubleType())), T.StructField("scale", T.ArrayType(T.DoubleType()))])
+
+    def begun(part: pd.DataFrame) -> np.ndarray:
+        """The first rows of the blocks; those of two series never go on from one place to the next."""
+        place, block = part["_i"].to_numpy(), part["_block"].to_numpy()
+        return np.flatnonzero(np.append(True, (place[1:] != place[:-1] + 1) | (block[1:] != block[:-1])))
+
+    def map_of(part: pd.DataFrame) -> pd.DataFrame:
+        starts = begun(part)
+        runs = Runs(part["_i"].to_numpy(), starts)
+        shift = scans.run(bars_of(*[part[c] for c in INPUTS]), runs, np.zeros((len(starts), scans.size)))[1]
+        return part.iloc[starts][[*BLOCK, "_i"]].assign(n=runs.last - starts + 1, shift=list(shift))
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            part = b if held is None else pd.concat([held, b], ignore_index=True)
+            if len(part):
+                cut = begun(part)[-1]
+                held = part.iloc[cut:]
+                if cut:
+                    yield map_of(part.iloc[:cut])
+        if held is not None:
+            yield map_of(held)
+
+    known: dict[tuple[int, int], list[np.ndarray]] = {}
+
+    def scale(first: int, n: int) -> list[np.ndarray]:
+        """What ``n`` candles from place ``first`` make of states, apart from their own numbers: a matrix for each indicator."""
+        key = min(first, scans.seeded), n
+        if key not in known:
+            none = {k: np.zeros(n) for k in ("close", "step", "tr", "volume")}
+            known[key] = [np.array([run(none, first, unit)[1] for unit in np.eye(size)]) for (_, _, run), size in zip(scans.plans, scans.sizes)]
+        return known[key]
+
+    def combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = np.zeros(scans.size)
+        for b in batches:
+            begins = []
+            for block, first, n, shift in zip(b["_block"], b["_i"], b["n"], b["shift"]):
+                if block == 0:
+                    state = np.zeros(scans.size)
+                begins.append(state)
+                at, after = 0, []
+                for matrix in scale(int(first), int(n)):
+                    after.append(state[at : at + len(matrix)] @ matrix)
+                    at += len(matrix)
+                state = np.concatenate(after) + shift
+            yield b[BLOCK].assign(state=begins)
+
+    pairs = T.StructType([*block_fields, T.StructField("_i", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shift", T.ArrayType(T.DoubleType()))])
     states = T.StructType([*block_fields, T.StructField("state", T.ArrayType(T.DoubleType()))])
-    begins = df.groupBy(*BLOCK).applyInPandas(maps, pairs).groupBy(*SERIES).applyInPandas(combined, states)
-    out = df.groupBy(*BLOCK).cogroup(begins.groupBy(*BLOCK)).applyInPandas(applied, schema)
-    for s in specs:
-        made = {c: F.when(~F.isnan(F.col(n)), F.col(n)) for c in (s.indicator.components or ("",)) for n in [f"{s.name}_{c}" if c else s.name]}
-        out = I._finished(out, s, {**made, "invalid": F.col(f"{s.name}_bad")}).drop(f"{s.name}_bad")
-    return out
+    mine = df.where((F.col("_i") >= begin) & (F.col("_i") < (F.col("_block") + 1) * rows - lead)).select(*KEY, "_block", "_i", *INPUTS)
+    begins = mine.sortWithinPartitions(*BLOCK, "timestamp").mapInPandas(maps, pairs).repartition(*SERIES).sortWithinPartitions(*BLOCK).mapInPandas(combined, states)
+    begins = begins.select(*[F.col(c).alias(f"_{c}") for c in SERIES], F.col("_block").alias("_b"), "state")
+    met = df.where(F.col("_i") >= begin).join(begins, [*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SERIES], F.col("_block") == F.col("_b")]).drop("_b", *[f"_{c}" for c in SERIES])
+    met = met.withColumn("_state", F.when(F.col("_i") == begin, F.col("state"))).drop("state").sortWithinPartitions(*BLOCK, "timestamp")
+    return I.valued(met, specs, "_state").drop("_state")
 
 
 def compute(df: DataFrame, specs: list[I.Spec], benchmark: DataFrame | None, keep_index: bool, strict: bool, rows: int) -> DataFrame:
@@ -220,7 +129,7 @@ def compute(df: DataFrame, specs: list[I.Spec], benchmark: DataFrame | None, kee
     endless = [s.name for s in others if s.indicator.kind == "series" or s.indicator.reach(s.p) is None]
     if endless:
         raise ValueError(f"indicators that need a whole series at once: {endless}")
-    lead = max((s.p.get("lag", 0) for s in scans), default=0)
+    lead = Scans(scans).lead
     halo = max([1, lead + 1, *(s.indicator.reach(s.p) for s in others)])
     rows = max(rows, halo)
     blocks = written(cut(indexed(df.select(*KEY, *NUMBERS)), rows, halo), "blocks")

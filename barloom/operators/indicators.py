@@ -1,14 +1,15 @@
 """Technical indicators for all series at once.
 
 Bounded windows and running totals are window columns over one partitioning and one sort.  Recurrences (exponential and
-Wilder averages) run in one vectorised helper per series, on the same partitioning, after the windows.  Every candle
+Wilder averages) are scans over the sorted rows, many series at once, on the same partitioning, after the windows.  Every candle
 keeps its row; an indicator's value is null until enough candles are there (INSUFFICIENT_DATA) or where its denominator
 isn't positive (INVALID).  No value looks ahead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from barloom.functions.candles import INSUFFICIENT, INVALID, KEY, NUMBERS, SERIES, VALID, series
 from barloom.operators.quality import contract
+from barloom.operators.scans import INPUTS, SCANS, Scans, streamed
 
 #: A benchmark of at most so many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -79,8 +81,36 @@ def over(first: int, last: int = 0):
     return series().rowsBetween(first, last)
 
 
+_shared: ContextVar[dict[str, Column] | None] = ContextVar("windows that indicators share", default=None)
+
+
+def shared(name: str, window: Column) -> Column:
+    """The column of a window that several indicators may ask for; inside ``windowed`` each is made once, and all in one pass."""
+    found = _shared.get()
+    if found is None:
+        return window
+    found[f"_w_{name}"] = window
+    return F.col(f"_w_{name}")
+
+
 def mean(column: str, p: int, lag: int = 0) -> Column:
-    return F.avg(column).over(over(-(p - 1) - lag, -lag))
+    return shared(f"mean_{column}_{p}_{lag}", F.avg(column).over(over(-(p - 1) - lag, -lag)))
+
+
+def past_of(column: str, lag: int) -> Column:
+    return shared(f"past_{column}_{lag}", F.lag(column, lag).over(series()))
+
+
+def deviation(p: int) -> Column:
+    return shared(f"deviation_{p}", F.stddev_samp("close").over(over(-(p - 1))))
+
+
+def top(p: int, lag: int = 0) -> Column:
+    return shared(f"top_{p}_{lag}", F.max("high").over(over(-(p - 1) - lag, -lag)))
+
+
+def bottom(p: int, lag: int = 0) -> Column:
+    return shared(f"bottom_{p}_{lag}", F.min("low").over(over(-(p - 1) - lag, -lag)))
 
 
 def _true_range() -> Column:
@@ -97,7 +127,7 @@ def _sma_slope(p: dict) -> dict:
 
 
 def _roc(p: dict) -> dict:
-    past = F.lag("close", p["period"]).over(series())
+    past = past_of("close", p["period"])
     return {"": (F.col("close") - past) / past * 100, "invalid": past <= 0}
 
 
@@ -107,17 +137,17 @@ def _rvol(p: dict) -> dict:
 
 
 def _volume_change(p: dict) -> dict:
-    past = F.lag("volume", p["lag"]).over(series())
+    past = past_of("volume", p["lag"])
     return {"": (F.col("volume") - past) / past * 100, "invalid": past == 0}
 
 
 def _obv(p: dict) -> dict:
     signed = F.coalesce(F.signum(F.col("close") - F.col("_prev")) * F.col("volume"), F.lit(0.0))
-    return {"": F.sum(signed).over(series().rowsBetween(-(2**63), 0))}
+    return {"": shared("obv", F.sum(signed).over(series().rowsBetween(-(2**63), 0)))}
 
 
 def _bollinger(p: dict) -> dict:
-    middle, sigma, m = mean("close", p["period"]), F.stddev_samp("close").over(over(-(p["period"] - 1))), p["std_multiplier"]
+    middle, sigma, m = mean("close", p["period"]), deviation(p["period"]), p["std_multiplier"]
     flat, upper, lower = sigma == 0, middle + sigma * m, middle - sigma * m
     return {
         "middle": middle,
@@ -130,13 +160,13 @@ def _bollinger(p: dict) -> dict:
 
 
 def _breakout(p: dict) -> dict:
-    top, bottom, c = F.max("high").over(over(-p["period"], -1)), F.min("low").over(over(-p["period"], -1)), F.col("close")
+    high, low, c = top(p["period"], 1), bottom(p["period"], 1), F.col("close")
     return {
-        "dist_high": (c - top) / top * 100,
-        "dist_low": (c - bottom) / bottom * 100,
-        "breakout_high": (c > top).cast("double"),
-        "breakdown_low": (c < bottom).cast("double"),
-        "invalid": (top <= 0) | (bottom <= 0),
+        "dist_high": (c - high) / high * 100,
+        "dist_low": (c - low) / low * 100,
+        "breakout_high": (c > high).cast("double"),
+        "breakdown_low": (c < low).cast("double"),
+        "invalid": (high <= 0) | (low <= 0),
     }
 
 
@@ -228,10 +258,10 @@ _BUILT_IN = [
     _windowed("volume_change", _volume_change, first=lambda p: p["lag"], reach=lambda p: p["lag"], lookback=lambda p: p["lag"] + 1, defaults={"lag": 1}, least={"lag": 1}, fields=("volume",)),
     _windowed("obv", _obv, first=lambda p: 0, reach=lambda p: None, lookback=lambda p: 1, defaults={}, least={}, fields=("close", "volume")),
     _windowed("true_range", lambda p: {"": _true_range()}, first=lambda p: 0, reach=lambda p: 1, lookback=lambda p: 2, defaults={}, least={}, fields=("high", "low", "close")),
-    _windowed("rolling_std", lambda p: {"": F.stddev_samp("close").over(over(-(p["period"] - 1)))}, least={"period": 2}),
+    _windowed("rolling_std", lambda p: {"": deviation(p["period"])}, least={"period": 2}),
     _windowed("bollinger_bands", _bollinger, defaults={"period": 20, "std_multiplier": 2.0}, least={"period": 2, "std_multiplier": 0}, components=("middle", "upper", "lower", "bandwidth", "percent_b")),
-    _windowed("rolling_high", lambda p: {"": F.max("high").over(over(-(p["period"] - 1)))}, fields=("high",)),
-    _windowed("rolling_low", lambda p: {"": F.min("low").over(over(-(p["period"] - 1)))}, fields=("low",)),
+    _windowed("rolling_high", lambda p: {"": top(p["period"])}, fields=("high",)),
+    _windowed("rolling_low", lambda p: {"": bottom(p["period"])}, fields=("low",)),
     _windowed("structure_breakout_distance", _breakout, lookback=lambda p: p["period"] + 1, components=("dist_high", "dist_low", "breakout_high", "breakdown_low"), fields=("high", "low", "close"), **_after),
     _rolling("ema", _ema),
     _rolling("ema_slope", _ema_slope, first=_lagged, reach=_lagged, lookback=lambda p: p["period"] + p["lag"], defaults=_LAG, least={"period": 1, "lag": 1}),
@@ -306,13 +336,44 @@ def _helped(df: DataFrame, specs: list[Spec]) -> DataFrame:
                 more[f"{s.name}_{c}" if c else s.name] = v
         return bars.assign(**more)[[f.name for f in schema.fields]]
 
-    out = df.groupBy(*SERIES).applyInPandas(run, schema)
+    return _numbers(df.groupBy(*SERIES).applyInPandas(run, schema), specs)
+
+
+def _numbers(out: DataFrame, specs: list[Spec]) -> DataFrame:
+    """Finishes the columns of series indicators, in which NaN stands for no value and ``<name>_bad`` for an invalid one."""
     for s in specs:
         made = {c: F.when(~F.isnan(F.col(f"{s.name}_{c}" if c else s.name)), F.col(f"{s.name}_{c}" if c else s.name)) for c in (s.indicator.components or ("",))}
         out = _finished(out, s, {**made, "invalid": F.col(f"{s.name}_bad")}).drop(f"{s.name}_bad")
     return out
 
 
+def valued(df: DataFrame, specs: list[Spec], state: str | None = None) -> DataFrame:
+    """Adds the values of ``specs`` to series that lie one after the other in time order in each partition, with ``_i``, ``_prev`` and ``_tr``.
+
+    Only the numbers that the scans read go to Python, and no series is held.  ``state`` names a column with the states
+    at the begin of a block, which is null in its other rows.
+    """
+    scans = Scans(specs)
+    kinds = T.StructType([T.StructField(c, T.BooleanType() if c.endswith("_bad") else T.DoubleType()) for c in scans.names])
+
+    @F.pandas_udf(kinds)
+    def scan(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        return streamed(scans, batches)
+
+    out = df.withColumn("_scan", scan("_i", *INPUTS, *([state] if state else [])))
+    return _numbers(out.withColumns({c: F.col("_scan")[c] for c in scans.names}).drop("_scan"), specs)
+
+
+def streams(spec: Spec) -> bool:
+    """Whether a series indicator is one of those that are scans (a user's own may have the name of one)."""
+    return spec.name in SCANS and any(spec.indicator is i for i in _BUILT_IN)
+
+
+def _helped_or_streamed(out: DataFrame, specs: list[Spec], strict: bool) -> DataFrame:
+    """Scans need what a strict run makes sure of: finite numbers, and one row for each stamp."""
+    return valued(out, specs) if strict and all(streams(s) for s in specs) else _helped(out, specs)
+
+
 def _against(df: DataFrame, specs: list[Spec], benchmark: DataFrame) -> DataFrame:
     """Joins the benchmark's closes at exactly a candle's stamp and the stamp ``period`` candles before."""
     mark = benchmark.select(F.col("timeframe").alias("_tf"), F.col("timestamp").alias("_ts"), F.col("close").alias("_mark"))
@@ -347,12 +408,18 @@ def windowed(df: DataFrame, windows: list[Spec], marked: list[Spec], strict: boo
     out = out.withColumns({c: v for s in marked for c, v in ((f"_ts{s.p['period']}", F.lag("timestamp", s.p["period"]).over(w)), (f"_close{s.p['period']}", F.lag("close", s.p["period"]).over(w)))})
     if true_range:
         out = out.withColumn("_tr", _true_range())
-    for s in windows:
-        out = _finished(out, s, s.indicator.build(s.p))
-    return out
-
-
-def compute(df: DataFrame, indicators: list[str | Spec], benchmark: DataFrame | None = None, keep_index: bool = False, strict: bool = True, block_rows: int | None = None) -> DataFrame:
+    token = _shared.set({})
+    try:
+        made, common = [(s, s.indicator.build(s.p)) for s in windows], _shared.get()
+    finally:
+        _shared.reset(token)
+    out = out.withColumns(common)
+    for s, m in made:
+        out = _finished(out, s, m)
+    return out.drop(*common)
+
+
+def compute(df: DataFrame, indicators: list[str | Spec], benchmark: DataFrame | None = None, keep_index: bool = False, strict: bool = True, block_rows: int | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """The candles of all series with columns of each indicator: its value (or ``<name>_<component>``) and ``<name>_status``.
 
     A name given twice counts once, with the last parameters.  Repeated stamps, numbers that aren't finite and bars that
@@ -361,6 +428,9 @@ def compute(df: DataFrame, indicators: list[str | Spec], benchmark: DataFrame |
 
     One task holds a series.  With ``block_rows`` it holds so many candles of one and no more (``operators.blocks``),
     which costs two shuffles and two written tables but lets a single long series use the whole cluster.
+
+    ``more`` names further windows over ``series()`` (not in blocks), which may use the columns of window indicators; they
+    are made before the recurrences, where the series are sorted anyway.
     """
     specs = list({s.name: s for s in (ind(x) if isinstance(x, str) else x for x in indicators)}.values())
     by = {k: [s for s in specs if s.indicator.kind == k] for k in ("window", "series", "benchmark")}
@@ -370,9 +440,11 @@ def compute(df: DataFrame, indicators: list[str | Spec], benchmark: DataFrame |
         from barloom.operators import blocks
 
         return blocks.compute(df, specs, benchmark, keep_index, strict, block_rows)
-    out = windowed(df.select(*KEY, *NUMBERS), by["window"], by["benchmark"], strict, any(s.name in ("atr", "natr") for s in by["series"]))
+    out = windowed(df.select(*KEY, *NUMBERS), by["window"], by["benchmark"], strict, bool(by["series"]))
+    if more:
+        out = out.withColumns(more)
     if by["series"]:
-        out = _helped(out, by["series"])
+        out = _helped_or_streamed(out, by["series"], strict)
     if by["benchmark"]:
         out = _against(out, by["benchmark"], benchmark)
     return out.drop("_prev", "_tr", *([] if keep_index else ["_i"]))
@@ -381,11 +453,10 @@ def compute(df: DataFrame, indicators: list[str | Spec], benchmark: DataFrame |
 def to_long(df: DataFrame, indicators: list[str | Spec], benchmark: DataFrame | None = None) -> DataFrame:
     """One row per candle and indicator: value or components, status and provenance."""
     specs = [ind(x) if isinstance(x, str) else x for x in indicators]
-    wide = compute(df, specs, benchmark, keep_index=True)
     reaches = sorted({r for s in specs if (r := s.indicator.reach(s.p)) is not None})
     w = series()
     first = F.first("timestamp").over(w.rowsBetween(-(2**63), 0))
-    wide = wide.withColumns({"_start": first, **{f"_start{r}": F.coalesce(F.lag("timestamp", r).over(w), first) if r else F.col("timestamp") for r in reaches}})
+    wide = compute(df, specs, benchmark, keep_index=True, more={"_start": first, **{f"_start{r}": F.coalesce(F.lag("timestamp", r).over(w), first) if r else F.col("timestamp") for r in reaches}})
 
     def point(s: Spec) -> Column:
         reach = s.indicator.reach(s.p)

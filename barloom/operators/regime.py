@@ -12,6 +12,16 @@ from barloom.operators.indicators import compute, ind
 
 REQUIRED = ["price_vs_sma", "sma_slope", "ema_slope", "sma", "rsi", "roc", "macd", "bollinger_bands", "rvol", "obv", "structure_breakout_distance"]
 DIMENSIONS = ["trend", "momentum", "volatility", "volume", "structure"]
+STATES = ["trend", "momentum", "volatility", "volume_regime", "structure", "composite_regime"]
+#: The indicators that the dimensions read, and the dimensions that the composite state reads.
+READ = {
+    "trend": ["price_vs_sma", "sma_slope", "ema_slope"],
+    "momentum": ["rsi", "roc", "macd"],
+    "volatility": ["bollinger_bands"],
+    "volume_regime": ["rvol", "obv"],
+    "structure": ["structure_breakout_distance", "bollinger_bands", "sma", "sma_slope", "ema_slope"],
+}
+COMPOSITE_READS = ["trend", "momentum", "volatility", "structure"]
 
 
 @dataclass(frozen=True)
@@ -100,11 +110,19 @@ def composite() -> Column:
     return _chain(ready, rules, "UNKNOWN")
 
 
-def classified(wide: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
-    """Adds the five dimensions and ``composite_regime`` to candles with the required indicators."""
-    out = wide.withColumn("_obv_before", F.lag("obv").over(series()))
-    made = {"trend": trend, "momentum": momentum, "volatility": volatility, "volume_regime": volume, "structure": structure}
-    return out.withColumns({c: f(bounds) for c, f in made.items()}).withColumn("composite_regime", composite()).drop("_obv_before")
+def classified(wide: DataFrame, bounds: Bounds = Bounds(), states: list[str] = STATES) -> DataFrame:
+    """Adds ``states`` (and the dimensions that ``composite_regime`` reads) to candles with the indicators that they need."""
+    dimensions = [s for s in READ if s in states or "composite_regime" in states and s in COMPOSITE_READS]
+    out = wide if "_obv_before" in wide.columns or "volume_regime" not in dimensions else wide.withColumn("_obv_before", F.lag("obv").over(series()))
+    makers = {"trend": trend, "momentum": momentum, "volatility": volatility, "volume_regime": volume, "structure": structure}
+    out = out.withColumns({c: makers[c](bounds) for c in dimensions})
+    return (out.withColumn("composite_regime", composite()) if "composite_regime" in states else out).drop("_obv_before")
+
+
+def needed(states: list[str]) -> list[str]:
+    """The indicators that ``states`` read, in the order of ``REQUIRED``."""
+    dimensions = {d for s in states for d in (COMPOSITE_READS if s == "composite_regime" else [s])}
+    return [n for n in REQUIRED if any(n in READ[d] for d in dimensions)]
 
 
 def inputs_check(candles: DataFrame, points: DataFrame, mode: str = "report") -> DataFrame:
@@ -154,18 +172,22 @@ METRICS = {
 }
 
 
-def regime_context(candles: DataFrame, bounds: Bounds = Bounds(), with_evidence: bool = False) -> DataFrame:
-    """All six states of every candle; on request with the metrics and a text per dimension, and with provenance."""
-    wide = compute(candles, REQUIRED, keep_index=True)
-    out = classified(wide, bounds)
-    states = ["trend", "momentum", "volatility", "volume_regime", "structure", "composite_regime"]
+def regime_context(candles: DataFrame, bounds: Bounds = Bounds(), with_evidence: bool = False, states: list[str] = STATES) -> DataFrame:
+    """The six states of every candle, or those asked for alone; on request with the metrics and a text per dimension, and with provenance (then all six)."""
+    states = STATES if with_evidence else states
+    names = needed(states)
+    more = {"_obv_before": F.lag("obv").over(series())} if "obv" in names else {}
+    if with_evidence:
+        more["_start"] = F.first("timestamp").over(series().rowsBetween(-(2**63), 0))
+    wide = compute(candles, names, keep_index=True, more=more)
+    out = classified(wide, bounds, states)
     if not with_evidence:
         return out.select(*KEY, *NUMBERS, *states)
     entries = [x for d in DIMENSIONS for x in (F.lit(d), _evidence(d, "volume_regime" if d == "volume" else d, METRICS[d]))]
     combined = F.struct(F.lit("composite").alias("dimension"), F.col("composite_regime").alias("state"), F.create_map(*[x for c in ("trend", "momentum", "volatility", "structure") for x in (F.lit(c), F.col(c))]).alias("contributing_metrics"), F.concat(F.lit("composite is "), F.col("composite_regime")).alias("rationale"))
     provenance = F.struct(
         F.array(*[F.lit(n) for n in REQUIRED]).alias("indicators_used"),
-        F.first("timestamp").over(series().rowsBetween(-(2**63), 0)).alias("window_start"),
+        F.col("_start").alias("window_start"),
         F.col("timestamp").alias("window_end"),
         (F.col("_i") + 1).cast("long").alias("candles_evaluated"),
     )

@@ -1,6 +1,7 @@
 """Indicators in blocks of a series equal those of the whole series."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,52 @@ def test_empty_and_broken_tables(spark, bars):
     own = I.Indicator("whole", "series", lambda bars, p: {"": bars["close"].to_numpy()}, first=lambda p: 0, reach=lambda p: None, lookback=lambda p: 1)
     with pytest.raises(ValueError, match="whole"):
         I.compute(bars, [I.Spec(own, ())], block_rows=10)
+
+
+def test_scans_run_over_many_series_at_once():
+    """Streams of series cut into batches anywhere give what each series alone gives, lags over a cut included; rows out of order raise."""
+    from barloom.operators.scans import Scans, streamed
+
+    rng = np.random.default_rng(4)
+    specs = [I.ind("ema", period=5), I.ind("ema_slope", period=4, lag=7), I.ind("rsi", period=3), I.ind("macd"), I.ind("atr", period=1), I.ind("natr"), I.ind("obv")]
+    frames = []
+    for n in (1, 90, 3, 200, 41, 60):
+        close = np.maximum(1.0, 50 + rng.normal(size=n).cumsum())
+        frames.append(pd.DataFrame({"_i": np.arange(n), "close": close, "_prev": np.append(np.nan, close[:-1]), "_tr": rng.random(n), "volume": rng.integers(0, 9, n) * 1.0}))
+    rows = pd.concat(frames, ignore_index=True)
+    run = lambda cuts: pd.concat(list(streamed(Scans(specs), (tuple(rows.iloc[a:b][c].reset_index(drop=True) for c in rows) for a, b in zip((0, *cuts), (*cuts, len(rows)))))), ignore_index=True)
+    whole = run(())
+    for cuts in ((1, 2, 3, 50, 91, 94, 95, 96), tuple(range(1, len(rows))), (0, 150, 150, 333)):
+        assert np.allclose(run(cuts).to_numpy(float), whole.to_numpy(float), rtol=1e-11, equal_nan=True)
+    at = 0
+    for f in frames:  # the plain recurrences
+        for s in specs[:6]:
+            made = s.indicator.build(f.assign(_tr=f["_tr"]), s.p)
+            for c, v in made.items():
+                got = whole.iloc[at : at + len(f)][f"{s.name}_bad" if c == "invalid" else f"{s.name}_{c}" if c else s.name].to_numpy()
+                assert np.allclose(np.asarray(v, dtype=float), got.astype(float), rtol=1e-9, equal_nan=True), (s.name, c)
+        at += len(f)
+    rows = rows.iloc[[0, 1, 3, 2]]
+    with pytest.raises(RuntimeError, match="order"):
+        run(())
+
+
+def test_numbers_that_are_not_finite_stay_in_their_run():
+    from barloom.operators.scans import Average, Runs
+
+    x = np.array([1.0, 2.0, np.nan, 4.0, 1.0, 2.0, 3.0, 4.0, np.inf, 1.0])
+    runs, part = Runs(np.array([0, 1, 2, 3, 0, 1, 2, 3, 4, 5]), np.array([0, 4])), Average(0, 2, 0.5)
+    out, _ = part.run(x, runs, np.zeros((2, 2)))
+    assert out[4:8].tolist()[1:] == [1.5, 2.25, 3.125] and np.isnan(out[0]) and out[1] == 1.5
+
+
+def test_blocks_need_no_python_per_block(spark, bars):
+    """Tasks go through their blocks in batches; a pass of one call for each block took most of the time."""
+    plan = I.compute(bars, ["ema", "macd", "rsi"], block_rows=40)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas [symbol" not in plan and "FlatMap" not in plan
+
+
+def test_series_without_a_name_in_blocks(spark):
+    """Null keys are a series too."""
+    df = walk(spark, {"AAA": 95, "BBB": 50}, 9).withColumn("symbol", F.when(F.col("symbol") == "AAA", F.col("symbol")))
+    agree(table(I.compute(df, ["ema", "obv", "ema_slope"], block_rows=30)), table(I.compute(df, ["ema", "obv", "ema_slope"])))

@@ -99,3 +99,21 @@ def test_inputs_that_do_not_match_raise(spark):
             regime.regimes_of_points(df, bad)
     with pytest.raises(ValueError, match="match"):
         regime.inputs_check(df.limit(30), points, "raise")
+
+
+def test_a_state_reads_its_own_indicators_alone(spark):
+    """A query of one dimension neither makes the other indicators nor runs Python per series; its states are those of the whole."""
+    df = trend_bars(spark, 60, 3000.0, 50000.0).unionByName(trend_bars(spark, 45, 50.0, 10.0, symbol="BBB"))
+    whole = {(r["symbol"], r["timestamp"]): r for r in regime.regime_context(df).collect()}
+    for state in regime.STATES:
+        out = regime.regime_context(df, states=[state])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan and plan.count("Exchange hashpartitioning") == 1, plan
+        assert ("macd" in plan) == (state in ("momentum", "composite_regime")) and ("ArrowEvalPython" in plan) == (state not in ("volatility", "volume_regime"))
+        got = out.collect()
+        assert len(got) == 105 and all(r[state] == whole[r["symbol"], r["timestamp"]][state] for r in got)
+
+
+def test_all_states_share_one_exchange(spark):
+    plan = regime.regime_context(trend_bars(spark, 40), with_evidence=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("ArrowEvalPython") == 1
