@@ -458,24 +458,43 @@ def to_long(df: DataFrame, indicators: list[str | Spec], benchmark: DataFrame |
     first = F.first("timestamp").over(w.rowsBetween(-(2**63), 0))
     wide = compute(df, specs, benchmark, keep_index=True, more={"_start": first, **{f"_start{r}": F.coalesce(F.lag("timestamp", r).over(w), first) if r else F.col("timestamp") for r in reaches}})
 
-    def point(s: Spec) -> Column:
-        reach = s.indicator.reach(s.p)
+    def chosen(of: Callable[[int, Spec], Column]) -> Column:
+        """What ``of`` gives for the indicator of the row."""
+        out = F
+        for k, s in enumerate(specs):
+            out = out.when(F.col("_k") == k, of(k, s))
+        return out
+
+    def value(k: int, s: Spec) -> Column:
+        return F.lit(None).cast("double") if s.indicator.components else F.col(s.name)
+
+    def components(k: int, s: Spec) -> Column:
         parts = s.indicator.components
         values = F.create_map(*[x for c in parts for x in (F.lit(c), F.col(f"{s.name}_{c}"))]) if parts else F.lit(None).cast("map<string,double>")
-        lookback = F.when(F.col("_i") == 0, 1).otherwise(2) if s.name == "true_range" else F.lit(s.indicator.lookback(s.p))
-        provenance = F.struct(
-            F.lit(s.name).alias("name"),
-            F.lit(VERSION).alias("version"),
-            F.create_map(*[F.lit(x) for k, v in s.params for x in (k, str(v))]).cast("map<string,string>").alias("parameters"),
-            lookback.cast("int").alias("lookback_period"),
-            F.col("_start" if reach is None else f"_start{reach}").alias("source_window_start"),
-            F.col("timestamp").alias("source_window_end"),
-            (F.col("_i") + 1).cast("long").alias("candles_analyzed"),
-        )
-        status = F.col(f"{s.name}_status")
-        return F.struct(F.lit(s.name).alias("indicator_name"), (F.lit(None).cast("double") if parts else F.col(s.name)).alias("value"), F.when(status == VALID, values).alias("components"), status.alias("status"), provenance.alias("provenance"))
-
-    return wide.withColumn("_p", F.explode(F.array(*[point(s) for s in specs]))).select(*KEY, "_p.*")
+        return F.when(F.col(f"{s.name}_status") == VALID, values)
+
+    def parameters(k: int, s: Spec) -> Column:
+        return F.create_map(*[F.lit(x) for name, v in s.params for x in (name, str(v))]).cast("map<string,string>")
+
+    def lookback(k: int, s: Spec) -> Column:
+        return (F.when(F.col("_i") == 0, 1).otherwise(2) if s.name == "true_range" else F.lit(s.indicator.lookback(s.p))).cast("int")
+
+    def start(k: int, s: Spec) -> Column:
+        reach = s.indicator.reach(s.p)
+        return F.col("_start" if reach is None else f"_start{reach}")
+
+    provenance = F.struct(
+        chosen(lambda k, s: F.lit(s.name)).alias("name"),
+        F.lit(VERSION).alias("version"),
+        chosen(parameters).alias("parameters"),
+        chosen(lookback).alias("lookback_period"),
+        chosen(start).alias("source_window_start"),
+        F.col("timestamp").alias("source_window_end"),
+        (F.col("_i") + 1).cast("long").alias("candles_analyzed"),
+    )
+    # The rows are expanded by number alone, so what isn't read of them is never made.
+    each = wide.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(len(specs))])))
+    return each.select(*KEY, chosen(lambda k, s: F.lit(s.name)).alias("indicator_name"), chosen(value).alias("value"), chosen(components).alias("components"), chosen(lambda k, s: F.col(f"{s.name}_status")).alias("status"), provenance.alias("provenance"))
 
 
 def latest_point(df: DataFrame, indicators: list[str | Spec], benchmark: DataFrame | None = None) -> DataFrame:

@@ -130,10 +130,25 @@ def inputs_check(candles: DataFrame, points: DataFrame, mode: str = "report") ->
 
     ``mode="raise"`` returns ``points``, or raises if there are no candles or any indicator lacks or adds a point.
     """
-    want = candles.select(*KEY).withColumn("indicator_name", F.explode(F.array(*[F.lit(n) for n in REQUIRED]))).withColumn("_c", F.lit(1))
-    have = points.where(F.col("indicator_name").isin(REQUIRED)).select(*KEY, "indicator_name").distinct().withColumn("_p", F.lit(1))
-    both = want.join(have, [*KEY, "indicator_name"], "full_outer")
-    found = both.groupBy("indicator_name").agg(F.count_if(F.col("_p").isNull()).alias("missing_points"), F.count_if(F.col("_c").isNull()).alias("extra_points"))
+    # One row a candle: the set of its points is a number with a bit for each indicator, so nothing is expanded before the shuffle.
+    bit = F.create_map(*[x for k, n in enumerate(REQUIRED) for x in (F.lit(n), F.lit(1 << k))])
+    have = points.where(F.col("indicator_name").isin(REQUIRED)).select(*KEY, F.lit(0).cast("long").alias("_c"), bit[F.col("indicator_name")].alias("_p"))
+    want = candles.select(*KEY, F.lit(1).cast("long").alias("_c"), F.lit(0).alias("_p"))
+    met = want.unionByName(have).groupBy(*KEY).agg(F.sum("_c").alias("_c"), F.bit_or("_p").alias("_p"))
+    apart = F.lit(False)
+    for c in KEY:  # a null matches nothing
+        apart = apart | F.col(c).isNull()
+    no_point, no_candle = lambda k: apart | (F.col("_p").bitwiseAND(1 << k) == 0), apart | (F.col("_c") == 0)
+    counts = [
+        F.struct(
+            F.lit(n).alias("indicator_name"),
+            F.sum(F.when(no_point(k), F.col("_c")).otherwise(0)).alias("missing_points"),
+            F.count_if(no_candle & (F.col("_p").bitwiseAND(1 << k) != 0)).alias("extra_points"),
+            F.max((F.col("_c") > 0) | (F.col("_p").bitwiseAND(1 << k) != 0)).alias("met"),
+        )
+        for k, n in enumerate(REQUIRED)
+    ]
+    found = met.agg(F.array(*counts).alias("all")).select(F.inline("all")).where("met").drop("met")
     if mode == "report":
         return found
     rows = found.collect()  # one row per required indicator

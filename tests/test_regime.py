@@ -117,3 +117,24 @@ def test_a_state_reads_its_own_indicators_alone(spark):
 def test_all_states_share_one_exchange(spark):
     plan = regime.regime_context(trend_bars(spark, 40), with_evidence=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_inputs_check_counts_one_row_a_candle(spark):
+    """No row for each indicator goes through a shuffle; nulls, repeats and foreign points count as in a join per indicator."""
+    from pyspark.sql import functions as F
+
+    df = trend_bars(spark, 40)
+    points = indicators.to_long(df, regime.REQUIRED)
+    plan = regime.inputs_check(df, points)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ArrowEvalPython" not in plan  # values of points that nobody reads aren't made
+    k = [*("symbol", "exchange", "timeframe", "timestamp"), "indicator_name"]
+    odd = points.select(*k).where("not (indicator_name = 'roc' and day(timestamp) <= 3)")
+    more = odd.where("indicator_name = 'rsi'").limit(1)
+    odd = odd.unionByName(more).unionByName(more.withColumn("symbol", F.lit("ZZZ"))).unionByName(more.withColumn("symbol", F.lit(None).cast("string"))).unionByName(more.withColumn("indicator_name", F.lit("own")))
+    candles = df.unionByName(df.limit(2)).unionByName(df.limit(1).withColumn("symbol", F.lit(None).cast("string")))
+    want = candles.select(*k[:4]).withColumn("indicator_name", F.explode(F.array(*[F.lit(n) for n in regime.REQUIRED]))).withColumn("_c", F.lit(1))
+    have = odd.where(F.col("indicator_name").isin(regime.REQUIRED)).distinct().withColumn("_p", F.lit(1))
+    plain = want.join(have, k, "full_outer").groupBy("indicator_name").agg(F.count_if(F.col("_p").isNull()).alias("missing_points"), F.count_if(F.col("_c").isNull()).alias("extra_points"))
+    assert sorted(map(tuple, regime.inputs_check(candles, odd).collect())) == sorted(map(tuple, plain.collect()))
+    assert [tuple(r) for r in regime.inputs_check(df.limit(0), odd.where("indicator_name = 'rsi' and symbol = 'ZZZ'")).collect()] == [("rsi", 0, 1)]
+    assert regime.inputs_check(df.limit(0), odd.limit(0)).count() == 0
