@@ -360,7 +360,8 @@ def valued(df: DataFrame, specs: list[Spec], state: str | None = None) -> DataFr
     def scan(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         return streamed(scans, batches)
 
-    out = df.withColumn("_scan", scan("_i", *INPUTS, *([state] if state else [])))
+    # What it gives for a row depends on the rows before it, so no filter that comes later may go below it.
+    out = df.withColumn("_scan", scan.asNondeterministic()("_i", *INPUTS, *([state] if state else [])))
     return _numbers(out.withColumns({c: F.col("_scan")[c] for c in scans.names}).drop("_scan"), specs)
 
 

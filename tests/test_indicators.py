@@ -163,3 +163,14 @@ def test_broken_series_fail_closed(spark):
         with pytest.raises(Exception, match="breaks the series contract"):
             I.compute(bad, ["sma"]).collect()
         assert I.compute(bad, ["sma"], strict=False).count() >= 30
+
+
+def test_filters_after_recurrences_stay_after_them(spark):
+    """A filter on rows or columns of the result doesn't take candles from the averages."""
+    df = trend_bars(spark, 80).unionByName(trend_bars(spark, 50, symbol="BBB"))
+    names = ["ema", "ema_slope", "macd", "rsi"]
+    whole = I.compute(df, names).collect()
+    late = I.compute(df, names).where("day(timestamp) % 3 = 0 and close > 110")
+    assert sorted(map(repr, late.collect())) == sorted(repr(r) for r in whole if r["timestamp"].day % 3 == 0 and r["close"] > 110)
+    blocks = I.compute(df, names, block_rows=30).where("day(timestamp) % 3 = 0 and close > 110").collect()
+    assert len(blocks) == late.count() > 10
