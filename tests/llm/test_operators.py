@@ -877,6 +877,19 @@ def test_passages_whose_parts_stand_in_earlier_documents(spark):
     assert {r["doc_id"] for r in got} == {6, 21}
 
 
+@pytest.mark.parametrize("group", [512, 3])
+def test_passages_whose_first_and_last_holders_share_parts_alone(spark, monkeypatch, group):
+    """Each seed of what 5 and 9 share stands in a first and in a previous document that hold parts of it under fifty words."""
+    monkeypatch.setattr(substring_chain, "GROUP", group)
+    shared = prose(700, 60).split()
+    cuts = ((0, 25), (17, 43), (35, 60))
+    texts = {i + k: prose(710 + i + k, 20) + " " + " ".join(shared[a:b]) + " " + prose(730 + i + k, 20) for i in (0, 6) for k, (a, b) in enumerate(cuts)}
+    texts |= {i: prose(750 + i, 30) + " " + " ".join(shared) + " " + prose(770 + i, 30) for i in (5, 9)}
+    got = substring_chain.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(9, 5)}
+    assert any(" ".join(shared) in texts[9][r["start"] : r["end"]] for r in got)
+
+
 def test_seeds_of_many_documents(spark, monkeypatch):
     """Groups of a seed's documents stay joined, whatever their size."""
     shared = prose(500, 60)
